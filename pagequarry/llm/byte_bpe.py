@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,6 @@ CHUNK, OVERLAP = 1 << 16, 1 << 10
 LOOKAHEAD = 2
 #: Distinct pieces that a worker keeps; beyond it the cache starts anew.
 CACHED_PIECES = 400_000
-ENCODED = "doc_id long, ids binary, n_tokens long"
 
 _CODERS: dict[str, "ByteBpe"] = {}
 
@@ -71,6 +71,7 @@ class ByteBpe:
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             self.bytes[rank] = piece
+        self.decimal = [str(i) for i in range(len(self.bytes))]
         self.cache: dict[str, list[int]] = {}
 
     def boundaries(self, text: str) -> list[int]:
@@ -158,31 +159,49 @@ def stitch(bpe: ByteBpe, chunks, length: int, overlap: int = OVERLAP) -> list[in
     return ids
 
 
-def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``doc_id, ids, n_tokens``; ids as little-endian uint32 bytes."""
-    path = path or default_path()
+def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, form: "Form | None" = None) -> DataFrame:
+    """``doc_id`` and what ``form`` makes of the ids; by default ``ids, n_tokens``."""
+    path, form = path or default_path(), form or IDS
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return _short(rows.where(F.length("text") <= chunk), path, chunk).unionByName(_long(rows.where(F.length("text") > chunk), path, chunk, overlap))
+    return _short(rows.where(F.length("text") <= chunk), path, chunk, form).unionByName(_long(rows.where(F.length("text") > chunk), path, chunk, overlap, form))
+
+
+class Form:
+    """What a task makes of the ids it has encoded, without handing them to another one."""
+
+    def __init__(self, schema: str, names: list[str], columns) -> None:
+        self.schema, self.names, self.columns = f"doc_id long, {schema}", ["doc_id", *names], columns
+
+
+def _as_ids(bpe: ByteBpe, ids: list[list[int]]) -> list[pa.Array]:
+    return [pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary()), pa.array(list(map(len, ids)), pa.int64())]
 
 
-def _pack(names, ids: list[list[int]]) -> pa.RecordBatch:
-    import numpy as np
+def _as_digests(bpe: ByteBpe, ids: list[list[int]]) -> list[pa.Array]:
+    """Digests of the decimal ids and of the bytes that the ids decode to."""
+    decimal = bpe.decimal.__getitem__
+    text = [hashlib.sha256(" ".join(map(decimal, x)).encode()).hexdigest() for x in ids]
+    raw = [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]
+    return [pa.array(list(map(len, ids)), pa.int64()), pa.array(text, pa.string()), pa.array(raw, pa.string())]
 
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary()), pa.array(list(map(len, ids)), pa.int64())], ["doc_id", "ids", "n_tokens"])
 
+IDS = Form("ids binary, n_tokens long", ["ids", "n_tokens"], _as_ids)
+DIGESTS = Form("n_tokens long, ids_sha256 string, decoded_sha256 string", ["n_tokens", "ids_sha256", "decoded_sha256"], _as_digests)
 
-def _short(rows: DataFrame, path: str, chunk: int) -> DataFrame:
+
+def _short(rows: DataFrame, path: str, chunk: int, form: Form) -> DataFrame:
     def run(batches):
         bpe = coder(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                yield _pack(part.column(0).to_pylist(), [bpe.encode_pieces(bpe.pieces(t)) for t in part.column(1).to_pylist()])
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
+                ids = [bpe.encode_pieces(bpe.pieces(t)) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *form.columns(bpe, ids)], form.names)
 
-    return rows.mapInArrow(run, ENCODED)
+    return rows.mapInArrow(run, form.schema)
 
 
-def _long(rows: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
+def _long(rows: DataFrame, path: str, chunk: int, overlap: int, form: Form) -> DataFrame:
     """Chunks are dealt over all tasks; those of one text meet again to be stitched."""
     step = chunk - overlap
     cut = (
@@ -193,8 +212,6 @@ def _long(rows: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
     )
 
     def bound(batches):
-        import numpy as np
-
         bpe = coder(path)
         for batch in batches:
             for i in range(batch.num_rows):
@@ -202,18 +219,15 @@ def _long(rows: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
                 ends = np.array(bpe.boundaries(one.column(4)[0].as_py()), "<u4").tobytes()
                 yield pa.RecordBatch.from_arrays([*one.columns, pa.array([ends], pa.binary())], ["row", "doc_id", "length", "start", "chunk", "ends"])
 
-    def join(key, pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values("start")
-        chunks = ((t, int(s), np.frombuffer(e, "<u4").tolist()) for t, s, e in zip(pdf["chunk"], pdf["start"], pdf["ends"], strict=True))
-        ids = stitch(coder(path), chunks, int(pdf["length"].iloc[0]), overlap)
-        doc = pdf["doc_id"].iloc[0]
-        return pd.DataFrame({"doc_id": pd.array([None if pd.isna(doc) else int(doc)], "Int64"), "ids": [np.array(ids, "<u4").tobytes()], "n_tokens": [len(ids)]})
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by("start")
+        bpe = coder(path)
+        chunks = ((t.as_py(), s.as_py(), np.frombuffer(e.as_buffer(), "<u4").tolist()) for t, s, e in zip(table["chunk"], table["start"], table["ends"], strict=True))
+        ids = stitch(bpe, chunks, table["length"][0].as_py(), overlap)
+        return pa.Table.from_arrays([table["doc_id"].slice(0, 1).cast(pa.int64()), *form.columns(bpe, [ids])], form.names)
 
     bounded = cut.repartition("row", "start").mapInArrow(bound, "row long, doc_id long, length long, start long, chunk string, ends binary")
-    return bounded.groupBy("row").applyInPandas(join, ENCODED)
+    return bounded.groupBy("row").applyInArrow(join, form.schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -221,8 +235,6 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def run(batches):
-        import numpy as np
-
         bpe = coder(path)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
@@ -230,22 +242,4 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                 raw = [bpe.decode(np.frombuffer(x.as_buffer(), "<u4").tolist()) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], ["doc_id", "ids", "n_tokens", "bytes"])
 
-    return encoded.mapInArrow(run, ENCODED + ", bytes binary")
-
-
-def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``, in the task that decodes."""
-    path = path or default_path()
-
-    def run(batches):
-        import numpy as np
-
-        bpe = coder(path)
-        decimal = [str(i) for i in range(len(bpe.bytes))]
-        for batch in batches:
-            ids = [np.frombuffer(x.as_buffer(), "<u4").tolist() for x in batch.column(1)]
-            text = [hashlib.sha256(" ".join(map(decimal.__getitem__, x)).encode()).hexdigest() for x in ids]
-            raw = [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(text), pa.array(raw)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(run, "doc_id long, ids binary, n_tokens long, bytes binary")

@@ -23,7 +23,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every document."""
-    return byte_bpe.digests(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), form=byte_bpe.DIGESTS)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
