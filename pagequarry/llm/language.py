@@ -14,7 +14,7 @@ number a piece and language.
 Defined cases: ``und`` with score 0.0 where text is null or has no letter, or where nothing
 could be learned; null ``lang`` is not learned from; repeated rows count each; null ``doc_id``
 is predicted and never learned from; runs of over 24 letters are scored in parts of 24; extra
-columns are passed through by ``predicted``.
+columns are passed through by ``predicted`` (those named like its own are replaced).
 """
 
 from __future__ import annotations
@@ -280,6 +280,8 @@ def predicted(docs: DataFrame, model: LanguageModel, least_score: float | None =
 
     With ``least_score`` the rows that are ``und`` or score less go, and no column is added.
     """
+    if least_score is None:
+        docs = docs.drop("lang_pred", "lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = uuid.uuid4().hex
     at = docs.columns.index("text")

@@ -12,7 +12,7 @@ Defined cases: null or empty text has zero statistics and gets a score like any
 label takes no part; several labels of a document count each; without labelled documents every
 score is 1.0 (nothing is known against a document); with labels of one class only, every score
 is that class; a null ``doc_id`` is scored and never trained on; extra columns are passed
-through by ``scored`` and ignored by the fit.
+through by ``scored`` and ignored by the fit (columns named like its own are replaced).
 """
 
 from __future__ import annotations
@@ -187,6 +187,8 @@ def scored(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, o
 
     With ``only_good`` the rows that the classifier rejects go, and no column is added.
     """
+    if not only_good:
+        docs = docs.drop("quality_score", "quality_predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import byte_bpe, html_text, language, packing, quality, token_output
+from pagequarry.llm import byte_bpe, fingerprints, html_text, jaccard, language, packing, quality, substring_dedup, token_output, topk
 from pagequarry.llm.common import held_out, table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with a Jaccard of 0.9 or more on three-word shingles."""
+    return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Measure(words=3, num=90, den=100))
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written, read back and digested."""
     return token_output.digests(token_output.read_tokens(spark, token_output.write_tokens(table(spark, sf_dir, "documents"))))
 
 
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best candidates of every query vector, by exact integer inner product."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by a model of the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -26,6 +36,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), form=byte_bpe.DIGESTS)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier document has, and the spans removed."""
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), "removed_spans")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, by a model of the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -38,10 +54,15 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of at most 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_output, op4_language_id, op5_byte_bpe, op7_quality, op8_html_extraction, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_token_output, op3_topk_search, op4_language_id, op5_byte_bpe, op6_substring_dedup, op7_quality, op8_html_extraction, op9_fingerprints, op10_packing)}
 SQL: dict[str, str] = {}
