@@ -4,18 +4,30 @@ The encoder serves vocabularies whose pre-tokeniser never lets a piece cross whi
 whose normaliser works on each side of a blank alone, as ``word_bpe_49k.json`` does (NFC,
 white-space folding, lower case per character). There the ids of a text are those of its
 blank-separated words, one after another, so each distinct word is encoded once by the library.
+
+Words of texts of printable Latin-1 characters (stable under NFC, lower-cased one by one) are
+split by the file's own pre-token pattern and encoded by the library's model directly. Words of
+texts with other characters, control characters or marks of special tokens go through the whole
+library pipeline.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from itertools import chain
+from string import punctuation
 
 import numpy as np
 
 from pagequarry.llm.common import flat_gather, text_groups, text_windows
 
 #: Distinct words that a worker keeps; beyond it the cache starts anew.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_200_000
+
+#: What keeps a Latin-1 text from being split by the pattern here.
+UNUSUAL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f]|<\|")
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
@@ -33,6 +45,17 @@ def encoder(path: str) -> "WordEncoder":
     return _ENCODERS[path]
 
 
+class _Rows(dict):
+    """Word to row; an unknown word gets the next row and is noted in ``fresh``."""
+
+    fresh: list[str]
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = len(self)
+        self.fresh.append(word)
+        return row
+
+
 class WordEncoder:
     def __init__(self, path: str, cached_words: int = CACHED_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,52 +64,82 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.cached_words = cached_words
+        self.split, self.marks = self._pattern(path)
         self._clear()
 
+    @staticmethod
+    def _pattern(path: str):
+        """The file's own pre-token pattern and byte marks, if it is built as described above."""
+        import regex
+
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        folds = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers") or []]
+        if folds != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in steps] != ["Split", "ByteLevel"] or steps[0]["behavior"] != "Removed" or not steps[0]["invert"] or steps[1]["use_regex"] or steps[1]["add_prefix_space"]:
+            return None, {}
+        # Byte-level vocabularies write bytes that don't print as code points from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        byte = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+        return regex.compile(steps[0]["pattern"]["Regex"]).findall, {c: "".join(byte[b] for b in chr(c).encode()) for c in range(256)}
+
     def _clear(self) -> None:
-        self.rows: dict[str, int] = {"": 0}
+        self.rows = _Rows({"": 0})
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.lengths = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _learn(self, words: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        first = len(self.rows)
+    def _learn(self, words: list[str], plain: bool) -> None:
+        if plain:
+            tokenize, marks, found = self.tokenizer.model.tokenize, self.marks, []
+            for w in words:
+                # Letters, or letters and one mark, need no pattern.
+                pieces = (w,) if w.isalpha() else (w[:-1], w[-1]) if w[-1] in punctuation and w[:-1].isalpha() else self.split(w)
+                found.append([t.id for p in pieces for t in tokenize(p if p.isascii() else p.translate(marks))])
+        else:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
-        while first + len(words) > len(self.starts):
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        while len(self.rows) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lengths))
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.used : self.used + len(flat)] = flat
-        self.lengths[first : first + len(words)] = lengths
-        self.starts[first : first + len(words)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[at] = lengths
+        self.starts[at] = self.used + np.cumsum(lengths) - lengths
         self.used += len(flat)
-        self.rows.update(zip(words, range(first, first + len(words)), strict=True))
-
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        rows = list(map(self.rows.get, words))
-        if None in rows:
-            if len(self.rows) > self.cached_words:
-                self._clear()
-            self._learn(list({w for w in words if w not in self.rows}))
-            rows = list(map(self.rows.get, words))
-        rows = np.array(rows, np.int64)
-        lengths = self.lengths[rows]
-        return self.ids[flat_gather(self.starts[rows], lengths)], lengths
+
+    def _split(self, text: str) -> tuple[list[str], bool]:
+        """Blank-separated words, and whether they are plain (then in lower case)."""
+        plain = self.split is not None and UNUSUAL.search(text) is None
+        if plain:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                plain = False
+        return text.replace("\n", " ").split(" "), plain
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another (uint32), and how many each text has."""
-        words: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
+        if len(self.rows) > self.cached_words:
+            self._clear()
+        counts, found = np.zeros(len(texts), np.int64), []
+        fresh: dict[bool, list[str]] = {True: [], False: []}
         for i, text in enumerate(texts):
-            more = text.replace("\n", " ").split(" ")
-            counts[i] = len(more)
-            words += more
-        if not words:
-            return np.zeros(0, np.uint32), counts
-        ids, lengths = self._words(words)
+            words, plain = self._split(text)
+            self.rows.fresh = fresh[plain]
+            found += map(self.rows.__getitem__, words)
+            counts[i] = len(words)
+        for plain, words in fresh.items():
+            if words:
+                self._learn(words, plain)
+        rows = np.array(found, np.int64)
+        lengths = self.lengths[rows]
+        ids = self.ids[flat_gather(self.starts[rows], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
         return ids, np.diff(ends, prepend=0)
 
