@@ -17,7 +17,8 @@ index entry. Wrong marks change only the order or add an entry, never the result
 Candidates: in every posting list each member is paired with the list's most typical member
 (fewest rare tokens), and verified on the whole texts; then all pairs of a list whose members
 are still in different components, except those already verified or excluded by exact bounds on
-sizes and rare tokens. Pairs inside a component found already cannot change it.
+sizes, rare tokens and the number of lists in which a pair meets. Pairs inside a component found
+already cannot change it.
 
 Defined cases: null text or text without words has an empty set and is linked with nothing;
 with fewer words than a shingle the whole sequence is one token; every row is compared by its own
@@ -210,14 +211,19 @@ def _entries(docs: DataFrame, measure: Measure, maps) -> DataFrame:
 # ---- candidates and verification ----------------------------------------------------------------
 
 
-def _possible(measure: Measure, entry: str, x: str, y: str) -> str:
-    """Whether two sets that meet at ``entry`` can reach the threshold.
+def _candidates(met: DataFrame, measure: Measure) -> DataFrame:
+    """Distinct pairs ``u, v`` out of meetings (``entry``, and id, ``n``, ``r`` of both) that can be links.
 
-    Sets that meet at a pair of frequent tokens had all their rare tokens in their prefixes; if
-    they share a rare one they meet there too, so here all shared tokens are frequent.
+    Each prefix makes sure of its set's spare tokens and one more: rare ones alone, and all but
+    one of a bucket. A partner lacks at most the set's size less the overlap that the two sizes
+    call for, and every token that it lacks costs one of them at most; so a link meets at no
+    fewer entries than what remains. Sets that meet only at pairs of frequent tokens had all
+    their rare tokens in their prefixes and share none of them, so all they share is frequent.
     """
     m, d = measure.num, measure.den
-    return f"least({x}.n, {y}.n) * {d} >= greatest({x}.n, {y}.n) * {m} and (({entry} & 1) = 0 or least({x}.n - {x}.r, {y}.n - {y}.r) * {m + d} >= ({x}.n + {y}.n) * {m})"
+    least = f"ceil((un + vn) * {m} / {m + d}.0D - 1e-9) - ceil(greatest(un, vn) * {m} / {d}.0D + 1e-9) + 1"
+    pairs = met.groupBy("u", "v", "un", "vn", "ur", "vr").agg(F.count("*").alias("met"), F.max(F.expr("(entry & 1) = 0")).alias("alone"))
+    return pairs.where(f"met >= {least} and (alone or least(un - ur, vn - vr) * {m + d} >= (un + vn) * {m})").select("u", "v")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, measure: Measure) -> DataFrame:
@@ -269,19 +275,26 @@ def join(docs: DataFrame, measure: Measure = Measure(), frequent: int = FREQUENT
     index = sets.select(F.explode("entries").alias("entry"), "id", "n", "r")
 
     centres = index.groupBy("entry").agg(F.min(F.struct("r", "id", "n")).alias("c"), F.count("*").alias("size")).where("size > 1").select("entry", "c")
-    met = index.join(centres, "entry").where(f"id <> c.id and {_possible(measure, 'entry', 'c', 'x')}".replace("x.n", "n").replace("x.r", "r"))
-    first = written(met.select(F.col("c.id").alias("u"), F.col("id").alias("v")).distinct(), "jaccard-pairs")
+    size = f"least({{0}}.n, {{1}}.n) * {measure.den} >= greatest({{0}}.n, {{1}}.n) * {measure.num}"
+    met = index.alias("x").join(centres, "entry").where("x.id <> c.id and " + size.format("x", "c"))
+    both = [F.expr(f"{a}.{c}").alias(b + c) for a, b in (("c", "u"), ("x", "v")) for c in ("n", "r")]
+    met = met.select("entry", F.col("c.id").alias("u"), F.col("x.id").alias("v"), *both)
+    first = written(_candidates(met, measure), "jaccard-pairs")
     links = written(_verified(docs, first, measure), "jaccard-links")
     found = components(links)
+    release_shuffles(spark)
 
     # What is left: pairs of one posting list in different components, verified one and all.
     named = index.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     apart = named.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("entry")
     rest = written(named.join(apart, "entry").select("entry", "id", "n", "r", "component"), "jaccard-rest")
     x, y = rest.alias("x"), rest.alias("y")
-    more = x.join(y, F.expr(f"x.entry = y.entry and x.id < y.id and x.component <> y.component and {_possible(measure, 'x.entry', 'x', 'y')}")).select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
+    more = x.join(y, F.expr("x.entry = y.entry and x.id < y.id and x.component <> y.component and " + size.format("x", "y")))
+    both = [F.expr(f"{a}.{c}").alias(b + c) for a, b in (("x", "u"), ("y", "v")) for c in ("n", "r")]
+    more = _candidates(more.select("x.entry", F.col("x.id").alias("u"), F.col("y.id").alias("v"), *both), measure)
     known = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     more = written(more.join(known, ["u", "v"], "left_anti"), "jaccard-more-pairs")
+    release_shuffles(spark)
     if not more.isEmpty():
         links = links.unionByName(written(_verified(docs, more, measure), "jaccard-more-links"))
         found = components(links)
