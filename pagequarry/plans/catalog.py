@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pagequarry.plans import annotations, layout, rules, search, statistics  # noqa: F401  they register themselves
+from pagequarry.plans.registry import QUERIES, SQL
+from pagequarry.streaming import replay  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
