@@ -16,7 +16,7 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, written, read back and digested."""
-    return token_output.digests(token_output.read_tokens(spark, token_output.write_tokens(table(spark, sf_dir, "documents"))))
+    return token_output.read_tokens(spark, token_output.write_tokens(table(spark, sf_dir, "documents")), digest=True)
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

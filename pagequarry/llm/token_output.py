@@ -16,13 +16,14 @@ empty file set; columns other than ``doc_id`` and ``text`` are ignored.
 
 from __future__ import annotations
 
+import bisect
 import struct
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.llm import word_tokens
@@ -31,7 +32,9 @@ from pagequarry.llm.common import scratch_path, written
 BLOCK_IDS = 1 << 20
 MAGIC = b"PQSV"
 HEADER = "<4sBxxxIQQ"  # magic, bits an id, documents, control bytes, data bytes
-BLOCKS = "part int, block int, n_docs int, n_ids long, payload binary"
+BLOCKS = "part int, block int, before long, n_docs int, n_ids long, payload binary"  # before: ids of the part before the block
+STAGED = "doc_id long, tie long, n_ids long, ids binary, counts binary"
+SAMPLED = 64  # ids a part, to find where parts begin
 
 
 def control_bits(size: int) -> int:
@@ -84,53 +87,66 @@ class TokenFiles:
 
 
 def token_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """``doc_id, tie, n_ids, ids``: a row a document, ids as little-endian bytes."""
+    """``doc_id, tie, n_ids, ids``: a row a document, ids as little-endian bytes.
+
+    Each task adds a row with its ``counts`` of all ids of the vocabulary and nothing else.
+    """
 
     def tokenise(batches):
         enc = word_tokens.encoder(path)
-        kind = "<u2" if control_bits(max(enc.size, end_id + 1)) == 1 else "<u4"
+        size = max(enc.size, end_id + 1)
+        kind = "<u2" if control_bits(size) == 1 else "<u4"
+        total = np.zeros(size, np.int64)
+        names = ["doc_id", "tie", "n_ids", "ids", "counts"]
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(2).to_pylist()]
-            at, ids, counts = 0, [], []
-
-            def out(upto, ids=ids, counts=counts, batch=batch):
-                return pa.RecordBatch.from_arrays([batch.column(0).slice(upto - len(ids), len(ids)), batch.column(1).slice(upto - len(ids), len(ids)), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "tie", "n_ids", "ids"])
-
-            size = 0
-            for one in enc.documents(texts, end_id):
+            first, held, ids, counts = 0, 0, [], []
+            for i, one in enumerate(enc.documents(texts, end_id)):
                 ids.append(one.astype(kind).tobytes())
                 counts.append(len(one))
-                at, size = at + 1, size + len(ids[-1])
-                if size > 1 << 22:
-                    yield out(at)
-                    ids.clear(), counts.clear()
-                    size = 0
-            if ids:
-                yield out(at)
+                held += len(one)
+                if held > 1 << 20 or i + 1 == len(texts):
+                    total += np.bincount(np.frombuffer(b"".join(ids), kind), minlength=size)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(ids)), batch.column(1).slice(first, len(ids)), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
+                    first, held, ids, counts = i + 1, 0, [], []
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    return rows.mapInArrow(tokenise, "doc_id long, tie long, n_ids long, ids binary")
+    return rows.mapInArrow(tokenise, STAGED)
 
 
-def _frequency_order(ids: DataFrame, size: int, width: int) -> np.ndarray:
-    """Ids from the most to the least frequent. Each task sends at most ``size`` counts."""
+def _frequency_order(staged: DataFrame, size: int) -> np.ndarray:
+    """Ids from the most to the least frequent, from the counts that the tasks left."""
 
-    def count(batches):
+    def add(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
             for blob in batch.column(0):
-                if blob.is_valid:
-                    total += np.bincount(np.frombuffer(blob.as_buffer(), f"<u{width}"), minlength=size)
+                total += np.frombuffer(blob.as_buffer(), np.int64)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
 
-    counts = ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = staged.where("counts is not null").select("counts").mapInArrow(add, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     total = np.zeros(size, np.int64)
-    for row in counts.toLocalIterator():  # a row an id of the vocabulary at most
-        total[row.id] = row.n
+    got = counts.toPandas()  # a row an id of the vocabulary at most
+    total[got["id"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return np.lexsort((np.arange(size), -total)).astype(np.uint32)
 
 
+def _key(doc_id: int | None, tie: int) -> tuple:
+    return (doc_id is not None, doc_id or 0, tie)
+
+
+def _part_starts(staged: DataFrame, parts: int) -> list[tuple]:
+    """Where each part but the first begins, from about ``SAMPLED`` ids a part."""
+    keys = staged.where("counts is null").select("doc_id", "tie")
+    n = keys.count()
+    if n > SAMPLED * parts:
+        keys = keys.where(F.pmod(F.xxhash64("tie", "doc_id"), F.lit(1 << 20)) < max(1, int((1 << 20) * SAMPLED * parts / n)))
+    found = sorted({_key(r["doc_id"], r["tie"]) for r in keys.collect()})
+    return sorted({found[i * len(found) // parts] for i in range(1, parts)}) if found else []
+
+
 def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 1, target: str | None = None, block_ids: int = BLOCK_IDS) -> TokenFiles:
     """Tokenise ``docs`` and write a file set; ``target`` is a folder that Spark can write."""
     spark = docs.sparkSession
@@ -138,7 +154,9 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 1, targ
     size = max(word_tokens.encoder(path).size, end_id + 1)
     bits, width = control_bits(size), 2 if control_bits(size) == 1 else 4
     ids = written(token_ids(docs, path, end_id), "token-ids")
-    order = _frequency_order(ids, size, width)
+    order = _frequency_order(ids, size)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    starts = spark.sparkContext.broadcast(_part_starts(ids, n))
     rank = np.empty(size, np.uint32)
     rank[order] = np.arange(size, dtype=np.uint32)
     ranks = spark.sparkContext.broadcast(rank)  # one entry an id of the vocabulary
@@ -146,16 +164,17 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 1, targ
     def encode(batches):
         for batch in batches:
             controls, datas = [], []
+            parts = [bisect.bisect_right(starts.value, _key(*k)) for k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             for blob in batch.column(3):
                 c, d = encode_ranks(ranks.value[np.frombuffer(blob.as_buffer(), f"<u{width}")], bits)
                 controls.append(c)
                 datas.append(d)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(controls, pa.binary()), pa.array(datas, pa.binary())], ["doc_id", "tie", "n_ids", "control", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(controls, pa.binary()), pa.array(datas, pa.binary()), pa.array(parts, pa.int32())], ["doc_id", "tie", "n_ids", "control", "data", "part"])
 
     def blocks(batches):
         from pyspark import TaskContext
 
-        part, block = TaskContext.get().partitionId(), 0
+        part, block, before = TaskContext.get().partitionId(), 0, 0
         docs_, counts, controls, datas, total = [], [], [], [], 0
 
         def row():
@@ -163,13 +182,13 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 1, targ
             known = np.array([x is not None for x in docs_], np.uint8)
             names = np.array([x or 0 for x in docs_], "<i8")
             payload = struct.pack(HEADER, MAGIC, bits, len(docs_), len(control), len(data)) + names.tobytes() + known.tobytes() + np.array(counts, "<u4").tobytes() + control + data
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([len(docs_)], pa.int32()), pa.array([total], pa.int64()), pa.array([payload], pa.binary())], ["part", "block", "n_docs", "n_ids", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()), pa.array([len(docs_)], pa.int32()), pa.array([total], pa.int64()), pa.array([payload], pa.binary())], ["part", "block", "before", "n_docs", "n_ids", "payload"])
 
         for batch in batches:
             for doc, n, control, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
                 if docs_ and total + n > block_ids:
                     yield row()
-                    block, total = block + 1, 0
+                    block, before, total = block + 1, before + total, 0
                     for x in (docs_, counts, controls, datas):
                         x.clear()
                 docs_.append(doc)
@@ -182,25 +201,36 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 1, targ
 
     target = target or scratch_path(spark, "token-files")
     files = TokenFiles(f"{target}/blocks", f"{target}/vocabulary")
-    coded = ids.mapInArrow(encode, "doc_id long, tie long, n_ids long, control binary, data binary")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (coded.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").mapInArrow(blocks, BLOCKS)
+    coded = ids.where("counts is null").select("doc_id", "tie", "n_ids", "ids").mapInArrow(encode, "doc_id long, tie long, n_ids long, control binary, data binary, part int")
+    (coded.repartitionById(n, F.col("part")).sortWithinPartitions("doc_id", "tie").mapInArrow(blocks, BLOCKS)
         .write.option("compression", "uncompressed").parquet(files.blocks))
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(order)], "rank int, id int").coalesce(1).write.parquet(files.vocabulary)
     return files
 
 
-def read_tokens(spark: SparkSession, files: TokenFiles) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` of a file set; ids as little-endian uint32 bytes."""
+def read_tokens(spark: SparkSession, files: TokenFiles, digest: bool = False) -> DataFrame:
+    """``doc_id, start, n_tokens, ids`` of a file set; ids as little-endian uint32 bytes.
+
+    With ``digest`` their unsigned crc32, ``ids_crc32``, takes the place of ``ids``.
+    """
     blocks = spark.read.schema(BLOCKS).parquet(files.blocks)
     vocabulary = spark.read.schema("rank int, id int").parquet(files.vocabulary).orderBy("rank").toPandas()
     ids = spark.sparkContext.broadcast(vocabulary["id"].to_numpy(np.uint32))
+    # One row a part: 16 bytes for each of as many parts as the writer had shuffle partitions.
+    base, at = {}, 0
+    for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect():
+        base[r["part"]] = at
+        at += r["n"]
+    bases = spark.sparkContext.broadcast(base)
+    out = "ids_crc32 long" if digest else "ids binary"
 
     def decode(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 raw = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8)
-                _, bits, n, n_control, n_data = struct.unpack_from(HEADER, raw)
+                magic, bits, n, n_control, n_data = struct.unpack_from(HEADER, raw)
+                if magic != MAGIC:
+                    raise ValueError("not a block of token ids")
                 at = struct.calcsize(HEADER)
                 names, at = raw[at : at + 8 * n].view("<i8"), at + 8 * n
                 known, at = raw[at : at + n].astype(bool), at + n
@@ -210,26 +240,12 @@ def read_tokens(spark: SparkSession, files: TokenFiles) -> DataFrame:
                 for k in counts.tolist():
                     took = -(-k * bits // 8)
                     ranks, used = decode_ranks(control[c : c + took], data[d : d + k * (1 << bits)], k, bits)
-                    blobs.append(ids.value[ranks].astype("<u4").tobytes())
+                    found = ids.value[ranks].astype("<u4")
+                    blobs.append(zlib.crc32(found) if digest else found.tobytes())
                     c, d = c + took, d + used
-                first = np.cumsum(counts) - counts
-                keys = [pa.array(np.full(n, batch.column(x)[i].as_py()), pa.int32()) for x in (0, 1)]
+                starts = bases.value[batch.column(0)[i].as_py()] + batch.column(1)[i].as_py() + np.cumsum(counts) - counts
+                columns = [pa.array(names, pa.int64(), mask=~known), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.int64() if digest else pa.binary())]
                 for j in range(0, n, 2000):
-                    yield pa.RecordBatch.from_arrays([x.slice(j, 2000) for x in (*keys, pa.array(names, pa.int64(), mask=~known), pa.array(first, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary()))], ["part", "block", "doc_id", "first", "n_tokens", "ids"])
-
-    docs = blocks.select("part", "block", "payload").mapInArrow(decode, "part int, block int, doc_id long, first long, n_tokens long, ids binary")
-    heads = blocks.select("part", "block", "n_ids")
-    within = heads.withColumn("before", F.sum("n_ids").over(Window.partitionBy("part").orderBy("block")) - F.col("n_ids"))
-    # One row a file: the only ordering over all of them.
-    parts = heads.groupBy("part").agg(F.sum("n_ids").alias("of_part")).withColumn("base", F.sum("of_part").over(Window.orderBy("part")) - F.col("of_part"))
-    starts = within.join(parts, "part").select("part", "block", (F.col("before") + F.col("base")).alias("before"))
-    return docs.join(starts, ["part", "block"]).select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids")
-
-
-def digests(tokens: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of what ``read_tokens`` gives."""
-    return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
+                    yield pa.RecordBatch.from_arrays([x.slice(j, 2000) for x in columns], ["doc_id", "start", "n_tokens", out.split()[0]])
 
-def crc32(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+    return blocks.select("part", "before", "payload").mapInArrow(decode, f"doc_id long, start long, n_tokens long, {out}")
