@@ -214,16 +214,21 @@ def _entries(docs: DataFrame, measure: Measure, maps) -> DataFrame:
 def _candidates(met: DataFrame, measure: Measure) -> DataFrame:
     """Distinct pairs ``u, v`` out of meetings (``entry``, and id, ``n``, ``r`` of both) that can be links.
 
-    Each prefix makes sure of its set's spare tokens and one more: rare ones alone, and all but
-    one of a bucket. A partner lacks at most the set's size less the overlap that the two sizes
-    call for, and every token that it lacks costs one of them at most; so a link meets at no
-    fewer entries than what remains. Sets that meet only at pairs of frequent tokens had all
-    their rare tokens in their prefixes and share none of them, so all they share is frequent.
+    A prefix makes sure of its set's spare tokens and one more: rare ones alone, and all but one
+    of a bucket. A partner lacks at most the set's size less the overlap that the two sizes call
+    for, and every token that it lacks costs one of them at most. So of the rare tokens of the
+    prefix that ends first, all but those are met. Sets that meet only at pairs of frequent
+    tokens had all their rare tokens in their prefixes and share none of them: all they share is
+    frequent, and they meet at no fewer pairs than what the prefix makes sure of.
     """
     m, d = measure.num, measure.den
-    least = f"ceil((un + vn) * {m} / {m + d}.0D - 1e-9) - ceil(greatest(un, vn) * {m} / {d}.0D + 1e-9) + 1"
-    pairs = met.groupBy("u", "v", "un", "vn", "ur", "vr").agg(F.count("*").alias("met"), F.max(F.expr("(entry & 1) = 0")).alias("alone"))
-    return pairs.where(f"met >= {least} and (alone or least(un - ur, vn - vr) * {m + d} >= (un + vn) * {m})").select("u", "v")
+    overlap = f"ceil((un + vn) * {m} / {m + d}.0D - 1e-9)"
+    sure = lambda x: f"{x}n - ceil({x}n * {m} / {d}.0D + 1e-9) + 1"
+    alone = f"least(least(ur, {sure('u')}) - un, least(vr, {sure('v')}) - vn) + {overlap}"
+    pairs = f"least({sure('u')} - un, {sure('v')} - vn) + {overlap}"
+    counted = met.groupBy("u", "v", "un", "vn", "ur", "vr").agg(F.count(F.when(F.expr("(entry & 1) = 0"), 1)).alias("alone"), F.count("*").alias("met"))
+    frequent = f"alone = 0 and met >= {pairs} and least(un - ur, vn - vr) * {m + d} >= (un + vn) * {m}"
+    return counted.where(f"(alone > 0 and alone >= {alone}) or ({frequent})").select("u", "v")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, measure: Measure) -> DataFrame:
@@ -234,7 +239,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, measure: Measure) -> DataFrame:
     blocks = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = pairs.join(blocks, "u").select("u", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), "v")
     need = dealt.select("u", "block", F.col("v").alias("id"), F.lit(1).alias("member")).unionByName(dealt.select("u", "block", F.col("u").alias("id"), F.lit(0).alias("member")).distinct())
-    rows = need.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").select("u", "block", "member", "id", "text")
+    # Texts move in the same way whatever the number of pairs: neither side is ever broadcast.
+    rows = need.hint("merge").join(docs.select(F.col("doc_id").alias("id"), "text"), "id").select("u", "block", "member", "id", "text")
 
     def run(batches):
         at, centres = None, []
@@ -286,8 +292,10 @@ def join(docs: DataFrame, measure: Measure = Measure(), frequent: int = FREQUENT
 
     # What is left: pairs of one posting list in different components, verified one and all.
     named = index.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = named.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("entry")
-    rest = written(named.join(apart, "entry").select("entry", "id", "n", "r", "component"), "jaccard-rest")
+    apart = named.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least")).where("low <> high").select("entry", "least")
+    # Where only frequent tokens are shared, too many rare ones exclude a set from any link.
+    reach = f"(entry & 1) = 0 or (n - r) * {measure.num + measure.den} >= (n + greatest(least, ceil(n * {measure.num} / {measure.den}.0D - 1e-9))) * {measure.num}"
+    rest = written(named.join(apart, "entry").where(reach).select("entry", "id", "n", "r", "component"), "jaccard-rest")
     x, y = rest.alias("x"), rest.alias("y")
     more = x.join(y, F.expr("x.entry = y.entry and x.id < y.id and x.component <> y.component and " + size.format("x", "y")))
     both = [F.expr(f"{a}.{c}").alias(b + c) for a, b in (("x", "u"), ("y", "v")) for c in ("n", "r")]
