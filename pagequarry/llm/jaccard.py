@@ -297,7 +297,8 @@ def join(docs: DataFrame, measure: Measure = Measure(), frequent: int = FREQUENT
     reach = f"(entry & 1) = 0 or (n - r) * {measure.num + measure.den} >= (n + greatest(least, ceil(n * {measure.num} / {measure.den}.0D - 1e-9))) * {measure.num}"
     rest = written(named.join(apart, "entry").where(reach).select("entry", "id", "n", "r", "component"), "jaccard-rest")
     x, y = rest.alias("x"), rest.alias("y")
-    more = x.join(y, F.expr("x.entry = y.entry and x.id < y.id and x.component <> y.component and " + size.format("x", "y")))
+    frequent = f"((x.entry & 1) = 0 or least(x.n - x.r, y.n - y.r) * {measure.num + measure.den} >= (x.n + y.n) * {measure.num})"
+    more = x.join(y, F.expr("x.entry = y.entry and x.id < y.id and x.component <> y.component and " + size.format("x", "y") + " and " + frequent))
     both = [F.expr(f"{a}.{c}").alias(b + c) for a, b in (("x", "u"), ("y", "v")) for c in ("n", "r")]
     more = _candidates(more.select("x.entry", F.col("x.id").alias("u"), F.col("y.id").alias("v"), *both), measure)
     known = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
