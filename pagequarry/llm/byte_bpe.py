@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagequarry.llm.common import CACHES
+
 #: Code points of a chunk, and of its overlap with the next one.
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: A match that ends so near a chunk's end could differ if more text were seen ("'r" before "e").
@@ -31,6 +33,7 @@ LOOKAHEAD = 2
 CACHED_PIECES = 400_000
 
 _CODERS: dict[str, "ByteBpe"] = {}
+CACHES.append(_CODERS.clear)
 
 
 def default_path() -> str:

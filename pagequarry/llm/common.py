@@ -131,6 +131,16 @@ def flat_gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total, dtype=np.int64)
 
 
+#: What empties the caches of words that operators keep in a Python process.
+CACHES: list = []
+
+
+def forget_caches() -> None:
+    """Give back what other operators keep in this Python process; workers outlive their tasks."""
+    for clear in CACHES:
+        clear()
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any longer."""
     import gc

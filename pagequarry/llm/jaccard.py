@@ -35,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import mix64, release_shuffles, utf8_parts, written
+from pagequarry.llm.common import forget_caches, mix64, release_shuffles, utf8_parts, written
 from pagequarry.llm.components import components
 from pagequarry.llm.words import shingle_sets
 
 MAP_BITS = 27  # of each bit map: 16 MB, whatever the input
 FREQUENT = 32  # documents from which on a token is frequent
+PART, HELD = 1 << 20, 1 << 20  # bytes of text and tokens that a task works on at a time
 BLOCK = 64  # members that are verified against one copy of a centre's text
 _ONE, _TWO, _KEY = (np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407, 0x9FB21C651E98DF25))
 
@@ -73,6 +74,7 @@ def _count_blocks(docs: DataFrame, measure: Measure, bits: int) -> DataFrame:
     """Distinct tokens of a task by their top ``bits``, with repeats beside."""
 
     def run(batches):
+        forget_caches()
         held, n = [], 0
 
         def flush():
@@ -92,11 +94,11 @@ def _count_blocks(docs: DataFrame, measure: Measure, bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["bucket", "tokens", "again"])
 
         for batch in batches:
-            for _, _, data, offsets in utf8_parts(batch.column(0), 1 << 21):
+            for _, _, data, offsets in utf8_parts(batch.column(0), PART):
                 for one in shingle_sets(data, offsets, measure.words):
                     held.append(one)
                     n += len(one)
-                if n > 3 << 20:
+                if n > HELD:
                     yield from flush()
                     held, n = [], 0
         if n:
@@ -192,7 +194,7 @@ def _entries(docs: DataFrame, measure: Measure, maps) -> DataFrame:
     def run(batches):
         twice_map, often_map = maps.value
         for batch in batches:
-            for a, b, data, offsets in utf8_parts(batch.column(1), 1 << 21):
+            for a, b, data, offsets in utf8_parts(batch.column(1), PART):
                 rows = []
                 for tokens in shingle_sets(data, offsets, measure.words):
                     if not len(tokens):
@@ -247,7 +249,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, measure: Measure) -> DataFrame:
         for batch in batches:
             us, blocks_, members, ids = (batch.column(i).to_pylist() for i in range(4))
             links = []
-            for a, b, data, offsets in utf8_parts(batch.column(4), 1 << 21):
+            for a, b, data, offsets in utf8_parts(batch.column(4), PART):
                 for i, tokens in zip(range(a, b), shingle_sets(data, offsets, measure.words), strict=True):
                     if (us[i], blocks_[i]) != at:
                         at, centres = (us[i], blocks_[i]), []

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import held_out, text_groups, written
+from pagequarry.llm.common import CACHES, forget_caches, held_out, text_groups, written
 
 MAX_DOCS, ROUNDS, SMOOTHING, LONGEST, LONGEST_PIECE = 2_000, 2, 0.1, 24, 12
 MAX_LANGUAGES = 256
@@ -267,10 +267,13 @@ class Scorer:
 _SCORERS: dict[str, Scorer] = {}
 
 
+CACHES.append(_SCORERS.clear)
+
+
 def scorer(key: str, model: LanguageModel) -> Scorer:
     """The scorer of this Python process for the model named ``key``."""
     if key not in _SCORERS:
-        _SCORERS.clear()
+        forget_caches()
         _SCORERS[key] = Scorer(model)
     return _SCORERS[key]
 

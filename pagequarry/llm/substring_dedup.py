@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import mix64, utf8_parts, written
+from pagequarry.llm.common import forget_caches, mix64, utf8_parts
 from pagequarry.llm.words import LOWER, _powers, word_hashes, word_spans
 
 LEAST_WORDS, RUN_WORDS = 4, 20
@@ -59,8 +59,9 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _digests(docs: DataFrame, least: int) -> DataFrame:
     def run(batches):
+        forget_caches()
         for batch in batches:
-            for a, b, data, offsets in utf8_parts(batch.column(2), 1 << 21):
+            for a, b, data, offsets in utf8_parts(batch.column(2), 1 << 20):
                 _, _, size, h1, h2, many = units(data, offsets)
                 row = np.repeat(np.arange(a, b), many)
                 number = np.arange(len(size)) - np.repeat(np.cumsum(many) - many, many)

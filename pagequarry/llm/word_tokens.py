@@ -21,7 +21,7 @@ from string import punctuation
 
 import numpy as np
 
-from pagequarry.llm.common import flat_gather, text_groups, text_windows
+from pagequarry.llm.common import CACHES, flat_gather, forget_caches, text_groups, text_windows
 
 #: Distinct words that a worker keeps; beyond it the cache starts anew.
 CACHED_WORDS = 1_200_000
@@ -30,6 +30,7 @@ CACHED_WORDS = 1_200_000
 UNUSUAL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f]|<\|")
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
+CACHES.append(_ENCODERS.clear)
 
 
 def default_path() -> str:
@@ -41,6 +42,7 @@ def default_path() -> str:
 def encoder(path: str) -> "WordEncoder":
     """The encoder for ``path`` of this Python process."""
     if path not in _ENCODERS:
+        forget_caches()
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
