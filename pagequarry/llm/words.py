@@ -82,8 +82,8 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np
         return np.zeros(0, np.uint64), many
     with np.errstate(over="ignore"):
         rolled = np.zeros(total, np.uint64)
-        for k in range(size):
-            rolled[: total - k if k else total] += words[k:] * np.uint64(2 * (k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) + 1)
+        for k in range(min(size, total)):
+            rolled[: total - k] += words[k:] * np.uint64(2 * (k + 1) * 0x9E3779B97F4A7C15 % (1 << 64) + 1)
         rolled = mix64(rolled)
         index = np.repeat(firsts - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         out = rolled[index]
