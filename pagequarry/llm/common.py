@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -139,11 +140,11 @@ def forget_caches() -> None:
     """Give back what other operators keep in this Python process; workers outlive their tasks."""
     for clear in CACHES:
         clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that nothing refers to any longer."""
-    import gc
-
     gc.collect()
     spark.sparkContext._jvm.System.gc()
