@@ -44,7 +44,7 @@ def roman_value(text: Column) -> Column:
     total = F.aggregate(
         F.reverse(digits),
         F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last")),
-        lambda a, d: F.struct(F.when(d < a["last"], a["sum"] - d).otherwise(a["sum"] + d).alias("sum"), F.greatest(d, a["last"]).alias("last")),
+        lambda a, d: F.struct(F.when(d < a["last"], a["sum"] - d).otherwise(a["sum"] + d).alias("sum"), d.alias("last")),
         lambda a: a["sum"],
     )
     return F.when(text.rlike("^[ivxlcdmIVXLCDM]+$"), total)
