@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagequarry.plans import annotations, joins, layout, names, rules, search, statistics  # noqa: F401  they register themselves
+from pagequarry.plans import annotations, ink, joins, layout, names, rules, search, statistics, tables  # noqa: F401  they register themselves
 from pagequarry.plans.registry import QUERIES, SQL
 from pagequarry.streaming import replay  # noqa: F401
 

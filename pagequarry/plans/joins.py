@@ -52,8 +52,9 @@ def _marked_glyphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 def linked_glyphs(g: DataFrame, m: DataFrame) -> DataFrame:
     """For each glyph under marks: the first link, the last highlight, whether underlined."""
-    inside = (g.doc_id == m.doc_id) & (g.line == m.line) & (g.l + g.r).between(2 * m.l, 2 * m.r) & (g.t + g.b).between(2 * m.t, 2 * m.b)
-    hit = g.join(m, inside).select(g.doc_id, g.line, g.idx, m.event_id, m.kind)
+    m = m.select("doc_id", "line", "event_id", "kind", *[F.col(c).alias(f"m{c}") for c in "ltrb"])
+    inside = "l + r between 2 * ml and 2 * mr and t + b between 2 * mt and 2 * mb"
+    hit = g.select("doc_id", "line", "idx", "l", "t", "r", "b").join(m, ["doc_id", "line"]).where(inside)
     of = lambda kind: F.when(F.col("kind") == kind, F.col("event_id"))
     return hit.groupBy("doc_id", "line", "idx").agg(F.min(of("error")).alias("link"), F.max(of("purchase")).alias("colour"), F.bool_or(~F.col("kind").isin("error", "purchase")).alias("underlined"))
 
