@@ -16,15 +16,14 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain
 from string import punctuation
 
 import numpy as np
 
-from pagequarry.llm.common import CACHES, flat_gather, forget_caches, text_groups, text_windows
+from pagequarry.llm.common import CACHES, forget_caches, text_windows
 
 #: Distinct words that a worker keeps; beyond it the cache starts anew.
-CACHED_WORDS = 1_200_000
+CACHED_WORDS = 900_000
 
 #: What keeps a Latin-1 text from being split by the pattern here.
 UNUSUAL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f]|<\|")
@@ -47,15 +46,16 @@ def encoder(path: str) -> "WordEncoder":
     return _ENCODERS[path]
 
 
-class _Rows(dict):
-    """Word to row; an unknown word gets the next row and is noted in ``fresh``."""
+class _Words(dict):
+    """Word to its ids as bytes; an unknown word is encoded when it is first asked for."""
 
-    fresh: list[str]
+    def __init__(self, learn) -> None:
+        super().__init__({"": b""})
+        self.learn = learn
 
-    def __missing__(self, word: str) -> int:
-        row = self[word] = len(self)
-        self.fresh.append(word)
-        return row
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.learn(word)
+        return found
 
 
 class WordEncoder:
@@ -65,9 +65,12 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.coded = [i.to_bytes(self.kind.itemsize, "little") for i in range(self.size)]
+        self.tokenize = self.tokenizer.model.tokenize
         self.cached_words = cached_words
         self.split, self.marks = self._pattern(path)
-        self._clear()
+        self.words = {True: _Words(self._learn_plain), False: _Words(self._learn)}
 
     @staticmethod
     def _pattern(path: str):
@@ -86,33 +89,14 @@ class WordEncoder:
         byte = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
         return regex.compile(steps[0]["pattern"]["Regex"]).findall, {c: "".join(byte[b] for b in chr(c).encode()) for c in range(256)}
 
-    def _clear(self) -> None:
-        self.rows = _Rows({"": 0})
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)
-        self.lengths = np.zeros(1 << 14, np.int64)
-        self.used = 0
+    def _learn_plain(self, word: str) -> bytes:
+        # Letters, or letters and one mark, need no pattern.
+        pieces = (word,) if word.isalpha() else (word[:-1], word[-1]) if word[-1] in punctuation and word[:-1].isalpha() else self.split(word)
+        tokenize, marks, coded = self.tokenize, self.marks, self.coded
+        return b"".join([coded[t.id] for p in pieces for t in tokenize(p if p.isascii() else p.translate(marks))])
 
-    def _learn(self, words: list[str], plain: bool) -> None:
-        if plain:
-            tokenize, marks, found = self.tokenizer.model.tokenize, self.marks, []
-            for w in words:
-                # Letters, or letters and one mark, need no pattern.
-                pieces = (w,) if w.isalpha() else (w[:-1], w[-1]) if w[-1] in punctuation and w[:-1].isalpha() else self.split(w)
-                found.append([t.id for p in pieces for t in tokenize(p if p.isascii() else p.translate(marks))])
-        else:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
-        while len(self.rows) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([a, np.zeros_like(a)]) for a in (self.starts, self.lengths))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.lengths[at] = lengths
-        self.starts[at] = self.used + np.cumsum(lengths) - lengths
-        self.used += len(flat)
+    def _learn(self, word: str) -> bytes:
+        return b"".join([self.coded[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
 
     def _split(self, text: str) -> tuple[list[str], bool]:
         """Blank-separated words, and whether they are plain (then in lower case)."""
@@ -125,38 +109,21 @@ class WordEncoder:
                 plain = False
         return text.replace("\n", " ").split(" "), plain
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another (uint32), and how many each text has."""
-        if len(self.rows) > self.cached_words:
-            self._clear()
-        counts, found = np.zeros(len(texts), np.int64), []
-        fresh: dict[bool, list[str]] = {True: [], False: []}
-        for i, text in enumerate(texts):
-            words, plain = self._split(text)
-            self.rows.fresh = fresh[plain]
-            found += map(self.rows.__getitem__, words)
-            counts[i] = len(words)
-        for plain, words in fresh.items():
-            if words:
-                self._learn(words, plain)
-        rows = np.array(found, np.int64)
-        lengths = self.lengths[rows]
-        ids = self.ids[flat_gather(self.starts[rows], lengths)]
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
-        return ids, np.diff(ends, prepend=0)
+    def encode(self, text: str) -> bytes:
+        """All ids of a text as bytes, ``kind`` each."""
+        words, plain = self._split(text)
+        if sum(map(len, self.words.values())) > self.cached_words:
+            for known in self.words.values():
+                known.clear()
+                known[""] = b""
+        return b"".join(map(self.words[plain].__getitem__, words))
 
     def documents(self, texts: list[str], end_id: int):
-        """Yield each text's ids with ``end_id`` after them; memory follows the longest text."""
-        for start, end in text_groups(texts):
-            if end - start == 1 and len(texts[start]) > 1 << 20:
-                parts = [self.encode([w])[0] for w in text_windows(texts[start])]
-                yield np.concatenate([*parts, np.array([end_id], np.uint32)])
-                continue
-            ids, counts = self.encode(texts[start:end])
-            at = 0
-            for n in counts.tolist():
-                out = np.empty(n + 1, np.uint32)
-                out[:n] = ids[at : at + n]
-                out[n] = end_id
-                at += n
-                yield out
+        """Yield each text's ids (uint32) with ``end_id`` after them; memory follows the longest text."""
+        for text in texts:
+            parts = [self.encode(text)] if len(text) <= 1 << 20 else map(self.encode, text_windows(text))
+            ids = np.frombuffer(b"".join(parts), self.kind)
+            out = np.empty(len(ids) + 1, np.uint32)
+            out[:-1] = ids
+            out[-1] = end_id
+            yield out
