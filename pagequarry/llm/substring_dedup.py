@@ -1,19 +1,24 @@
-"""Substring dedup by hashed units: sentences of lines.
+"""Substring dedup by hashed windows of words.
 
-A unit is a run of words up to the end of a line or a word that ends in ``.``, ``!`` or ``?``.
-Normalised (A-Z as a-z, white space as nothing but a divider), units of at least ``LEAST_WORDS``
-words get a digest of 96 bits. Digests are grouped over all documents; the occurrence with the
-least rank (``doc_id``, unit number) stays. Units that repeat an earlier one are removed where
-they stand in runs of at least ``RUN_WORDS`` words; shorter units between two removed ones go
-with them. So a passage that repeats goes, but a common short line or sentence by itself stays.
+A passage is looked for by windows of ``RUN_WORDS`` words, normalised (A-Z as a-z, white space as
+nothing but a divider), with a digest of 96 bits each. Which windows of a text are taken depends
+on its words alone: those that start where a sentence or line starts, those that end where one
+ends, and of every ``NEAR`` windows in succession the one of least hash, with starts of sentences
+before others. So a repeat finds its windows wherever it stands: one of whole sentences from
+``RUN_WORDS`` words on and to its exact ends, any other from ``RUN_WORDS + NEAR`` words on.
+
+Digests are grouped over all documents; the occurrence with the least rank (``doc_id``, place)
+stays, and the words of all others are removed. Nothing is removed that is not in such a window;
+a common line or sentence of fewer words by itself stays. Of a repeat that starts or ends within
+a sentence up to ``NEAR`` words at that end may stay.
 
 The result keeps the spans that were removed as code point offsets into the original text, each
-with the document that keeps the first unit of the run.
+with the document that keeps the first window of the run.
 
 Defined cases: null and empty texts are unchanged; rows with a null ``doc_id`` take no part and
 are unchanged; equal rows (same ``doc_id`` and text) count once and are treated alike, rows with
-one ``doc_id`` and different texts are ranked by a hash of the text; extra columns are kept (one named
-``removed_spans`` is replaced).
+one ``doc_id`` and different texts are ranked by a hash of the text; a window that overlaps its
+own first occurrence stays; extra columns are kept (one named ``removed_spans`` is replaced).
 """
 
 from __future__ import annotations
@@ -23,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import forget_caches, mix64, utf8_parts
+from pagequarry.llm.common import forget_caches, mix64, utf8_parts, written
 from pagequarry.llm.words import LOWER, _powers, word_hashes, word_spans
 
-LEAST_WORDS, RUN_WORDS = 4, 20
+RUN_WORDS, NEAR = 20, 20
+SLICES = 8  # bits of a digest that name a slice of the map of repeated ones
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _STOP = np.zeros(256, bool)
@@ -34,76 +40,118 @@ _STOP[list(b".!?")] = True
 SPANS = "array<struct<start:int,end:int,kept_doc_id:bigint>>"
 
 
-def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Units of several texts: first byte, end byte, words, two hashes; and how many each text has."""
+def _sliding(values: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
+    """``pick`` over each ``size`` values in succession."""
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        values = pick(values[:-step], values[step:])
+        have += step
+    return values
+
+
+def windows(data: np.ndarray, offsets: np.ndarray, run_words: int = RUN_WORDS, near: int = NEAR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows taken of several texts: text, first word within it, two hashes."""
     low = LOWER[data]
     starts, ends, counts = word_spans(low, offsets)
-    n = len(starts)
-    if not n:
+    n, many = len(starts), len(starts) - run_words + 1
+    if many < 1:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), np.zeros(len(counts), np.int64)
+        return none, none, none.astype(np.uint64), none.astype(np.uint64)
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     text = np.repeat(np.arange(len(counts)), counts)
     last = np.ones(n, bool)
     last[:-1] = _STOP[data[ends[:-1] - 1]] | (lines[starts[1:]] != lines[starts[:-1]]) | (text[1:] != text[:-1])
-    final = np.flatnonzero(last)
-    first = np.concatenate([[0], final[:-1] + 1])
+    first = np.concatenate([[True], last[:-1]])[:many]
     words = word_hashes(low, starts, ends)
-    size = final - first + 1
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(words * _powers(_BASE, n), out=sums[1:])
-        rolled = (sums[final + 1] - sums[first]) * _powers(_INVERSE, n)[first] + size.astype(np.uint64)
-    return starts[first], ends[final], size, mix64(rolled), mix64(rolled * np.uint64(0x2545F4914F6CDD1D) + words[first] * np.uint64(3) + words[final]), np.bincount(text[first], minlength=len(counts))
+        rolled = (sums[run_words:] - sums[:many]) * _powers(_INVERSE, n)[:many]
+        h1 = mix64(rolled)
+    whole = text[run_words - 1 :] == text[:many]
+    taken = first | last[run_words - 1 :]
+    if many >= near:
+        order = h1 >> np.uint64(1) | np.where(first, np.uint64(0), np.uint64(1 << 63))
+        least = _sliding(order, near, np.minimum)
+        least[text[run_words + near - 2 :] != text[: len(least)]] = 0  # of windows of one text only
+        side = np.zeros(near - 1, np.uint64)
+        taken |= _sliding(np.concatenate([side, least, side]), near, np.maximum) == order
+    at = np.flatnonzero(taken & whole)
+    with np.errstate(over="ignore"):
+        h2 = mix64(rolled[at] * np.uint64(0x2545F4914F6CDD1D) + words[at] * np.uint64(3) + words[at + run_words - 1])
+    return text[at], at - (np.cumsum(counts) - counts)[text[at]], h1[at], h2
+
 
+def _digests(docs: DataFrame, run_words: int, repeated=None) -> DataFrame:
+    """A row a window; with a broadcast map only windows that it marks."""
 
-def _digests(docs: DataFrame, least: int) -> DataFrame:
     def run(batches):
         forget_caches()
         for batch in batches:
-            for a, b, data, offsets in utf8_parts(batch.column(2), 1 << 20):
-                _, _, size, h1, h2, many = units(data, offsets)
-                row = np.repeat(np.arange(a, b), many)
-                number = np.arange(len(size)) - np.repeat(np.cumsum(many) - many, many)
-                keep = size >= least
-                at = pa.array(row[keep])
-                out = [pa.array(h1[keep].view(np.int64)), pa.array((h2[keep] >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(at), batch.column(1).take(at), pa.array(number[keep].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(out, ["h1", "h2", "doc_id", "th", "unit"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").where("doc_id is not null").mapInArrow(run, "h1 long, h2 int, doc_id long, th long, unit int")
-
-
-def repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """``doc_id, th, unit, kept``: units that repeat an earlier one; ``kept`` is its document."""
-    every = _digests(docs, least)
-    first = every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    return every.join(first, ["h1", "h2"]).where("struct(doc_id, th, unit) > first").select("doc_id", "th", "unit", F.col("first.doc_id").alias("kept"))
-
-
-def cut(text: str, repeated: dict[int, int], run_words: int = RUN_WORDS, least: int = LEAST_WORDS) -> tuple[str, list[tuple[int, int, int]]]:
-    """The text without its long runs of repeated units, and what was removed."""
+            for a, _, data, offsets in utf8_parts(batch.column(2), 1 << 20):
+                text, place, h1, h2 = windows(data, offsets, run_words)
+                if repeated is not None:
+                    spot = _spots(h1, len(repeated.value))
+                    marked = (repeated.value[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
+                    text, place, h1, h2 = text[marked], place[marked], h1[marked], h2[marked]
+                row = pa.array(text + a)
+                out = [pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(row), batch.column(1).take(row), pa.array(place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(out, ["h1", "h2", "doc_id", "th", "place"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").where("doc_id is not null").mapInArrow(run, "h1 long, h2 int, doc_id long, th long, place int")
+
+
+def _spots(h1: np.ndarray, size: int) -> np.ndarray:
+    """The bits of digests in a map of ``size`` bytes, by their top bits."""
+    return (h1 >> np.uint64(64 - (size.bit_length() + 2))).astype(np.int64)
+
+
+def _repeated_map(first: DataFrame) -> np.ndarray:
+    """A bit map that marks the digests in ``first``, of 16 bits a digest within bounds; wrong marks are harmless."""
+    bits = min(30, max(20, (16 * first.count()).bit_length()))
+    size = 1 << (bits - 3)
+    each = size >> SLICES
+
+    def run(table: pa.Table) -> pa.Table:
+        h1 = table["h1"].to_numpy().view(np.uint64)
+        flags = np.zeros(each * 8, np.uint8)
+        flags[_spots(h1, size) & (each * 8 - 1)] = 1
+        return pa.table({"slice": pa.array([int(h1[0] >> np.uint64(64 - SLICES))], pa.int32()), "marks": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(size, np.uint8)
+    for row in first.select("h1").groupBy(F.shiftrightunsigned("h1", 64 - SLICES)).applyInArrow(run, "slice int, marks binary").toLocalIterator():
+        out[row["slice"] * each : (row["slice"] + 1) * each] = np.frombuffer(bytes(row["marks"]), np.uint8)
+    return out
+
+
+def repeats(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """``doc_id, th, place, kept``: windows that repeat an earlier one; ``kept`` is its document."""
+    every = _digests(docs, run_words)
+    first = every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    first = written(first, "repeated-windows")
+    again = _digests(docs, run_words, docs.sparkSession.sparkContext.broadcast(_repeated_map(first)))
+    later = f"struct(doc_id, th, place) > first and not (doc_id = first.doc_id and th = first.th and place < first.place + {run_words})"
+    return again.join(first, ["h1", "h2"]).where(later).select("doc_id", "th", "place", F.col("first.doc_id").alias("kept"))
+
+
+def cut(text: str, repeated: dict[int, int], run_words: int = RUN_WORDS) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text without the words of its repeated windows, and what was removed."""
     raw = np.frombuffer(text.encode(), np.uint8)
-    starts, ends, size, *_ = units(raw, np.array([0, len(raw)], np.int64))
-    runs, i, n = [], 0, len(starts)
-    while i < n:
-        if i not in repeated:
-            i += 1
-            continue
-        end, j = i, i
-        while j < n and (j in repeated or size[j] < least):
-            if j in repeated:
-                end = j
-            j += 1
-        if size[i : end + 1].sum() >= run_words:
-            runs.append((i, end))
-        i = end + 1
+    starts, *_ = word_spans(LOWER[raw], np.array([0, len(raw)], np.int64))
+    runs, n = [], len(starts)
+    for a in sorted(repeated):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = a + run_words
+        else:
+            runs.append([a, a + run_words])
     if not runs:
         return text, []
     places = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # code points before a byte
     kept, spans, at = [], [], 0
     for a, b in runs:
         start = int(places[starts[a]])
-        end = int(places[starts[b + 1]]) if b + 1 < n else len(text)
+        end = int(places[starts[b]]) if b < n else len(text)
         kept.append(text[at:start])
         spans.append((start, end, repeated[a]))
         at = end
@@ -111,13 +159,13 @@ def cut(text: str, repeated: dict[int, int], run_words: int = RUN_WORDS, least:
     return "".join(kept), spans
 
 
-def dedup(docs: DataFrame, run_words: int = RUN_WORDS, least: int = LEAST_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """``docs`` with the repeats cut from ``text`` and their ``removed_spans`` as a last column."""
-    found = repeats(docs, least).distinct().groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("unit", "kept")).alias("_units"))
-    docs = docs.drop("removed_spans", "_units")
+    found = repeats(docs, run_words).distinct().groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("place", "kept")).alias("_windows"))
+    docs = docs.drop("removed_spans", "_windows")
     names = docs.columns
     at = names.index("text")
-    joined = docs.join(found, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left").select(*docs.columns, "_units")
+    joined = docs.join(found, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left").select(*docs.columns, "_windows")
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kept_doc_id", pa.int64())]))
 
@@ -130,7 +178,7 @@ def dedup(docs: DataFrame, run_words: int = RUN_WORDS, least: int = LEAST_WORDS)
                     if not given:
                         spans.append([])
                         continue
-                    texts[k], gone = cut(texts[k], {x["unit"]: x["kept"] for x in given}, run_words, least)
+                    texts[k], gone = cut(texts[k], {x["place"]: x["kept"] for x in given}, run_words)
                     spans.append([{"start": a, "end": b, "kept_doc_id": c} for a, b, c in gone])
                 columns = list(part.columns[: len(names)])
                 columns[at] = pa.array(texts, pa.string())

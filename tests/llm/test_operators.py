@@ -257,6 +257,43 @@ def test_substrings(spark, odd, none):
     assert out.columns == [*odd.columns, "removed_spans"] and out.count() == 15 and substring_dedup.dedup(none).count() == 0
 
 
+def brute_repeats(texts, size):
+    """Words of each text that stand in a window of ``size`` words of an earlier text."""
+    seen, out = set(), {}
+    for i in sorted(texts):
+        w = texts[i].lower().split()
+        grams = [tuple(w[k : k + size]) for k in range(len(w) - size + 1)]
+        out[i] = {k + j for k, g in enumerate(grams) if g in seen for j in range(size)}
+        seen.update(grams)
+    return out
+
+
+def test_substrings_within_sentences(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    sentence = lambda n: " ".join(word() for _ in range(n)) + "."
+    short = " ".join(sentence(k) for k in (25, 4, 4, 5, 4, 26))  # inner sentences of 17 words together
+    unstopped = " ".join(word() for _ in range(60))
+    rows = [(1, f"{sentence(9)} {short} {sentence(7)}"), (2, f"{sentence(8)} {unstopped} {sentence(6)}")]
+    for i, source in enumerate((short, unstopped)):
+        w = source.split()
+        inner = w[5:-5] if i else w[8:-9]
+        assert len(inner) >= 50
+        rows.append((3 + i, f"{sentence(11)} {word()} {' '.join(inner)} {word()} {sentence(12)}"))
+    rows.append((5, f"{sentence(9)}\n" + re.sub(r"((?:\S+ ){7})", r"\1\n", short)))  # wrapped otherwise
+    texts = dict(rows)
+    want = brute_repeats(texts, 20)
+    for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        gone = set()
+        for s in r.removed_spans:
+            first = len(texts[r.doc_id][: s.start].split())
+            gone |= set(range(first, first + len(texts[r.doc_id][s.start : s.end].split())))
+        assert gone <= want[r.doc_id]
+        assert (len(want[r.doc_id]) >= 50) == (r.doc_id > 2) == bool(gone)
+        left = sorted(want[r.doc_id] - gone)
+        assert all(sum(a <= k < a + 20 for k in left) < 20 for a in left)
+
+
 def test_fingerprints(spark, odd, none, docs):
     got = {r.doc_id: r for r in queries.op9_fingerprints(spark, FOLDER).collect()}
     down = docs.sort_values("doc_id", ascending=False).reset_index(drop=True)
