@@ -9,7 +9,8 @@ before others. So a repeat finds its windows wherever it stands: one of whole se
 
 Digests are grouped over all documents; the occurrence with the least rank (``doc_id``, place)
 stays, and the words of all others are removed. Nothing is removed that is not in such a window;
-a common line or sentence of fewer words by itself stays. Of a repeat that starts or ends within
+a common line or sentence of fewer words by itself stays. In scripts without blanks a
+character counts as a word. Of a repeat that starts or ends within
 a sentence up to ``NEAR`` words at that end may stay.
 
 The result keeps the spans that were removed as code point offsets into the original text, each
@@ -37,9 +38,36 @@ _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
+_STOPS = np.array([0xE38082, 0xEFBC81, 0xEFBC9F])  # the full-width stops
 SPANS = "array<struct<start:int,end:int,kept_doc_id:bigint>>"
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as ``word_spans`` has them, but each character of a script without blanks by itself.
+
+    These are Thai, Lao, Burmese, Khmer, kana, Chinese characters and their full-width marks.
+    """
+    starts, ends, counts = word_spans(data, offsets)
+    at = np.flatnonzero(data >= 0xE0)
+    if not len(at):
+        return starts, ends, counts
+    lead, second = data[at], data[np.minimum(at + 1, len(data) - 1)]
+    alone = (lead >= 0xE3) & (lead <= 0xE9) | (lead == 0xE0) & (second >= 0xB8) & (second <= 0xBB) | (lead == 0xE1) & ((second <= 0x82) | (second == 0x9E) | (second == 0x9F))
+    alone |= (lead == 0xEF) & ((second == 0xBC) | (second == 0xBD) | (second >= 0xA4) & (second <= 0xAB)) | (lead == 0xF0) & (second >= 0xA0)
+    at = at[alone]
+    cuts = np.union1d(at, at + np.where(data[at] == 0xF0, 4, 3))
+    word = np.searchsorted(starts, cuts, side="right") - 1
+    inside = (word >= 0) & (starts[word] < cuts) & (cuts < ends[word])
+    starts, ends = np.sort(np.concatenate([starts, cuts[inside]])), np.sort(np.concatenate([ends, cuts[inside]]))
+    return starts, ends, np.diff(np.searchsorted(starts, offsets))
+
+
+def _stops(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether words that end there end a sentence."""
+    a, b, c = (data[np.maximum(ends - k, 0)].astype(np.int64) for k in (3, 2, 1))
+    return _STOP[data[ends - 1]] | np.isin(a << 16 | b << 8 | c, _STOPS)
+
+
 def _sliding(values: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
     """``pick`` over each ``size`` values in succession."""
     have = 1
@@ -53,7 +81,7 @@ def _sliding(values: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
 def windows(data: np.ndarray, offsets: np.ndarray, run_words: int = RUN_WORDS, near: int = NEAR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The windows taken of several texts: text, first word within it, two hashes."""
     low = LOWER[data]
-    starts, ends, counts = word_spans(low, offsets)
+    starts, ends, counts = pieces(low, offsets)
     n, many = len(starts), len(starts) - run_words + 1
     if many < 1:
         none = np.zeros(0, np.int64)
@@ -61,7 +89,7 @@ def windows(data: np.ndarray, offsets: np.ndarray, run_words: int = RUN_WORDS, n
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     text = np.repeat(np.arange(len(counts)), counts)
     last = np.ones(n, bool)
-    last[:-1] = _STOP[data[ends[:-1] - 1]] | (lines[starts[1:]] != lines[starts[:-1]]) | (text[1:] != text[:-1])
+    last[:-1] = _stops(data, ends[:-1]) | (lines[starts[1:]] != lines[starts[:-1]]) | (text[1:] != text[:-1])
     first = np.concatenate([[True], last[:-1]])[:many]
     words = word_hashes(low, starts, ends)
     with np.errstate(over="ignore"):
@@ -138,7 +166,7 @@ def repeats(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
 def cut(text: str, repeated: dict[int, int], run_words: int = RUN_WORDS) -> tuple[str, list[tuple[int, int, int]]]:
     """The text without the words of its repeated windows, and what was removed."""
     raw = np.frombuffer(text.encode(), np.uint8)
-    starts, *_ = word_spans(LOWER[raw], np.array([0, len(raw)], np.int64))
+    starts, *_ = pieces(LOWER[raw], np.array([0, len(raw)], np.int64))
     runs, n = [], len(starts)
     for a in sorted(repeated):
         if runs and a <= runs[-1][1]:

@@ -294,6 +294,21 @@ def test_substrings_within_sentences(spark):
         assert all(sum(a <= k < a + 20 for k in left) < 20 for a in left)
 
 
+def test_substrings_of_short_lines(spark):
+    rng = random.Random(6)
+    lines = lambda n: "\n".join(f"{x} {y}" for x, y in (rng.sample(range(10**6), 2) for _ in range(n)))
+    verse, own, bounds = lines(30), lines(30), "A line that many pages have at the top\n{}\nA line that many pages have at the end"
+    chinese = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(120))
+    rows = [(1, verse), (2, verse), (3, bounds.format(lines(2))), (4, bounds.format(own)), (5, chinese), (6, f"\u5b57{chinese[:70]}\u5b57 else"), (7, "\u3042" + chinese[30:90] + "\U00020000\u3002")]
+    got = {r.doc_id: r for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].text == verse and got[2].text == "" and got[2].removed_spans[0].kept_doc_id == 1
+    assert got[3].text == rows[2][1] and got[4].text == rows[3][1] and got[5].text == chinese
+    for i, n in ((6, 70), (7, 60)):
+        gone = sum(s.end - s.start for s in got[i].removed_spans)
+        assert n - 2 * 20 <= gone <= n and rows[i - 1][1].startswith(got[i].text[:1]) and got[i].text.endswith(rows[i - 1][1][-2:])
+    assert [len(x) for x in substring_dedup.pieces(np.frombuffer("a\u4e00b \u3002\U00020000c".encode(), np.uint8), np.array([0, 14]))] == [6, 6, 1]
+
+
 def test_fingerprints(spark, odd, none, docs):
     got = {r.doc_id: r for r in queries.op9_fingerprints(spark, FOLDER).collect()}
     down = docs.sort_values("doc_id", ascending=False).reset_index(drop=True)
