@@ -4,7 +4,9 @@ A page becomes a light tree. Menus, footers, forms and the like go by element or
 of their class, id and role. Every paragraph gives points for its length and commas to its
 ancestors, less the farther up; a container's points are discounted by its link density. The
 best container (or the article or main element around it) is kept, with the siblings that
-score near it or read like its paragraphs.
+score near it, read like its paragraphs or are sections beside a section. Names drop only elements
+that hold blocks, never headings, paragraphs or inline elements, and an id never a section. Lists
+of links go only where no container was found and the page's whole body is kept.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks
 are trimmed and joined in page order by one space. Nothing else is dropped or cut.
@@ -23,24 +25,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
-DROPPED = frozenset("nav footer aside form script style noscript template iframe svg math button select textarea dialog menu object embed head title canvas audio video map fieldset datalist".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
+DROPPED = frozenset("nav footer aside form script style noscript template iframe button select textarea dialog menu embed head title canvas audio video map fieldset datalist annotation annotation-xml desc defs".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPH = frozenset("p pre blockquote td th li dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
 #: Elements that a start tag closes when open, up to the nearest barrier.
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 BARRIER = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}}
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|popover|modal|overlay|"
-    r"sidebar|side|menu|menubar|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|footnav|masthead|topbar|toolbar|header|comment|comments|commentlist|respond|reply|replies|disqus|discussion|share|sharing|social|"
-    r"related|recommended|recommendations|newsletter|subscribe|subscription|signup|login|pagination|pager|skip|widget|widgets|contentinfo|complementary|search|searchform|form|dialog)(?:$|[\s_-])"
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements that a name can drop: they hold blocks, and are no paragraphs or headings.
+CONTAINER = BLOCK - PARAGRAPH - HEADINGS - frozenset("html body article main".split())
+#: Words that name boilerplate in any compound, and those that do so alone or beside each other and fillers.
+SURE = frozenset("adv advert adverts advertisement advertising adsense sponsored promo cookie cookies gdpr popup popover sidebar menubar navbar breadcrumb breadcrumbs footer footnav masthead topbar toolbar comments commentlist disqus newsletter signup pagination pager searchform contentinfo".split())
+NOISE = SURE | frozenset(
+    "ad ads sponsor promotion banner consent notice notices notification alert modal overlay side menu nav navigation header comment respond reply replies discussion share sharing social "
+    "related recommended recommendations subscribe subscription login skip widget widgets complementary search form dialog".split()
 )
+FILLER = frozenset("area bar block box button buttons col column container group icons inner item items left link links list outer page panel posts right section site top bottom widget wrap wrapper".split())
 KEEP = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?:$|[\s_-])")
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[!/?a-zA-Z][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|$)", re.I)
 BREAK = -1
 
 
+def _noisy(hint: str) -> bool:
+    """Whether a class, id or role of ``hint`` names boilerplate."""
+    for token in hint.split():
+        parts = set(re.split(r"[_-]+", token)) - {""}
+        if parts & SURE or parts & NOISE and parts <= NOISE | FILLER:
+            return True
+    return False
+
+
 class Page:
     """Nodes in page order (a parent comes before its children) and text with its node."""
 
@@ -109,10 +125,12 @@ class Page:
             if name in VOID:
                 continue
             rest, hint, hidden = m[3], "", False
+            if rest.endswith("/") and (open_tags.get("svg") or open_tags.get("math")):
+                continue
             if rest:
                 for a in ATTRIBUTE.finditer(rest):
                     key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
-                    if key in ("class", "id", "role"):
+                    if key in ("class", "role") or key == "id" and name != "section":
                         hint += " " + value
                     elif key == "hidden" or value == "true":
                         hidden = True
@@ -121,7 +139,7 @@ class Page:
             gone = self.dropped[up] or hidden or name in DROPPED
             if not gone and name == "header":
                 gone = not (open_tags.get("article") or open_tags.get("main"))
-            if not gone and hint and name not in ("html", "body", "article", "main") and NOISE.search(hint) and not (KEEP.search(hint) and not re.search(r"comment|sidebar|footer|nav", hint)):
+            if not gone and hint and name in CONTAINER and _noisy(hint) and not (KEEP.search(hint) and not re.search(r"comment|sidebar|footer|nav", hint)):
                 gone = True
             self.tag.append(name)
             self.parent.append(up)
@@ -196,11 +214,13 @@ def main_text(html: str | None) -> str:
                 density = links[node] / size[node]
                 near = score[node] >= max(5.0, 0.2 * score[best])
                 reads = page.tag[node] in PARAGRAPH and density < (0.25 if size[node] > 80 else 0.01)
-                kept[node] = near or reads
+                alike = page.tag[node] == page.tag[best] in ("section", "div") and (page.tag[best] == "section" or page.hint[node] == page.hint[best] != "") and density < 0.5
+                kept[node] = near or reads or alike
+    whole = page.tag[best] in ("html", "body")
     for node in range(1, n):
         if kept[page.parent[node]]:
             kept[node] = True
-        if page.dropped[node] or kept[node] and node != best and page.tag[node] in ("ul", "ol", "div", "table") and size[node] and links[node] > 0.8 * size[node]:
+        if page.dropped[node] or whole and kept[node] and node != best and page.tag[node] in ("ul", "ol", "div", "table") and size[node] and links[node] > 0.8 * size[node]:
             kept[node] = False
             page.dropped[node] = True
         elif page.dropped[page.parent[node]]:

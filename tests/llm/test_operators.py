@@ -239,6 +239,17 @@ def test_html():
     assert html_text.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_html_keeps_the_article():
+    page = """<body><div class="share-buttons"><p>Share this, or that, with all of your friends now.</p></div><article><h1>Drug</h1><p>A long first paragraph, with commas, and with words enough to count.</p>
+    <h2 id="side-effects">Side effects</h2><p class="alert">Take care.</p><section id="discussion"><h2 id="social-impact">Social impact</h2><p>Some, <span class="notice">but not much</span>.</p></section>
+    <p>Here <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds. <svg><path d="M0"/><text>Axis</text></svg></p><div class="side-notes">A note.</div>
+    <ul><li><a href="1">First source</a></li><li><a href="2">Second source</a></li></ul><div class="related-posts"><p>Other posts, many of them.</p></div><div id="comments">I say so.</div></article></body>"""
+    want = "Drug A long first paragraph, with commas, and with words enough to count. Side effects Take care. Social impact Some, but not much. Here x=2 holds. Axis A note. First source Second source"
+    assert html_text.main_text(page) == want
+    plain = "<body><ul><li><a href=1>Home</a></ul><section><h2>One</h2><p>" + "Many words, with commas, in a long paragraph. " * 9 + "</p></section><section><h2>Two</h2><p>Short one.</p></section></body>"
+    assert html_text.main_text(plain).endswith("Two Short one.") and "Home" not in html_text.main_text(plain)
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(None, None, None, 1), (1, "u", "<p>a</p>", 2), (1, "u", "<p>a</p>", 2)], "page_id long, url string, html string, n_chars int")
     assert sorted((r.text, r.n_chars) for r in html_text.extract(df).collect()) == [("", 0), ("a", 1), ("a", 1)]
