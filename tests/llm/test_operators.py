@@ -181,20 +181,61 @@ def test_packing(spark, odd, none):
     assert sorted((r.start, r.ids_crc32) for r in rows if r.doc_id == 7) == [(s, zlib.crc32(ids[s : s + 64].astype("<u4").tobytes())) for s in range(0, len(ids), 64)]
 
 
-def test_top_k_against_brute_force(spark):
+def brute_top_k(rows, k, scale=64):
+    """Answers of all query rows, as a bag: ``rows`` of (id, finite vector of one length)."""
+    whole = [(i, np.floor(scale * np.array(x)).astype(int)) for i, x in rows]
+    return Counter((q, tuple(sorted(((i, int(x @ y)) for i, y in whole if i != q), key=lambda t: (-t[1], t[0]))[:k])) for q, x in whole if q % 20 == 0)
+
+
+def answers(found):
+    """Query rows of one id can't be told apart in the result: their answers as one bag of ranks."""
+    got = defaultdict(Counter)
+    for r in found:
+        got[r.query_id][(r.rank, r.vec_id, r.score)] += 1
+    return got
+
+
+def as_ranks(brute):
+    want = defaultdict(Counter)
+    for (q, best), times in brute.items():
+        for rank, (i, s) in enumerate(best, 1):
+            want[q][(rank, i, s)] += times
+    return want
+
+
+@pytest.mark.parametrize("block", [None, 40])
+def test_top_k_against_brute_force(spark, monkeypatch, block):
+    """Ties, repeated candidates and query rows, other lengths, clashing columns, full nodes of several blocks."""
+    if block:
+        for name in ("DATA_BLOCK", "QUERY_BLOCK", "LEAST_BLOCK"):
+            monkeypatch.setattr(topk, name, block)
     rng = np.random.default_rng(1)
     v = rng.normal(size=(900, 8)).round(1)
     v[::7] = v[0]
-    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(2000, None), (2020, [1.0] * 3), (2040, [float("nan")] * 8), (None, [0.0] * 8), (40, v[40].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = defaultdict(list)
-    for r in topk.top_k(df, k=15).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    whole = [(i, np.floor(64 * np.array(x)).astype(int)) for i, x in rows if i is not None and x is not None and len(x) == 8 and np.isfinite(x).all()]
-    for q, x in whole:
-        if q % 20 == 0 and q != 40:
-            assert got[q] == sorted(((i, int(x @ y)) for i, y in whole if i != q), key=lambda t: (-t[1], t[0]))[:15]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(40, v[40].tolist()), (60, v[41].tolist()), (60, v[0].tolist()), (3, v[3].tolist())]
+    odd = [(2000, None), (2020, [1.0] * 3), (2040, [float("nan")] * 8), (2060, [float("inf")] + [0.0] * 7), (None, [0.0] * 8), (2080, []), (2100, [None] * 8)]
+    df = spark.createDataFrame([(i, x, "n", 1.0, 2) for i, x in rows + odd], "vec_id long, embedding array<double>, node string, score double, rank int")
+    assert answers(topk.top_k(df, k=15).collect()) == as_ranks(brute_top_k(rows, 15))
     assert topk.top_k(df.limit(0)).count() == 0
+    few = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (20, [3.0])], "vec_id long, embedding array<double>")
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(few).collect()} == {(0, 1, 20, 64 * 192), (0, 2, 1, 64 * 128), (20, 1, 1, 192 * 128), (20, 2, 0, 64 * 192)}
+
+
+def test_op3_whole_table(spark):
+    e = pd.read_parquet(f"{FOLDER}/embeddings.parquet")
+    assert answers(queries.op3_topk_search(spark, FOLDER).collect()) == as_ranks(brute_top_k([(i, np.array(x, float)) for i, x in zip(e.vec_id, e.embedding, strict=True)], 20))
+
+
+def test_trees_prune_what_can_be_pruned():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 32)) * 64
+    v = np.floor(centres[rng.integers(0, 60, 12_000)] + rng.normal(size=(12_000, 32))).astype(np.int64)
+    d, q = (topk.Tree.unpacked(topk.Tree(i, v[i]).packed()) for i in (np.arange(12_000), np.arange(0, 12_000, 20)))
+    best = topk.Best(len(q.ids), 20)
+    assert topk.search(q, d, best) < 0.5 * len(q.ids) * len(d.ids)
+    scores = v[q.ids] @ v.T
+    scores[np.arange(len(q.ids)), q.ids] = -(10**12)
+    assert (best.score == -np.sort(-scores, axis=1)[:, :20]).all()
 
 
 def test_language(spark, odd, none, docs):
