@@ -33,7 +33,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every document."""
-    return byte_bpe.encode(table(spark, sf_dir, "documents"), form=byte_bpe.DIGESTS)
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), form=byte_bpe.Digests)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

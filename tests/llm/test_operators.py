@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 
 from pagequarry.llm import byte_bpe, fingerprints, html_text, jaccard, language, packing, quality, queries, substring_dedup, token_output, topk, word_tokens
 
@@ -132,7 +133,8 @@ def test_word_encoder_is_the_library():
         assert next(own.documents([text], 1)).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
-def test_chunks_of_byte_bpe():
+@pytest.fixture(scope="module")
+def tiktoken_own():
     import base64
 
     import public_tokenizers
@@ -140,21 +142,44 @@ def test_chunks_of_byte_bpe():
 
     with open(byte_bpe.default_path(), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    want = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_chunks_of_byte_bpe(tiktoken_own):
     bpe, rng = byte_bpe.coder(byte_bpe.default_path()), random.Random(4)
     for i in range(600):
         text = "".join(rng.choice("aab  \n\t12é!!'s't're 'll漢😀 x") for _ in range(rng.randrange(120)))
         text = text.replace("b", "a" * 17) if i % 3 == 0 else text
         for chunk, overlap in ((16, 4), (20, 8), (12, 1)):
-            assert byte_bpe.encode_text(bpe, text, chunk, overlap) == want.encode_ordinary(text)
+            assert byte_bpe.encode_text(bpe, text, chunk, overlap) == tiktoken_own.encode_ordinary(text)
+
+
+def test_op5_whole_table(spark, docs, tiktoken_own):
+    """Every row against the library; most characters go through stitched chunks."""
+    got = {r.doc_id: r for r in queries.op5_byte_bpe(spark, FOLDER).collect()}
+    assert len(got) == len(docs)
+    for i, text in zip(docs.doc_id, docs.text, strict=True):
+        ids = tiktoken_own.encode_ordinary(text or "")
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+    sizes = docs.text.str.len()
+    assert sizes[sizes > byte_bpe.CHUNK].sum() > 0.8 * sizes.sum()
 
 
 def test_byte_bpe_odd(odd, none):
     got = byte_bpe.decode(byte_bpe.encode(odd, chunk=1000, overlap=50))
     assert Counter((r.doc_id, bytes(r.bytes)) for r in got.collect()) == Counter((r.doc_id, (r.text or "").encode()) for r in odd.collect())
-    assert byte_bpe.encode(none, form=byte_bpe.DIGESTS).count() == 0
-    whole = {(r.doc_id, r.ids_sha256) for r in byte_bpe.encode(odd, form=byte_bpe.DIGESTS).collect()}
-    assert whole == {(r.doc_id, r.ids_sha256) for r in byte_bpe.encode(odd, chunk=500, overlap=9, form=byte_bpe.DIGESTS).collect()}
+    assert byte_bpe.encode(none, form=byte_bpe.Digests).count() == 0
+
+
+def test_byte_bpe_dealt_over_tasks(spark, tiktoken_own):
+    """Long texts whose chunks meet, and one with a pre-token longer than the overlap."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aab  \n12é!!'s'll漢😀 x") for _ in range(rng.randrange(900))) for _ in range(30)] + ["ab " * 200 + "c" * 300 + " d" * 200, "1" * 700, ""]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)] + [(3, texts[3], 1, 2)], "doc_id long, text string, row int, k int")
+    got = byte_bpe.encode(df, form=byte_bpe.Ids, dealt=200, dealt_overlap=20, chunk=50, overlap=8).collect()
+    assert Counter((r.doc_id, bytes(r.ids)) for r in got) == Counter((i, np.array(tiktoken_own.encode_ordinary(t), "<u4").tobytes()) for i, t in [*enumerate(texts), (3, texts[3])])
+    digests = byte_bpe.encode(df, form=byte_bpe.Digests, dealt=200, dealt_overlap=20).where("doc_id = 5").first()
+    assert digests.ids_sha256 == hashlib.sha256(" ".join(map(str, tiktoken_own.encode_ordinary(texts[5]))).encode()).hexdigest()
 
 
 def check_packing(rows, size):
@@ -181,6 +206,32 @@ def test_packing(spark, odd, none):
     assert sorted((r.start, r.ids_crc32) for r in rows if r.doc_id == 7) == [(s, zlib.crc32(ids[s : s + 64].astype("<u4").tobytes())) for s in range(0, len(ids), 64)]
 
 
+def test_op10_whole_table(spark, docs):
+    """Every piece of every document against the library's ids, and the sequences without gaps."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(word_tokens.default_path())
+    rows = queries.op10_packing(spark, FOLDER).collect()
+    want = Counter()
+    for i, text in zip(docs.doc_id, docs.text, strict=True):
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        want.update((i, k, s, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes())) for k, s in enumerate(range(0, len(ids), 4096)))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    assert check_packing(rows, 4096) <= 1.01 * -(-sum(r.length for r in rows) // 4096) + 1
+
+
+def test_op2_whole_table(spark, docs):
+    from tokenizers import Tokenizer
+
+    tokenizer, at = Tokenizer.from_file(word_tokens.default_path()), 0
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op2_token_output(spark, FOLDER).collect()}
+    for i, text in sorted(zip(docs.doc_id, docs.text, strict=True)):
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        assert got[i] == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert len(got) == len(docs)
+
+
 def brute_top_k(rows, k, scale=64):
     """Answers of all query rows, as a bag: ``rows`` of (id, finite vector of one length)."""
     whole = [(i, np.floor(scale * np.array(x)).astype(int)) for i, x in rows]
@@ -267,9 +318,31 @@ def test_quality(spark, odd, none):
     model = quality.fit(odd, no_labels)
     assert quality.scored(odd, model).count() == 15 and quality.scored(odd, model, only_good=True).columns == odd.columns
     assert quality.scored(none, quality.fit(none, no_labels)).count() == 0
+    fitted = quality.fit(spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    clash = odd.withColumn("quality_score", odd.n).withColumn("x", odd.n).withColumn("w", odd.n)
+    rows = quality.scored(clash, fitted).collect()
+    assert len(rows) == 15 and all(0 <= r.quality_score <= 1 for r in rows) and len({r.quality_score for r in rows if not r.text}) == 1
+    assert len({r.quality_score for r in rows if r.text == "one"}) == 1 and quality.scored(none, fitted).count() == 0
     assert np.allclose(quality.isotonic(np.array([0.1, 0.5, 0.3, 0.9]), np.ones(4)), [0.1, 0.4, 0.4, 0.9])
 
 
+def test_quality_against_one_solve(spark):
+    """Weights from summed equations over repeated and null labels against one solve over all rows."""
+    docs = pd.read_parquet(f"{FOLDER}/documents.parquet")
+    labels = pd.read_parquet(f"{FOLDER}/labels.parquet")[["doc_id", "quality"]]
+    given = pd.concat([labels, labels.iloc[:30], pd.DataFrame({"doc_id": [None, 5], "quality": [1, None]})])
+    model = quality.fit(spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.createDataFrame([(None if pd.isna(a) else int(a), None if pd.isna(b) else int(b)) for a, b in given.itertuples(index=False)], "doc_id long, quality int"))
+    used = given.dropna().merge(docs, on="doc_id")
+    used = used[[zlib.crc32(str(int(i)).encode()) % 4 != 2 for i in used.doc_id]]
+    raw = [t.encode() for t in used.text]
+    x = quality.statistics(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert np.allclose(model.mean, x.mean(axis=0))
+    z, y = model.features(x), used.quality.to_numpy(float)
+    penalty = np.diag([quality.RIDGE] * (z.shape[1] - 1) + [0.0])
+    assert np.allclose(model.weights, np.linalg.solve(z.T @ z + penalty + 1e-9 * np.eye(len(penalty)), z.T @ y), atol=1e-5)
+    assert (np.diff(model.values) >= 0).all() and (np.diff(model.knots) >= 0).all()
+
+
 def test_html():
     page = """<html><head><title>t</title></head><body><header>Site</header><nav><a href=/>Menu</a></nav><div class="cookie-notice">We use cookies, as all do, and more.</div>
     <article><h1>A &amp; B</h1><p>First para, with   commas, and\n words enough to count for a paragraph here.<br>more</p><script>var x = "</p>";</script>
@@ -305,6 +378,8 @@ def test_substrings(spark, odd, none):
     assert got[2].text == "Other start of text. Ends quite otherwise." and got[3].text == "Rest stays as it is."
     span = got[2].removed_spans[0]
     assert rows[1][1][span.start : span.end].strip() == passage and span.kept_doc_id == 1
+    clash = spark.createDataFrame([(i, t, 7, "x", 1) for i, t in rows], "doc_id long, text string, _id long, _th string, place int")
+    assert {r.doc_id: (r.text, r._id, r._th, r.place) for r in substring_dedup.dedup(clash).collect()} == {i: (r.text, 7, "x", 1) for i, r in got.items()}
     out = substring_dedup.dedup(odd)
     assert out.columns == [*odd.columns, "removed_spans"] and out.count() == 15 and substring_dedup.dedup(none).count() == 0
 
@@ -361,20 +436,96 @@ def test_substrings_of_short_lines(spark):
     assert [len(x) for x in substring_dedup.pieces(np.frombuffer("a\u4e00b \u3002\U00020000c".encode(), np.uint8), np.array([0, 14]))] == [6, 6, 1]
 
 
-def test_fingerprints(spark, odd, none, docs):
-    got = {r.doc_id: r for r in queries.op9_fingerprints(spark, FOLDER).collect()}
-    down = docs.sort_values("doc_id", ascending=False).reset_index(drop=True)
-    errors = []
-    for i in range(len(down)):
-        text, after = down.text[i], down.text[(i + 1) % len(down)]
+@pytest.mark.parametrize(("unit", "split"), [("line", "\n"), ("paragraph", "\n\n")])
+def test_repeated_lines_and_paragraphs(spark, unit, split):
+    """Against a loop over all units in order: every later occurrence goes, with its offsets."""
+    rng = random.Random(9)
+    texts = [split.join(f"{rng.choice('abc')} {rng.choice('XyZ')}{'  w' * rng.randrange(3)}." for _ in range(rng.randrange(1, 7))) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(50, None), (51, ""), (52, "\n\n"), (None, texts[0])]
+    got = {r.doc_id: r for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), unit=unit, least_words=3).collect()}
+    seen: dict[str, int] = {}
+    for i, t in enumerate(texts):
+        kept, gone = [], []
+        for line in t.split(split):
+            key = " ".join(line.lower().split())
+            if len(key.split()) >= 3 and key in seen:
+                gone.append((line, seen[key]))
+            else:
+                kept.append(key)
+                seen.setdefault(key, i)
+        assert " ".join(got[i].text.lower().split()) == " ".join(kept)
+        assert "".join(t[s.start : s.end] for s in got[i].removed_spans).split() == " ".join(line for line, _ in gone).split()
+        assert {s.kept_doc_id for s in got[i].removed_spans} <= {k for _, k in gone}
+    assert got[None].text == texts[0] and got[50].text is None and got[52].text == "\n\n"
+
+
+def own_sketch(text, k=128):
+    """The least distinct shingle hashes as Spark makes them: each word's hash is the next one's seed."""
+    w = text.lower().split()
+    grams = [w[i : i + 5] for i in range(len(w) - 4)] if len(w) >= 5 else [w] if w else []
+    found = set()
+    for gram in grams:
+        h = 42
+        for x in gram:
+            h = xxhash.xxh64_intdigest(x.encode(), h)
+        found.add(h - (1 << 64) if h >> 63 else h)
+    return sorted(found)[:k]
+
+
+def own_likeness(a, b, k=128):
+    if not a or not b:
+        return float(a == b)
+    both = sorted({*a, *b})[:k]
+    return len({*both} & {*a} & {*b}) / len(both)
+
+
+def check_fingerprints(rows, texts):
+    """All columns of all rows; ``texts`` by id, in any order."""
+    down = sorted(texts, reverse=True)
+    got = {r.doc_id: r for r in rows}
+    assert len(got) == len(rows) == len(texts)
+    for i, name in enumerate(down):
+        text, after, r = texts[name] or "", texts[down[(i + 1) % len(down)]] or "", got[name]
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        r = got[down.doc_id[i]]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        a, b = (shingles(" ".join(t.lower().split()), 5) for t in (text, edited))
-        errors.append(abs(r.near_edited - len(a & b) / max(1, len(a | b))))
+        a, b, c = map(own_sketch, (text, edited, after))
+        for shown, want in ((r.fingerprint, a), (r.edited_fingerprint, b)):
+            assert [int(x, 16) for x in shown.split()] == [x % (1 << 64) for x in want]
+        assert abs(r.near_edited - own_likeness(a, b)) < 1e-12 and abs(r.near_next - own_likeness(a, c)) < 1e-12
+
+
+def test_op9_whole_table(spark, docs):
+    rows = queries.op9_fingerprints(spark, FOLDER).collect()
+    check_fingerprints(rows, dict(zip(docs.doc_id, docs.text, strict=True)))
+    errors = [abs(r.near_edited - len(a & b) / max(1, len(a | b))) for r, a, b in ((r, *(shingles(" ".join(t.lower().split()), 5) for t in edited_pair(docs, r.doc_id))) for r in rows)]
     assert np.mean(errors) < 0.05 and max(errors) < 0.25
-    assert fingerprints.digests(odd).count() == 15 and fingerprints.digests(none).count() == 0
+
+
+def edited_pair(docs, name):
+    texts = dict(zip(docs.doc_id, docs.text, strict=True))
+    down = sorted(texts, reverse=True)
+    text, after = texts[name], texts[down[(down.index(name) + 1) % len(down)]]
+    return text, text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+
+
+@pytest.mark.parametrize("group", [1, 3, 1000])
+def test_fingerprints_of_any_ids(spark, group, monkeypatch):
+    """Outlying, negative and very large ids, nulls and empty texts, in groups of any size."""
+    monkeypatch.setattr(fingerprints.with_next, "__defaults__", (group,))
+    rng = random.Random(2)
+    ids = [-(2**63), -5, *range(20), 2**40, 2**62, 2**62 + 1, 2**63 - 1]
+    texts = {i: rng.choice([None, "", " ", "a b c", " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(90)))]) for i in ids}
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in texts.items()], "doc_id long, text string, tie string, sketch int").repartition(3)
+    check_fingerprints(fingerprints.digests(df).collect(), texts)
+    one = spark.createDataFrame([(7, "a b c d e f")], "doc_id long, text string")
+    check_fingerprints(fingerprints.digests(one).collect(), {7: "a b c d e f"})
+
+
+def test_fingerprints_odd(odd, none):
+    got = fingerprints.digests(odd).collect()
+    assert len(got) == 15 and fingerprints.digests(none).count() == 0
+    assert len({r.fingerprint for r in got if r.doc_id in (4, 5)}) == 1 and all(r.near_next == 0 for r in got if r.doc_id is None)
     plan = fingerprints.digests(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
