@@ -1,29 +1,34 @@
-"""Substring dedup by hashed windows of words.
-
-A passage is looked for by windows of ``RUN_WORDS`` words, normalised (A-Z as a-z, white space as
-nothing but a divider), with a digest of 96 bits each. Which windows of a text are taken depends
-on its words alone: those that start where a sentence or line starts, those that end where one
-ends, and of every ``NEAR`` windows in succession the one of least hash, with starts of sentences
-before others. So a repeat finds its windows wherever it stands: one of whole sentences from
-``RUN_WORDS`` words on and to its exact ends, any other from ``RUN_WORDS + NEAR`` words on.
-
-Digests are grouped over all documents; the occurrence with the least rank (``doc_id``, place)
-stays, and the words of all others are removed. Nothing is removed that is not in such a window;
-a common line or sentence of fewer words by itself stays. In scripts without blanks a
-character counts as a word. Of a repeat that starts or ends within
-a sentence up to ``NEAR`` words at that end may stay.
+"""Substring dedup by hashed units: lines, paragraphs, or windows of words.
+
+Units are normalised (A-Z as a-z, white space as nothing but a divider of words), digested,
+grouped over all documents; the occurrence with the least rank (``doc_id``, place) stays, and the
+words of all others are removed. The digest has 96 bits out of two independent hashes.
+
+With ``unit="line"`` or ``"paragraph"`` (blank lines between) a unit is what stands between line
+breaks, of ``least_words`` words at least. That finds no passage which starts or ends within a
+line, so the default unit is a window of ``run_words`` words. Which windows of a text are taken
+depends on its words alone: those that start where a sentence or line starts, those that end
+where one ends, and of every ``NEAR`` windows in succession the one of least hash, with starts of
+sentences before others. So a repeat finds its windows wherever it stands: one of whole sentences
+or lines from ``run_words`` words on and to its exact ends, any other from ``run_words + NEAR``
+words on. Of a repeat that starts or ends within a sentence up to ``NEAR`` words at that end may
+stay; a common line or sentence of fewer words by itself stays. In scripts without blanks a
+character counts as a word.
 
 The result keeps the spans that were removed as code point offsets into the original text, each
-with the document that keeps the first window of the run.
+with the document that keeps the first unit of the run.
 
 Defined cases: null and empty texts are unchanged; rows with a null ``doc_id`` take no part and
 are unchanged; equal rows (same ``doc_id`` and text) count once and are treated alike, rows with
 one ``doc_id`` and different texts are ranked by a hash of the text; a window that overlaps its
-own first occurrence stays; extra columns are kept (one named ``removed_spans`` is replaced).
+own first occurrence stays; texts of any length are worked on whole; extra columns are kept (one
+named ``removed_spans`` is replaced).
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,8 +39,8 @@ from pagequarry.llm.words import LOWER, _powers, word_hashes, word_spans
 
 RUN_WORDS, NEAR = 20, 20
 SLICES = 8  # bits of a digest that name a slice of the map of repeated ones
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASES = (0xD1342543DE82EF95, 0x9E6C63D0876A9A47)
+_INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 _STOPS = np.array([0xE38082, 0xEFBC81, 0xEFBC9F])  # the full-width stops
@@ -78,6 +83,13 @@ def _sliding(values: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
     return values
 
 
+def _sums(words: np.ndarray, base: int) -> np.ndarray:
+    """Running sums of which differences, scaled back, hash any run of words."""
+    out = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * _powers(base, len(words)), out=out[1:])
+    return out
+
+
 def windows(data: np.ndarray, offsets: np.ndarray, run_words: int = RUN_WORDS, near: int = NEAR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The windows taken of several texts: text, first word within it, two hashes."""
     low = LOWER[data]
@@ -93,10 +105,8 @@ def windows(data: np.ndarray, offsets: np.ndarray, run_words: int = RUN_WORDS, n
     first = np.concatenate([[True], last[:-1]])[:many]
     words = word_hashes(low, starts, ends)
     with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(words * _powers(_BASE, n), out=sums[1:])
-        rolled = (sums[run_words:] - sums[:many]) * _powers(_INVERSE, n)[:many]
-        h1 = mix64(rolled)
+        sums = _sums(words, _BASES[0])
+        h1 = mix64((sums[run_words:] - sums[:many]) * _powers(_INVERSES[0], n)[:many])
     whole = text[run_words - 1 :] == text[:many]
     taken = first | last[run_words - 1 :]
     if many >= near:
@@ -107,27 +117,59 @@ def windows(data: np.ndarray, offsets: np.ndarray, run_words: int = RUN_WORDS, n
         taken |= _sliding(np.concatenate([side, least, side]), near, np.maximum) == order
     at = np.flatnonzero(taken & whole)
     with np.errstate(over="ignore"):
-        h2 = mix64(rolled[at] * np.uint64(0x2545F4914F6CDD1D) + words[at] * np.uint64(3) + words[at + run_words - 1])
+        sums = _sums(mix64(words), _BASES[1])
+        h2 = mix64((sums[at + run_words] - sums[at]) * _powers(_INVERSES[1], n)[at])
     return text[at], at - (np.cumsum(counts) - counts)[text[at]], h1[at], h2
 
 
-def _digests(docs: DataFrame, run_words: int, repeated=None) -> DataFrame:
-    """A row a window; with a broadcast map only windows that it marks."""
+def lines(data: np.ndarray, offsets: np.ndarray, least_words: int = 1, breaks: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lines (with two ``breaks`` the paragraphs) of several texts: text, first word, words, two hashes."""
+    low = LOWER[data]
+    starts, ends, counts = pieces(low, offsets)
+    n = len(starts)
+    text = np.repeat(np.arange(len(counts)), counts)
+    breaks_before = np.concatenate([[0], np.cumsum(data == 10)])
+    first = np.ones(n, bool)
+    first[1:] = (breaks_before[starts[1:]] - breaks_before[ends[:-1]] >= breaks) | (text[1:] != text[:-1])
+    at = np.flatnonzero(first)
+    size = np.diff(np.append(at, n))
+    at, size = at[size >= least_words], size[size >= least_words]
+    words, hashes = word_hashes(low, starts, ends), []
+    with np.errstate(over="ignore"):
+        for k, values in enumerate((words, mix64(words))):
+            sums = _sums(values, _BASES[k])
+            hashes.append(mix64((sums[at + size] - sums[at]) * _powers(_INVERSES[k], max(n, 1))[at] + size.astype(np.uint64)))
+    return text[at], at - (np.cumsum(counts) - counts)[text[at]], size, hashes[0], hashes[1]
+
+
+UNITS = ("window", "line", "paragraph")
+
+
+def units(data: np.ndarray, offsets: np.ndarray, unit: str, run_words: int, least_words: int):
+    """What is compared of several texts: text, first word, words, two hashes."""
+    if unit == "window":
+        text, place, h1, h2 = windows(data, offsets, run_words)
+        return text, place, np.full(len(text), run_words), h1, h2
+    return lines(data, offsets, least_words, 1 + UNITS.index(unit) // 2)
+
+
+def _digests(docs: DataFrame, unit: str, run_words: int, least_words: int, repeated=None) -> DataFrame:
+    """A row a unit; with a broadcast map only units that it marks."""
 
     def run(batches):
         forget_caches()
         for batch in batches:
             for a, _, data, offsets in utf8_parts(batch.column(2), 1 << 20):
-                text, place, h1, h2 = windows(data, offsets, run_words)
+                text, place, size, h1, h2 = units(data, offsets, unit, run_words, least_words)
                 if repeated is not None:
                     spot = _spots(h1, len(repeated.value))
                     marked = (repeated.value[spot >> 3] >> (spot & 7).astype(np.uint8) & 1).astype(bool)
-                    text, place, h1, h2 = text[marked], place[marked], h1[marked], h2[marked]
+                    text, place, size, h1, h2 = text[marked], place[marked], size[marked], h1[marked], h2[marked]
                 row = pa.array(text + a)
-                out = [pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(row), batch.column(1).take(row), pa.array(place.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(out, ["h1", "h2", "doc_id", "th", "place"])
+                out = [pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(row), batch.column(1).take(row), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(out, ["h1", "h2", "doc_id", "th", "place", "size"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").where("doc_id is not null").mapInArrow(run, "h1 long, h2 int, doc_id long, th long, place int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").where("doc_id is not null").mapInArrow(run, "h1 long, h2 int, doc_id long, th long, place int, size int")
 
 
 def _spots(h1: np.ndarray, size: int) -> np.ndarray:
@@ -153,26 +195,28 @@ def _repeated_map(first: DataFrame) -> np.ndarray:
     return out
 
 
-def repeats(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """``doc_id, th, place, kept``: windows that repeat an earlier one; ``kept`` is its document."""
-    every = _digests(docs, run_words)
+def repeats(docs: DataFrame, run_words: int = RUN_WORDS, unit: str = "window", least_words: int = 1) -> DataFrame:
+    """``doc_id, th, place, size, kept``: units that repeat an earlier one; ``kept`` is its document."""
+    every = _digests(docs, unit, run_words, least_words)
     first = every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    first = written(first, "repeated-windows")
-    again = _digests(docs, run_words, docs.sparkSession.sparkContext.broadcast(_repeated_map(first)))
-    later = f"struct(doc_id, th, place) > first and not (doc_id = first.doc_id and th = first.th and place < first.place + {run_words})"
-    return again.join(first, ["h1", "h2"]).where(later).select("doc_id", "th", "place", F.col("first.doc_id").alias("kept"))
+    first = written(first, "repeated-units")
+    # A second pass over the texts costs less than keeping all digests: only those that repeat move again.
+    again = _digests(docs, unit, run_words, least_words, docs.sparkSession.sparkContext.broadcast(_repeated_map(first)))
+    later = "struct(doc_id, th, place) > first and not (doc_id = first.doc_id and th = first.th and place < first.place + size)"
+    return again.join(first, ["h1", "h2"]).where(later).select("doc_id", "th", "place", "size", F.col("first.doc_id").alias("kept"))
 
 
-def cut(text: str, repeated: dict[int, int], run_words: int = RUN_WORDS) -> tuple[str, list[tuple[int, int, int]]]:
-    """The text without the words of its repeated windows, and what was removed."""
+def cut(text: str, repeated: dict[int, tuple[int, int]]) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text without the words of its repeated units (first word to ``(words, kept)``), and what was removed."""
     raw = np.frombuffer(text.encode(), np.uint8)
     starts, *_ = pieces(LOWER[raw], np.array([0, len(raw)], np.int64))
     runs, n = [], len(starts)
     for a in sorted(repeated):
+        end = a + repeated[a][0]
         if runs and a <= runs[-1][1]:
-            runs[-1][1] = a + run_words
+            runs[-1][1] = max(end, runs[-1][1])
         else:
-            runs.append([a, a + run_words])
+            runs.append([a, end])
     if not runs:
         return text, []
     places = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # code points before a byte
@@ -181,19 +225,21 @@ def cut(text: str, repeated: dict[int, int], run_words: int = RUN_WORDS) -> tupl
         start = int(places[starts[a]])
         end = int(places[starts[b]]) if b < n else len(text)
         kept.append(text[at:start])
-        spans.append((start, end, repeated[a]))
+        spans.append((start, end, repeated[a][1]))
         at = end
     kept.append(text[at:])
     return "".join(kept), spans
 
 
-def dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, run_words: int = RUN_WORDS, unit: str = "window", least_words: int = 1) -> DataFrame:
     """``docs`` with the repeats cut from ``text`` and their ``removed_spans`` as a last column."""
-    found = repeats(docs, run_words).distinct().groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("place", "kept")).alias("_windows"))
-    docs = docs.drop("removed_spans", "_windows")
+    own = {x: f"{x}-{uuid.uuid4().hex}" for x in ("doc_id", "th", "found")}  # names that no column has
+    found = repeats(docs, run_words, unit, least_words).distinct().groupBy(F.col("doc_id").alias(own["doc_id"]), F.col("th").alias(own["th"])).agg(F.collect_list(F.struct("place", "size", "kept")).alias(own["found"]))
+    docs = docs.drop("removed_spans")
     names = docs.columns
     at = names.index("text")
-    joined = docs.join(found, (F.col("doc_id").cast("long") == F.col("_id")) & (F.xxhash64("text") == F.col("_th")), "left").select(*docs.columns, "_windows")
+    same = (docs["doc_id"].cast("long") == F.col(f"`{own['doc_id']}`")) & (F.xxhash64(docs["text"]) == F.col(f"`{own['th']}`"))
+    joined = docs.join(found, same, "left").select(*[docs[f"`{x}`"] for x in names], F.col(f"`{own['found']}`"))
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kept_doc_id", pa.int64())]))
 
@@ -206,7 +252,7 @@ def dedup(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
                     if not given:
                         spans.append([])
                         continue
-                    texts[k], gone = cut(texts[k], {x["place"]: x["kept"] for x in given}, run_words)
+                    texts[k], gone = cut(texts[k], {x["place"]: (x["size"], x["kept"]) for x in given})
                     spans.append([{"start": a, "end": b, "kept_doc_id": c} for a, b, c in gone])
                 columns = list(part.columns[: len(names)])
                 columns[at] = pa.array(texts, pa.string())
