@@ -8,8 +8,8 @@ pooling adjacent violators on a histogram of the scores, turns scores into proba
 The fit takes at most about ``max_rows`` labelled documents, chosen by a hash of the id; the
 statistics' means, the equations and the histogram cover all of those.
 
-Defined cases: null or empty text has zero statistics and gets a score like any other; a null
-label takes no part; several labels of a document count each; without labelled documents every
+Defined cases: null or empty text has zero statistics and gets a score like any other, and a text
+of any length is read whole; a null label takes no part; several labels of a document count each; without labelled documents every
 score is 1.0 (nothing is known against a document); with labels of one class only, every score
 is that class; a null ``doc_id`` is scored and never trained on; extra columns are passed
 through by ``scored`` and ignored by the fit (columns named like its own are replaced).
@@ -117,41 +117,46 @@ def isotonic(y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.repeat([b[0] / b[1] for b in blocks], [int(b[2]) for b in blocks])
 
 
-def _statistics_rows(docs: DataFrame) -> DataFrame:
+def _statistics_rows(rows: DataFrame) -> DataFrame:
+    """The statistics of ``text`` beside the label ``y`` and its weight ``w``."""
+
     def run(batches):
         for batch in batches:
-            for a, b, data, offsets in utf8_parts(batch.column(1), 1 << 21):
+            for a, b, data, offsets in utf8_parts(batch.column(0), 1 << 21):
                 x = statistics(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)], ["x", "y", "w"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x binary")
+    return rows.select("text", "y", "w").mapInArrow(run, "x binary, y double, w double")
 
 
 def _summed(rows: DataFrame, f, shape: tuple[int, ...]) -> np.ndarray:
-    """The sum over ``SLICES`` tasks of ``f(x, y)``; rows are bounded, so are the partial sums."""
+    """The sum over ``SLICES`` tasks of ``f(x, y, w)``; rows are bounded, so are the partial sums."""
 
     def run(batches):
         total = np.zeros(shape)
         for batch in batches:
             if batch.num_rows:
                 x = np.frombuffer(b"".join(v.as_py() for v in batch.column(0))).reshape(-1, STATISTICS)
-                total += f(x, batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64))
+                total += f(x, *(batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
-    parts = rows.select("x", "y").coalesce(SLICES).mapInArrow(run, "total binary").collect()
+    parts = rows.coalesce(SLICES).mapInArrow(run, "total binary").collect()
     return sum((np.frombuffer(bytes(p["total"])).reshape(shape) for p in parts), np.zeros(shape))
 
 
 def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: float = RIDGE, max_rows: int = MAX_ROWS, seed: int = 7) -> QualityModel:
     """Learn from rows of ``labels`` (``doc_id``, ``quality``) that are not held out."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
-    known = known.where(~held_out(F.col("doc_id")))
+    known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id", "y").agg(F.count("*").cast("double").alias("w"))
+    known = written(known, "quality-labels")
     n = known.count()
     if n > max_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
-    rows = written(_statistics_rows(docs.where(F.col("doc_id").isNotNull())).join(known, "doc_id").select("x", "y"), "quality-rows")
+    # About ``max_rows`` ids and labels, 24 bytes each: their texts are found before any statistics are made.
+    picked = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    rows = written(_statistics_rows(picked), "quality-rows")
     p = STATISTICS
-    total = _summed(rows, lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(0), (x**2).sum(0)]), (2 + 2 * p,))
+    total = _summed(rows, lambda x, y, w: np.concatenate([[w.sum(), (w * y).sum()], w @ x, w @ x**2]), (2 + 2 * p,))
     n, good = total[:2]
     if n == 0 or good in (0, n):
         return QualityModel(1.0 if n == 0 else float(good / n))
@@ -161,9 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: flo
     model = QualityModel(float(good / n), mean, scale, rng.normal(size=(p, features)) / np.sqrt(p), rng.uniform(0, 2 * np.pi, features))
     d = features + p + 1
 
-    def equations(x, y):
+    def equations(x, y, w):
         z = model.features(x)
-        return np.concatenate([z.T @ z, (z.T @ y)[:, None]], axis=1)
+        return np.concatenate([z.T @ (z * w[:, None]), (z.T @ (w * y))[:, None]], axis=1)
 
     sums = _summed(rows, equations, (d, d + 1))
     penalty = np.full(d, ridge)
@@ -171,9 +176,10 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: flo
     model.weights = np.linalg.solve(sums[:, :d] + np.diag(penalty) + 1e-9 * np.eye(d), sums[:, d])
     edges = np.linspace(-0.5, 1.5, BINS + 1)
 
-    def histogram(x, y):
-        at = np.clip(np.searchsorted(edges, model.raw(x), side="right") - 1, 0, BINS - 1)
-        return np.stack([np.bincount(at, minlength=BINS), np.bincount(at, y, minlength=BINS), np.bincount(at, model.raw(x), minlength=BINS)])
+    def histogram(x, y, w):
+        raw = model.raw(x)
+        at = np.clip(np.searchsorted(edges, raw, side="right") - 1, 0, BINS - 1)
+        return np.stack([np.bincount(at, w * v, minlength=BINS) for v in (1.0, y, raw)])
 
     count, hits, place = _summed(rows, histogram, (3, BINS))
     has = count > 0
