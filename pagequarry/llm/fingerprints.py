@@ -9,7 +9,8 @@ Defined cases: null text is empty; a text without words has an empty sketch; wit
 than a shingle the whole sequence is one shingle; two empty sketches resemble each other fully,
 an empty and another one not at all; rows that share a ``doc_id`` are ordered by a hash of their
 text; a row with a null ``doc_id`` has no next document (its edited text is its first half, its
-``near_next`` 0); an empty table gives no rows; extra columns are ignored.
+``near_next`` 0); a document that is alone comes after itself; texts of any length are worked on
+whole; ids may lie anywhere; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, WORDS = 128, 5
-GROUP = 2_000  # documents that are ordered together to find neighbours
-BROADCAST_ROWS = 100_000  # ids and group numbers: 24 bytes a row
+#: Documents that are ordered together to find neighbours, and the most groups there are.
+GROUP, GROUPS = 2_000, 1 << 15
 
 _SPREAD = float(1 << 64)
 
@@ -100,26 +101,41 @@ def fingerprint(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.hex(x)), " ")
 
 
+def _place(value: Column, bounds: list[float]) -> Column:
+    """How many of the ascending ``bounds`` are not above ``value``, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    known = F.split(F.lit(",".join(map(repr, bounds))), ",").cast("array<double>")
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+
+    def on(at: Column, step: Column) -> Column:
+        return F.when((at + step <= len(bounds)) & (F.element_at(known, F.least(at + step, F.lit(len(bounds)))) <= value), at + step).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), on)
+
+
 def with_next(docs: DataFrame, columns: list[str], group: int = GROUP) -> DataFrame:
     """``docs`` (non-null ``doc_id``, and ``tie``) with ``next_<column>`` of the next one.
 
     Order: descending ``doc_id``, then ``tie``; after the last comes the first. Documents are
-    ordered within groups of neighbouring ids; each group also gets a copy of the first document
-    of the group below, so no ordering spans all rows but that of one row a group.
+    ordered within groups of about as many rows each, cut at quantiles of the ids whatever the
+    ids are; each group also gets a copy of the first document of the group below, so no ordering
+    spans all rows but that of one row a group, of which there are ``GROUPS`` at most.
     """
-    span = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
-    low, n = float(span["low"] or 0), span["n"]
-    width = max(1.0, (float(span["high"] or 0) - low + 1) * group / max(n, 1))
-    numbered = docs.withColumn("_group", F.floor((F.col("doc_id").cast("double") - low) / width))
-    firsts = numbered.groupBy("_group").agg(F.max("doc_id").alias("_first"))
+    n = docs.count()
+    groups = max(1, min(GROUPS, n // group))
+    shares = [i / groups for i in range(1, groups)]
+    bounds = sorted(set(docs.stat.approxQuantile("doc_id", shares, 0.2 / groups))) if shares and n else []
+    numbered = docs.withColumn("_group", _place(F.col("doc_id").cast("double"), bounds))
+    firsts = numbered.groupBy("_group").agg(F.max(F.struct("doc_id", F.expr("~tie").alias("tie"))).alias("_first"))
     down = Window.orderBy(F.desc("_group"))
-    guests = firsts.select("_group", F.coalesce(F.lead("_first").over(down), F.lit(span["high"])).alias("_id"), F.lead("_first").over(down).isNull().alias("_last"))
-    guests = guests.select(F.col("_group").alias("_host"), "_id", "_last")
-    if n <= group * BROADCAST_ROWS // 2:  # at most about two groups' rows for each ``group`` documents
-        guests = F.broadcast(guests)
-    copies = docs.join(guests, F.col("doc_id") == F.col("_id")).drop("_id").withColumnRenamed("_host", "_group").withColumn("_guest", F.lit(True))
+    below = F.lead("_first").over(down)
+    guests = firsts.select(F.col("_group").alias("_host"), F.coalesce(below, F.first("_first").over(down)).alias("_id"), below.isNull().alias("_last"))
+    # At most one row of 32 bytes a group: GROUPS rows.
+    own = (F.col("doc_id") == F.col("_id.doc_id")) & (F.expr("~tie") == F.col("_id.tie"))
+    copies = docs.join(F.broadcast(guests), own).drop("_id").withColumnRenamed("_host", "_group").withColumn("_guest", F.lit(True))
     every = numbered.withColumn("_last", F.lit(False)).withColumn("_guest", F.lit(False)).unionByName(copies)
-    order = Window.partitionBy("_group").orderBy("_last", F.desc("doc_id"), "tie")
+    order = Window.partitionBy("_group").orderBy("_last", F.desc("doc_id"), "tie", "_guest")
     for c in columns:
         every = every.withColumn(f"next_{c}", F.lead(c).over(order))
     return every.where(~F.col("_guest")).drop("_group", "_last", "_guest")
