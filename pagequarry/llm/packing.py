@@ -5,10 +5,12 @@ a histogram with one entry a length, so the plan depends on the sequence size, n
 corpus: patterns of up to three documents are enumerated over coarse length classes, their
 repeat counts are fitted to the histogram by non-negative least squares and rounded down, and
 the pieces left over go, longest first, to the open sequence with the least room that holds
-them. The plan lists, for every length, ranges of ranks and where they go; each piece finds its
+them. The fit ends when no pattern could lessen its error, or after ``ROUNDS`` rounds; what it has
+then is rounded down and packed all the same, and the rest goes by best fit. The plan lists, for every length, ranges of ranks and where they go; each piece finds its
 place from its rank among the pieces of its length.
 
-Defined cases: null text is an empty document (the end id alone); repeated rows are packed each
+Defined cases: null text is an empty document (the end id alone); a text of any length is cut and
+packed whole; repeated rows are packed each
 on their own; null ``doc_id`` is kept; an empty table gives no rows; other columns are ignored.
 """
 
@@ -28,6 +30,7 @@ from pagequarry.llm.common import written
 
 SEQUENCE = 4096
 CLASSES = 128  # of lengths, for the fit only
+ROUNDS = 400
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, place long"
 
 
@@ -43,7 +46,7 @@ def patterns(classes: int) -> np.ndarray:
     return out
 
 
-def non_negative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
+def non_negative_least_squares(a: np.ndarray, b: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """x >= 0 that makes |a x - b| least, by an active set; stops after ``rounds`` at the latest."""
     n = a.shape[1]
     x, active = np.zeros(n), np.zeros(n, bool)
@@ -205,5 +208,6 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, size: int =
             out = [*batch.columns[:5], pa.array(r["sequence"][i] + rank - r["rank"][i], pa.int64()), pa.array(r["offset"][i], pa.int64())]
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = cut.join(before, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("place") + F.col("before")).alias("rank"))
+    # Both sides grow with the input, so neither is ever broadcast.
+    ranked = cut.join(before.hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("place") + F.col("before")).alias("rank"))
     return ranked.mapInArrow(placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
