@@ -226,18 +226,23 @@ def _of_one_length(clean: DataFrame, queries, n: int, k: int, pivots_most: int)
     size = int(min(DATA_BLOCK, max(LEAST_BLOCK, n // 64)))
     most = int(min(pivots_most, max(1, n // size)))
     drawn = clean.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(most).select("v").collect()  # at most PIVOTS rows
-    pivots = np.unique(np.array([r["v"] for r in drawn], np.float64), axis=0)
+    drawn = np.array([r["v"] for r in drawn], np.float64)
+    pivots = np.unique(drawn, axis=0)
+    # Fewer query blocks, as full as may be: each of them meets every data block that is not left out.
+    q_pivots = np.unique(drawn[: max(1, clean.where(queries).count() // QUERY_BLOCK)], axis=0)
 
-    def to_nodes(batches):
-        for batch in batches:
-            if batch.num_rows:
-                v = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(_nearest(v, pivots)), *batch.columns], ["node", "vec_id", "v", "row"])
+    def placed(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+        def to_nodes(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    v = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array(_nearest(v, centres)), *batch.columns], ["node", "vec_id", "v", "row"])
+
+        # The number of a row only deals repeated rows over blocks: any number will do when a task runs again.
+        return rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(to_nodes, "node long, vec_id long, v array<long>, row long")
 
-    # The number of a row only deals repeated rows over blocks: any number will do when a task runs again.
-    placed = clean.withColumn("row", F.monotonically_increasing_id()).mapInArrow(to_nodes, "node long, vec_id long, v array<long>, row long")
-    data = written(_blocks(placed, pivots, size), "topk-data")
-    asked = written(_blocks(placed.where(queries), pivots, min(size * 4, QUERY_BLOCK)), "topk-queries")
+    data = written(_blocks(placed(clean, pivots), pivots, size), "topk-data")
+    asked = written(_blocks(placed(clean.where(queries), q_pivots), q_pivots, QUERY_BLOCK), "topk-queries")
 
     def run(batches):
         name, q, best = None, None, None
@@ -277,9 +282,11 @@ def _of_one_length(clean: DataFrame, queries, n: int, k: int, pivots_most: int)
     d_nodes, q_nodes = (x["node"].to_numpy(np.int64) for x in sides)
     if not len(q_nodes):
         return spark.createDataFrame([], FOUND)
-    tops = np.stack([bounds(pivots[i], r, m, pivots[d_nodes], found["radius"].to_numpy(), found["most"].to_numpy()) for i, r, m in ours[["node", "radius", "most"]].itertuples(index=False)])
+    tops = np.stack([bounds(q_pivots[i], r, m, pivots[d_nodes], found["radius"].to_numpy(), found["most"].to_numpy()) for i, r, m in ours[["node", "radius", "most"]].itertuples(index=False)])
     gone = asked.select("node", "part", "n")
-    near = gone.select("node", "part", F.lit(0).alias("lane"), F.lit(0).alias("turn"), F.col("node").alias("d_node"), F.lit(0).cast("long").alias("d_part"))
+    nearest = d_nodes[_nearest(q_pivots[q_nodes], pivots[d_nodes])]
+    begin = spark.createDataFrame(list(zip(q_nodes.tolist(), nearest.tolist(), strict=True)), "node long, begin long")
+    near = gone.join(F.broadcast(begin), "node").select("node", "part", F.lit(0).alias("lane"), F.lit(0).alias("turn"), F.col("begin").alias("d_node"), F.lit(0).cast("long").alias("d_part"))
     own = written(searched(near, None), "topk-own")
     rank = Window.partitionBy("node", "part", "row").orderBy(F.desc("score"), "vec_id")
     kth = own.withColumn("rank", F.row_number().over(rank)).where(f"rank = {k}").select("node", "part", "row", F.col("score").cast("double").alias("s"))
@@ -306,7 +313,8 @@ def _of_one_length(clean: DataFrame, queries, n: int, k: int, pivots_most: int)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(use), node)), pa.array(np.full(len(use), part)), pa.array(np.arange(len(use), dtype=np.int32)), pa.array(d_[use])], ["node", "part", "turn", "d_node"])
 
     pairs = levels.select("node", "part", "low").mapInArrow(reach, "node long, part long, turn int, d_node long")
-    pairs = pairs.join(data.select(F.col("node").alias("d_node"), F.col("part").alias("d_part")), "d_node").where("d_node <> node or d_part <> 0")
+    pairs = pairs.join(data.select(F.col("node").alias("d_node"), F.col("part").alias("d_part")), "d_node")
+    pairs = pairs.join(F.broadcast(begin), "node").where("d_node <> begin or d_part <> 0").drop("begin")
     lanes = max(1, int(min(data.count(), 4 * spark.sparkContext.defaultParallelism)))
     pairs = written(pairs.withColumn("lane", F.pmod(F.xxhash64("d_node", "d_part"), F.lit(lanes)).cast("int")), "topk-pairs")
     return own.unionByName(searched(pairs, levels.select("node", "part", "known")))
