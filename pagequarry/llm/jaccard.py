@@ -11,23 +11,26 @@ the number of tokens that a partner may lack. Documents near the upper end of a
 also indexed as in the next band, since the bucket count follows the band.
 
 What is frequent comes from exact counts of all tokens (by 48 hash bits), kept as a bit map of
-fixed size; a second bit map marks tokens that occur at all in two documents, others need no
+bounded size; a second bit map marks tokens that occur at all in two documents, others need no
 index entry. Wrong marks change only the order or add an entry, never the result.
 
 Candidates: in every posting list each member is paired with the list's most typical member
 (fewest rare tokens), and verified on the whole texts; then all pairs of a list whose members
 are still in different components, except those already verified or excluded by exact bounds on
 sizes, rare tokens and the number of lists in which a pair meets. Pairs inside a component found
-already cannot change it.
+already cannot change it. ``linked`` leaves that out and verifies all pairs of all lists instead,
+which also gives every document its number of links.
 
 Defined cases: null text or text without words has an empty set and is linked with nothing;
 with fewer words than a shingle the whole sequence is one token; every row is compared by its own
-text, and components with the same least ``doc_id`` are one; a null ``doc_id`` takes no part (component null); an empty
+text, whole whatever its length, and components with the same least ``doc_id`` are one; a null ``doc_id`` takes no part (component null); an empty
 table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,9 +42,10 @@ from pagequarry.llm.common import forget_caches, mix64, release_shuffles, utf8_p
 from pagequarry.llm.components import components
 from pagequarry.llm.words import shingle_sets
 
-MAP_BITS = 27  # of each bit map: 16 MB, whatever the input
+MAP_BITS = 27  # of each bit map, at least
 FREQUENT = 32  # documents from which on a token is frequent
 PART, HELD = 1 << 20, 1 << 20  # bytes of text and tokens that a task works on at a time
+LIST = 1024  # members of a posting list and size bucket that one task pairs with the others
 BLOCK = 64  # members that are verified against one copy of a centre's text
 _ONE, _TWO, _KEY = (np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407, 0x9FB21C651E98DF25))
 
@@ -271,20 +275,99 @@ def _verified(docs: DataFrame, pairs: DataFrame, measure: Measure) -> DataFrame:
     return rows.repartition("u", "block").sortWithinPartitions("u", "block", "member").mapInArrow(run, "u long, v long")
 
 
-def join(docs: DataFrame, measure: Measure = Measure(), frequent: int = FREQUENT, map_bits: int = MAP_BITS) -> DataFrame:
-    """``doc_id, n_shingles, component_id``: a row a row of ``docs``."""
+def _list_pairs(rows: DataFrame, measure: Measure, apart: str) -> DataFrame:
+    """All pairs of one posting list that sizes and frequent tokens allow, as meetings for ``_candidates``.
+
+    ``rows``: ``entry, id, n, r`` and what ``apart`` compares of ``x`` and ``y``. Lists are split by
+    size first: sets whose sizes differ by more than the measure allows are in buckets that are
+    not neighbours. What is still longer than ``LIST`` is dealt over several tasks by one side.
+    """
+    width = math.log(measure.den / measure.num) * 1.0001
+    rows = rows.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
+    parts = rows.groupBy("entry", "size").agg(F.ceil(F.count("*") / LIST).cast("int").alias("parts")).where("parts > 1")
+    x = rows.join(parts, ["entry", "size"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    y = rows.withColumn("own", F.col("size")).withColumn("size", F.explode(F.array(F.col("size"), F.col("size") - 1)))
+    y = y.join(parts, ["entry", "size"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    once = "(x.id < y.id or y.own <> y.size)"  # pairs across buckets meet in one order only
+    size = f"least(x.n, y.n) * {measure.den} >= greatest(x.n, y.n) * {measure.num}"
+    frequent = f"((x.entry & 1) = 0 or least(x.n - x.r, y.n - y.r) * {measure.num + measure.den} >= (x.n + y.n) * {measure.num})"
+    met = x.alias("x").join(y.alias("y"), F.expr(f"x.entry = y.entry and x.size = y.size and x.part = y.part and {once} and {apart} and {size} and {frequent}"))
+    low = "x.id < y.id"
+    sides = [F.expr(f"if({low}, {p}.{c}, {q}.{c})").alias(n + c) for p, q, n in (("x", "y", "u"), ("y", "x", "v")) for c in ("n", "r")]
+    return met.select("x.entry", F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v"), *sides)
+
+
+@dataclass
+class Index:
+    """Documents with their sets, one row a class of equal sets, and the posting lists of the classes."""
+
+    docs: DataFrame
+    every: DataFrame
+    sets: DataFrame
+
+    @property
+    def lists(self) -> DataFrame:
+        return self.sets.select(F.explode("entries").alias("entry"), "id", "n", "r")
+
+    def by_document(self, found: DataFrame, links: DataFrame | None = None) -> DataFrame:
+        """``doc_id, n_shingles, component_id`` of every row, out of components of classes (``id, component``).
+
+        With ``links`` (``u, v``: all links of classes) also ``n_links``, the documents that a document links with.
+        """
+        by_set = self.sets.join(found, "id", "left").select("k1", "k2", "n", F.coalesce("component", "id").alias("component"), "id", "copies")
+        out = self.every.select("doc_id", "n", "k1", "k2")
+        shown = [F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component"))).alias("component_id")]
+        if links is not None:
+            both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            others = both.join(self.sets.select(F.col("id").alias("v"), F.col("copies").alias("n")), "v").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("others"))
+            by_set = by_set.join(others, "id", "left")
+            linked = F.coalesce("others", F.lit(0)) + F.col("copies") - 1
+            shown.append(F.coalesce(F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), linked), F.lit(0)).cast("long").alias("n_links"))
+        return out.join(by_set.drop("id"), ["k1", "k2", "n"], "left").select("doc_id", *shown)
+
+
+def index(docs: DataFrame, measure: Measure, frequent: int = FREQUENT, map_bits: int | None = None) -> Index:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    maps = spark.sparkContext.broadcast(token_maps(docs, measure, frequent, map_bits))
+    maps = spark.sparkContext.broadcast(token_maps(docs, measure, frequent, map_bits or _bits_for(docs)))
     release_shuffles(spark)
     every = written(_entries(docs, measure, maps), "jaccard-documents")
-    sets = every.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.first("r").alias("r"), F.first("entries").alias("entries"))
-    sets = written(sets, "jaccard-sets")
-    index = sets.select(F.explode("entries").alias("entry"), "id", "n", "r")
+    sets = every.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("r").alias("r"), F.first("entries").alias("entries"))
+    return Index(docs, every, written(sets, "jaccard-sets"))
+
 
-    centres = index.groupBy("entry").agg(F.min(F.struct("r", "id", "n")).alias("c"), F.count("*").alias("size")).where("size > 1").select("entry", "c")
-    size = f"least({{0}}.n, {{1}}.n) * {measure.den} >= greatest({{0}}.n, {{1}}.n) * {measure.num}"
-    met = index.alias("x").join(centres, "entry").where("x.id <> c.id and " + size.format("x", "c"))
+def _bits_for(docs: DataFrame) -> int:
+    """Bits of each map, from Spark's estimate of the table's size: 16 MB at first, 64 MB at most."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return min(MAP_BITS + 2, max(MAP_BITS, (size // 8).bit_length()))
+
+
+def class_links(at: Index, measure: Measure) -> DataFrame:
+    """``u, v``: every link between two classes of equal sets, by their least ``doc_id``; u < v.
+
+    The classes' members are in ``Index.every``: together they say all links, and copies are
+    never expanded into pairs. Near copies among thousands all link with each other, so this
+    result grows with the square of a group of different texts; ``join`` does without it.
+    """
+    return written(_verified(at.docs, written(_candidates(_list_pairs(at.lists, measure, "true"), measure), "jaccard-all-pairs"), measure).distinct(), "jaccard-all-links")
+
+
+def linked(docs: DataFrame, measure: Measure = Measure(), frequent: int = FREQUENT, map_bits: int | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links``: a row a row of ``docs``, all its links counted."""
+    at = index(docs, measure, frequent, map_bits)
+    links = class_links(at, measure)
+    return at.by_document(components(links), links)
+
+
+def join(docs: DataFrame, measure: Measure = Measure(), frequent: int = FREQUENT, map_bits: int | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id``: a row a row of ``docs``."""
+    spark = docs.sparkSession
+    at = index(docs, measure, frequent, map_bits)
+    docs, lists = at.docs, at.lists
+
+    centres = lists.groupBy("entry").agg(F.min(F.struct("r", "id", "n")).alias("c"), F.count("*").alias("size")).where("size > 1").select("entry", "c")
+    size = f"least(x.n, c.n) * {measure.den} >= greatest(x.n, c.n) * {measure.num}"
+    met = lists.alias("x").join(centres, "entry").where("x.id <> c.id and " + size)
     both = [F.expr(f"{a}.{c}").alias(b + c) for a, b in (("c", "u"), ("x", "v")) for c in ("n", "r")]
     met = met.select("entry", F.col("c.id").alias("u"), F.col("x.id").alias("v"), *both)
     first = written(_candidates(met, measure), "jaccard-pairs")
@@ -293,25 +376,19 @@ def join(docs: DataFrame, measure: Measure = Measure(), frequent: int = FREQUENT
     release_shuffles(spark)
 
     # What is left: pairs of one posting list in different components, verified one and all.
-    named = index.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     apart = named.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least")).where("low <> high").select("entry", "least")
     # Where only frequent tokens are shared, too many rare ones exclude a set from any link.
     reach = f"(entry & 1) = 0 or (n - r) * {measure.num + measure.den} >= (n + greatest(least, ceil(n * {measure.num} / {measure.den}.0D - 1e-9))) * {measure.num}"
     rest = written(named.join(apart, "entry").where(reach).select("entry", "id", "n", "r", "component"), "jaccard-rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    frequent = f"((x.entry & 1) = 0 or least(x.n - x.r, y.n - y.r) * {measure.num + measure.den} >= (x.n + y.n) * {measure.num})"
-    more = x.join(y, F.expr("x.entry = y.entry and x.id < y.id and x.component <> y.component and " + size.format("x", "y") + " and " + frequent))
-    both = [F.expr(f"{a}.{c}").alias(b + c) for a, b in (("x", "u"), ("y", "v")) for c in ("n", "r")]
-    more = _candidates(more.select("x.entry", F.col("x.id").alias("u"), F.col("y.id").alias("v"), *both), measure)
+    more = _candidates(_list_pairs(rest, measure, "x.component <> y.component"), measure)
     known = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     more = written(more.join(known, ["u", "v"], "left_anti"), "jaccard-more-pairs")
     release_shuffles(spark)
     if not more.isEmpty():
         links = links.unionByName(written(_verified(docs, more, measure), "jaccard-more-links"))
         found = components(links)
-    by_set = sets.join(found, "id", "left").select("k1", "k2", "n", F.coalesce("component", "id").alias("component"))
-    out = every.select("doc_id", "n", "k1", "k2").join(by_set, ["k1", "k2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component"))).alias("component_id"))
+    return at.by_document(found)
 
 
 def one_of_each(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
@@ -321,11 +398,13 @@ def one_of_each(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     are kept.
     """
     found = written(join(docs, measure), "jaccard-components")
-    first = found.where("component_id = doc_id").groupBy(F.col("component_id").alias("_pq_kept")).agg(F.count("*").alias("_pq_rows"))
-    kept = docs.join(first, F.col("doc_id").cast("long") == F.col("_pq_kept"))
-    if first.where("_pq_rows > 1").isEmpty():
-        kept = kept.select(*docs.columns)
+    name, many, rank = (f"{x}_{uuid.uuid4().hex}" for x in ("kept", "rows", "rank"))  # names that no column has
+    columns = [f"`{c}`" for c in docs.columns]
+    first = found.where("component_id = doc_id").groupBy(F.col("component_id").alias(name)).agg(F.count("*").alias(many))
+    kept = docs.join(first, F.col("doc_id").cast("long") == F.col(name))
+    if first.where(f"{many} > 1").isEmpty():
+        kept = kept.select(*columns)
     else:
-        one = kept.where("_pq_rows > 1").withColumn("_pq_rank", F.row_number().over(Window.partitionBy("_pq_kept").orderBy(F.xxhash64("text")))).where("_pq_rank = 1")
-        kept = kept.where("_pq_rows = 1").select(*docs.columns).unionByName(one.select(*docs.columns))
+        one = kept.where(f"{many} > 1").withColumn(rank, F.row_number().over(Window.partitionBy(name).orderBy(F.xxhash64("text")))).where(f"{rank} = 1")
+        kept = kept.where(f"{many} = 1").select(*columns).unionByName(one.select(*columns))
     return kept.unionByName(docs.where("doc_id is null"))

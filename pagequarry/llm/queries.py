@@ -10,8 +10,8 @@ from pagequarry.llm.common import held_out, table
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of documents with a Jaccard of 0.9 or more on three-word shingles."""
-    return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Measure(words=3, num=90, den=100))
+    """Components and numbers of links of documents, a Jaccard of 0.9 or more on three-word shingles."""
+    return jaccard.linked(table(spark, sf_dir, "documents"), jaccard.Measure(words=3, num=90, den=100))
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,5 +73,18 @@ WITH v AS (
 SELECT q.vec_id AS query_id, (row_number() OVER (PARTITION BY q.r ORDER BY list_dot_product(q.v, d.v) DESC, d.vec_id))::INT AS rank, d.vec_id, list_dot_product(q.v, d.v)::BIGINT AS score
 FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v) WHERE q.vec_id % 20 = 0 QUALIFY rank <= 20"""
 
+_JACCARD = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 90 * (a.n + b.n - k)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce((SELECT min(v) FROM r WHERE r.u = w.doc_id), w.doc_id)) AS component_id, (SELECT count(*) FROM e WHERE e.u = w.doc_id) AS n_links
+FROM w LEFT JOIN n USING (doc_id)"""
+
 #: What DuckDB can say over the same tables; models, tokenizers and hashes of Spark's own it cannot.
-SQL: dict[str, str] = {"op3_topk_search": _TOP_K}
+SQL: dict[str, str] = {"op1_jaccard_join": _JACCARD, "op3_topk_search": _TOP_K}
