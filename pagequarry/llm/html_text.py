@@ -12,7 +12,9 @@ Text: character references are decoded, white space inside a block becomes one s
 are trimmed and joined in page order by one space. Nothing else is dropped or cut.
 
 Defined cases: null or empty html, and pages without text, give an empty string; cut-off pages
-are read as far as they go; repeated rows and null ids are kept; extra columns are ignored.
+are read as far as they go; a quoted value that is never closed ends with its tag; pages of any
+length are read whole, in time that follows their length; repeated rows and null ids are kept;
+extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -42,19 +44,59 @@ NOISE = SURE | frozenset(
     "related recommended recommendations subscribe subscription login skip widget widgets complementary search form dialog".split()
 )
 FILLER = frozenset("area bar block box button buttons col column container group icons inner item items left link links list outer page panel posts right section site top bottom widget wrap wrapper".split())
-KEEP = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?:$|[\s_-])")
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[!/?a-zA-Z][^>]*\Z", re.S)
+#: Words that name the article itself, and those that say what a page has or lacks.
+KEEP = frozenset("article content main post entry story body text".split())
+LAYOUT = frozenset("has with no without not is open layout".split())
+TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)|<[!?/][^>]*>|<[!?/][^>]*\Z", re.S)
+#: Up to the end of a tag or to a quoted value; quotes elsewhere in a tag mean nothing.
+IN_TAG = re.compile(r"(?:[^>=]|=(?!\s*[\"'])(?!\s*>))*+(?:=\s*)?(?:(>)|([\"']))", re.S)
 ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|$)", re.I)
 BREAK = -1
 
 
 def _noisy(hint: str) -> bool:
-    """Whether a class, id or role of ``hint`` names boilerplate."""
+    """Whether a class, id or role of ``hint`` names boilerplate.
+
+    A compound of the article's own words and noise ("post-share") is noise, but for a header,
+    which holds the title. Compounds give way to another word that names the article alone.
+    """
+    noisy = article = False
     for token in hint.split():
         parts = set(re.split(r"[_-]+", token)) - {""}
-        if parts & SURE or parts & NOISE and parts <= NOISE | FILLER:
-            return True
-    return False
+        if parts <= KEEP:
+            article = True
+        elif parts & LAYOUT:
+            continue
+        elif parts & KEEP and parts & NOISE == {"header"}:
+            article = True
+        elif parts & SURE or parts & NOISE and parts <= NOISE | FILLER | KEEP:
+            if len(parts) == 1:
+                return True
+            noisy = True
+    return noisy and not article
+
+
+class Quotes:
+    """Where quotes close in a page; a mark that occurs no more is not searched for again."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.gone = html, set()
+
+    def tag_end(self, at: int) -> tuple[int, int]:
+        """Where a tag's attributes end and where text goes on; a tag without an end takes the rest."""
+        html, begin, n = self.html, at, len(self.html)
+        while True:
+            m = IN_TAG.match(html, at)
+            if not m:
+                return n, n
+            if m[1]:
+                return m.start(1), m.end()
+            close = -1 if m[2] in self.gone else html.find(m[2], m.end())
+            if close < 0:  # never closed: the tag ends as if there were no quote
+                self.gone.add(m[2])
+                end = html.find(">", m.end())
+                return (end, end + 1) if end >= 0 else (max(begin, n), n)
+            at = close + 1
 
 
 class Page:
@@ -83,7 +125,7 @@ class Page:
                     return -1
             return -1
 
-        at, n = 0, len(html)
+        at, n, quotes = 0, len(html), Quotes(html)
         while at < n:
             m = TOKEN.search(html, at)
             start = m.start() if m else n
@@ -91,11 +133,11 @@ class Page:
                 self.text.append((stack[-1], html[at:start]))
             if not m:
                 break
-            at = m.end()
-            name = m[2]
+            at, name = m.end(), m[2]
             if not name:
                 continue
-            name = name.lower()
+            end, at = quotes.tag_end(at)
+            rest, name = html[m.end() : end], name.lower()
             if m[1]:
                 if name == "br" or name == "p" and not open_tags.get("p"):
                     self.text.append((stack[-1], " "))
@@ -124,7 +166,7 @@ class Page:
                 continue
             if name in VOID:
                 continue
-            rest, hint, hidden = m[3], "", False
+            hint, hidden = "", False
             if rest.endswith("/") and (open_tags.get("svg") or open_tags.get("math")):
                 continue
             if rest:
@@ -139,7 +181,7 @@ class Page:
             gone = self.dropped[up] or hidden or name in DROPPED
             if not gone and name == "header":
                 gone = not (open_tags.get("article") or open_tags.get("main"))
-            if not gone and hint and name in CONTAINER and _noisy(hint) and not (KEEP.search(hint) and not re.search(r"comment|sidebar|footer|nav", hint)):
+            if not gone and hint and name in CONTAINER and _noisy(hint):
                 gone = True
             self.tag.append(name)
             self.parent.append(up)
