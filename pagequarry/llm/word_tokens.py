@@ -1,9 +1,10 @@
 """Token ids of texts by a ``tokenizers`` file, with a bounded cache of words.
 
-The encoder serves vocabularies whose pre-tokeniser never lets a piece cross white space and
-whose normaliser works on each side of a blank alone, as ``word_bpe_49k.json`` does (NFC,
-white-space folding, lower case per character). There the ids of a text are those of its
-blank-separated words, one after another, so each distinct word is encoded once by the library.
+Where a vocabulary's pre-tokeniser never lets a piece cross white space and its normaliser works
+on each side of a blank alone, as in ``word_bpe_49k.json`` (NFC, white-space folding, lower case
+per character), the ids of a text are those of its blank-separated words, one after another, so
+each distinct word is encoded once by the library. A file that is built otherwise is told by its
+own description, and whole texts go through the library then.
 
 Words of texts of printable Latin-1 characters (stable under NFC, lower-cased one by one) are
 split by the file's own pre-token pattern and encoded by the library's model directly. Words of
@@ -111,6 +112,8 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """All ids of a text as bytes, ``kind`` each."""
+        if self.split is None:
+            return self._learn(text)
         words, plain = self._split(text)
         if sum(map(len, self.words.values())) > self.cached_words:
             for known in self.words.values():
@@ -121,7 +124,7 @@ class WordEncoder:
     def documents(self, texts: list[str], end_id: int):
         """Yield each text's ids (uint32) with ``end_id`` after them; memory follows the longest text."""
         for text in texts:
-            parts = [self.encode(text)] if len(text) <= 1 << 20 else map(self.encode, text_windows(text))
+            parts = [self.encode(text)] if self.split is None or len(text) <= 1 << 20 else map(self.encode, text_windows(text))
             ids = np.frombuffer(b"".join(parts), self.kind)
             out = np.empty(len(ids) + 1, np.uint32)
             out[:-1] = ids
