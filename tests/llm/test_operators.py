@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from pagequarry.llm import byte_bpe, fingerprints, html_text, jaccard, language, packing, quality, queries, substring_dedup, token_output, topk, word_tokens
 
@@ -42,8 +44,9 @@ def shingles(text, n):
 
 
 def brute_components(texts, n, num, den):
+    """By id: set size, component and number of links."""
     sets = {i: shingles(t, n) for i, t in texts.items()}
-    parent = {i: i for i in sets}
+    parent, degree = {i: i for i in sets}, Counter()
 
     def root(x):
         while parent[x] != x:
@@ -57,14 +60,17 @@ def brute_components(texts, n, num, den):
             if den * k >= num * (len(sets[i]) + len(sets[j]) - k):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
+                degree.update((i, j))
         for s in sets[i]:
             seen[s].append(i)
-    return {i: (len(sets[i]), root(i)) for i in sets}
+    return {i: (len(sets[i]), root(i), degree[i]) for i in sets}
 
 
 @pytest.mark.parametrize("measure", [jaccard.Measure(3, 90, 100), jaccard.Measure(5, 80, 100)])
-def test_jaccard_on_edited_copies(spark, measure):
-    """Copies with few edits, so that many pairs are near the threshold; a low bound makes tokens frequent."""
+@pytest.mark.parametrize("long_list", [2, 1024])
+def test_jaccard_on_edited_copies(spark, measure, long_list, monkeypatch):
+    """Copies with few edits, so that many pairs are near the threshold; a low bound makes tokens frequent, another splits lists."""
+    monkeypatch.setattr(jaccard, "LIST", long_list)
     rng = random.Random(5)
     texts, k = {}, 0
     for _ in range(12):
@@ -76,19 +82,22 @@ def test_jaccard_on_edited_copies(spark, measure):
             texts[k] = " ".join(copy)
             k += 1
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, measure, frequent=3).collect()}
-    assert got == brute_components(texts, measure.words, measure.num, measure.den)
+    want = brute_components(texts, measure.words, measure.num, measure.den)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df, measure, frequent=3).collect()} == {i: x[:2] for i, x in want.items()}
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.linked(df, measure, frequent=3).collect()} == want
 
 
 def test_op1_whole_table(spark, docs):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op1_jaccard_join(spark, FOLDER).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in queries.op1_jaccard_join(spark, FOLDER).collect()}
     assert got == brute_components(dict(zip(docs.doc_id, docs.text, strict=True)), 3, 90, 100)
 
 
 def test_jaccard_odd(odd, none):
     got = sorted(((r.doc_id, r.component_id) for r in jaccard.join(odd, jaccard.Measure(3, 90, 100)).collect()), key=str)
     assert (1, 1) in got and (2, 2) in got and got.count((5, 4)) == 2 and (None, None) in got and (9, 8) in got
-    assert len(got) == 15 and jaccard.join(none).count() == 0
+    assert len(got) == 15 and jaccard.join(none).count() == 0 and jaccard.linked(none).count() == 0
+    links = sorted(((r.doc_id, r.n_links) for r in jaccard.linked(odd, jaccard.Measure(3, 90, 100)).collect()), key=str)
+    assert (1, 0) in links and (None, 0) in links and links.count((5, 2)) == 2 and (4, 2) in links and (8, 1) in links and (9, 1) in links
     kept = jaccard.one_of_each(odd)
     assert kept.columns == odd.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 3, 4, 6, 7, 8, 10, 11]  # 9 is near 8, and 12 has 20 of its 24 shingles
@@ -299,6 +308,51 @@ def test_language(spark, odd, none, docs):
     assert language.fit(none).languages == [] and language.predicted(odd, language.fit(none)).where("lang_pred <> 'und'").isEmpty()
 
 
+def brute_segmentations(word, pieces, p, unknown):
+    """All ways to cut a marked word into pieces, as lists of places in the table."""
+    if not word:
+        return [[]]
+    out = []
+    for k in range(1, len(word) + 1):
+        i = pieces.get(word[:k], unknown if k == 1 else None)
+        if i is not None:
+            out += [[i, *rest] for rest in brute_segmentations(word[k:], pieces, p, unknown)]
+    return out
+
+
+@pytest.mark.parametrize("short", [3, 24])
+def test_forward_and_backward_against_all_segmentations(short, monkeypatch):
+    """Words of mixed lengths at once, short ones and padded ones, two languages, unknown letters."""
+    monkeypatch.setattr(language, "SHORT", short)
+    monkeypatch.setattr(language, "RESCALED", 2)
+    rng = random.Random(1)
+    pieces = {x: i for i, x in enumerate(["▁", "a", "b", "ab", "ba", "aba", "▁a", "▁ab", "bbbb", "c"])}
+    table = language.probabilities(np.random.default_rng(2).random((len(pieces) + 1, 2)))
+    words = ["".join(rng.choice("abcx") for _ in range(rng.randrange(1, 12))) for _ in range(60)]
+    got = language.log_likelihoods(words, pieces, table)
+    counts, want = np.arange(1.0, 61.0), np.zeros(len(pieces) + 1)
+    for i, w in enumerate(words):
+        cuts = brute_segmentations("▁" + w, pieces, table, len(pieces))
+        mass = np.array([np.prod(table[c], axis=0) for c in cuts])
+        assert np.allclose(got[i], np.log(mass.sum(axis=0)))
+        for c, m in zip(cuts, mass[:, 0], strict=True):
+            for piece in c:
+                want[piece] += counts[i] * m / mass[:, 0].sum()
+    assert np.allclose(language.expected_counts(words, counts, pieces, table[:, :1]), want)
+    long = "ab" * 4000  # no probability but its logarithm
+    assert np.isclose(language.log_likelihoods([long, "a"], pieces, table)[0, 0] / language.log_likelihoods([long * 2], pieces, table)[0, 0], 0.5, atol=1e-3)
+    assert language.expected_counts([long], np.ones(1), pieces, table[:, :1]).sum() > 2000
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"l{i % 300}", f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 30) for i in range(1200)]
+    docs = spark.createDataFrame([*rows, (5000, None, "ab"), (None, "l1", "ab")], "doc_id long, lang string, text string")
+    model = language.fit(docs)
+    assert model.languages == sorted({f"l{i}" for i in range(300)})
+    kept = language.predicted(docs, language.fit(docs.withColumn("lang", F.lit(None).cast("string"))), least_score=0.5)
+    assert kept.columns == docs.columns and kept.count() == len(rows) + 2
+
+
 def test_forward_sums_all_segmentations():
     pieces = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4, "▁ab": 5}
     table = language.probabilities(np.arange(1.0, 8.0)[:, None])
@@ -364,6 +418,30 @@ def test_html_keeps_the_article():
     assert html_text.main_text(plain).endswith("Two Short one.") and "Home" not in html_text.main_text(plain)
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<p><a href="foo>link</a> world</p>', "link world"),
+        ("<p class=a'b>it</p><p title='x>y'>is</p><p x=\"1\" y>so</p>", "it is so"),
+        ('<p data-a="1>2" hidden-not>a</p><img alt="a > b">b', "a b"),
+        ('<div class="post-share"><p>Tell all of your friends about this.</p></div><p>Body</p>', "Body"),
+        ('<div class="story-related">More</div><div class="main-menu">Home</div><p>Body</p>', "Body"),
+        ('<div class="article-newsletter"><p>Sign up, please, for our letters.</p></div><p>Body</p>', "Body"),
+        ('<div class="entry-header"><h1>Title</h1></div><div class="content has-sidebar"><p>Body</p></div>', "Title Body"),
+        ("<p>a<", "a<"),
+        ("<p>1 < 2 and 3 > 2</p>", "1 < 2 and 3 > 2"),
+    ],
+)
+def test_html_tags_and_names(page, want):
+    assert html_text.main_text(f"<body><article>{page}</article></body>".replace("a<</article></body>", "a<")) == want
+
+
+def test_html_time_follows_length():
+    page = "<body><article>" + "<p title=\"it's>" * 20_000 + "".join(f"<p class='x{i}' title=\"{i}\">word {i}</p>" for i in range(20_000)) + "</article></body>"
+    begin = time.perf_counter()
+    assert html_text.main_text(page).endswith("word 19999") and time.perf_counter() - begin < 20
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(None, None, None, 1), (1, "u", "<p>a</p>", 2), (1, "u", "<p>a</p>", 2)], "page_id long, url string, html string, n_chars int")
     assert sorted((r.text, r.n_chars) for r in html_text.extract(df).collect()) == [("", 0), ("a", 1), ("a", 1)]
