@@ -84,11 +84,14 @@ class WordEncoder:
         folds = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers") or []]
         if folds != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in steps] != ["Split", "ByteLevel"] or steps[0]["behavior"] != "Removed" or not steps[0]["invert"] or steps[1]["use_regex"] or steps[1]["add_prefix_space"]:
             return None, {}
+        split = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        if any(c.isspace() for piece in split("a 1 . ' é _ 漢 's \t x\n y  z") for c in piece):
+            return None, {}
         # Byte-level vocabularies write bytes that don't print as code points from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
         byte = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-        return regex.compile(steps[0]["pattern"]["Regex"]).findall, {c: "".join(byte[b] for b in chr(c).encode()) for c in range(256)}
+        return split, {c: "".join(byte[b] for b in chr(c).encode()) for c in range(256)}
 
     def _learn_plain(self, word: str) -> bytes:
         # Letters, or letters and one mark, need no pattern.

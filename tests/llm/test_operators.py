@@ -137,11 +137,24 @@ def test_word_encoder_is_the_library():
     tokenizer, rng = Tokenizer.from_file(word_tokens.default_path()), random.Random(3)
     alphabet = "aabcd  \n\t12é!!'s't ßÄ²½\xa0\xad\x0b\x1c\x85ΣİIȩ́漢😀<|endoftext|>Q,."
     own = word_tokens.WordEncoder(word_tokens.default_path(), cached_words=50)
-    for _ in range(800):
+    for i in range(800):
         text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(80)))
+        if i % 4 == 0:
+            text = "".join(rng.choice([text[:9], "<|endoftext|>", "<|startoftext|>", " ", "<|", "|>"]) for _ in range(6))
         assert next(own.documents([text], 1)).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_vocabulary_that_spans_blanks():
+    """One whose pieces hold blanks goes through the library text by text."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, own = Tokenizer.from_file(path), word_tokens.WordEncoder(path)
+    for text in ("", "two words  here\n and 'tis so", "naïve 漢字 😀 <|endoftext|> x"):
+        assert own.split is None and next(own.documents([text], 1)).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
 @pytest.fixture(scope="module")
 def tiktoken_own():
     import base64
