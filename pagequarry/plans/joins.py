@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagequarry.operators.shapes import islands
+from pagequarry.operators.trees import nearest_ancestor
 from pagequarry.plans.layout import _MARKS_SQL, marks
 from pagequarry.plans.registry import query
 from pagequarry.sources.views import GLYPHS_SQL, HIGH, LINES_SQL, PITCH, ROW, WIDE, glyphs, lines, rows, table
@@ -88,20 +89,7 @@ def words_in_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.groupBy("doc_id", "line").agg(F.count(F.when(F.col("figure").isNull(), 1)).alias("body"), F.count("figure").alias("placed"), F.min("figure").alias("first_figure"))
 
 
-def nearest_ancestor(nodes: DataFrame, levels: int = 10) -> DataFrame:
-    """``node, ancestor``: the nearest meaningful one within ``levels``, else null.
-
-    ``nodes`` has ``node, parent, meaningful``; each level is one join on the parent's id.
-    """
-    up = nodes.select(F.col("node").alias("at"), F.col("parent").alias("above"), F.col("meaningful").alias("good"))
-    walk = nodes.select("node", F.col("parent").alias("at"), F.lit(None).cast("long").alias("ancestor"))
-    for _ in range(levels):
-        walk = walk.join(up, "at", "left").select("node", F.when(F.col("ancestor").isNull() & ~F.col("good"), F.col("above")).alias("next"), F.coalesce("ancestor", F.when(F.col("good"), F.col("at"))).alias("ancestor"))
-        walk = walk.withColumnRenamed("next", "at")
-    return walk.select("node", "ancestor")
-
-
-@query("WITH RECURSIVE n AS (SELECT page_id AS node, CASE WHEN page_id > 0 THEN page_id // 3 END AS parent, page_id % 4 = 1 AS good FROM pages), w AS (SELECT node, parent AS at, 1 AS depth FROM n UNION ALL SELECT w.node, n.parent, w.depth + 1 FROM w JOIN n ON w.at = n.node WHERE NOT n.good AND w.depth < 10) SELECT n.node, max(a.node) AS ancestor FROM n LEFT JOIN w ON w.node = n.node LEFT JOIN n a ON w.at = a.node AND a.good GROUP BY n.node")
+@query("WITH RECURSIVE n AS (SELECT page_id AS node, CASE WHEN page_id > 0 THEN page_id // 3 END AS parent, page_id % 4 = 1 AS good FROM pages), w AS (SELECT node, parent AS at, 1 AS depth FROM n UNION ALL SELECT w.node, n.parent, w.depth + 1 FROM w JOIN n ON w.at = n.node WHERE NOT n.good) SELECT n.node, max(a.node) AS ancestor FROM n LEFT JOIN w ON w.node = n.node LEFT JOIN n a ON w.at = a.node AND a.good GROUP BY n.node")
 def tag_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest meaningful ancestor of every node of a tree; pages hang on a third of their number."""
     p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("node"), F.when(F.col("page_id") > 0, F.floor(F.col("page_id") / 3)).alias("parent"), (F.col("page_id") % 4 == 1).alias("meaningful"))

@@ -58,13 +58,6 @@ def size_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", file_size(F.octet_length("text")).alias("size"))
 
 
-@query("SELECT doc_id, substring(sha256(doc_id || '|' || strlen(text) || '|' || substring(text, 1, 100)), 1, 32) AS key FROM documents")
-def document_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cache key: half a digest of id, size and beginning."""
-    parts = F.concat_ws("|", F.col("doc_id").cast("string"), F.octet_length("text").cast("string"), F.expr("substring(text, 1, 100)"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.sha2(parts.cast("binary"), 256), 1, 32).alias("key"))
-
-
 @query("SELECT event_id, json_valid(props) AS valid, json_keys(props)[1] AS first_key FROM events")
 def json_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored JSON, read leniently: broken text is null, not an error."""
@@ -130,15 +123,3 @@ def rounding_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twips (half away from zero), size keys and half-points (half to even)."""
     p, q = F.col("l_extendedprice"), F.col("l_quantity")
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(p / 7 * 20).cast("long").alias("twips"), (F.round(q * 2) / 2).alias("size_key"), F.least(F.greatest(F.bround(q / 3 * 2), F.lit(2)), F.lit(3276)).cast("long").alias("half_points"))
-
-
-@query("WITH RECURSIVE t AS (SELECT page_id AS node, page_id // 3 AS parent FROM pages WHERE page_id > 0 UNION ALL SELECT 0, -1), r AS (SELECT node, parent, 0 AS depth FROM t WHERE parent = -1 UNION ALL SELECT t.node, t.parent, r.depth + 1 FROM t JOIN r ON t.parent = r.node WHERE r.depth < 8 AND t.node <> 0) SELECT node, parent, depth FROM r")
-def outline_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An outline as rows with their depth, eight levels at most; pages hang on a third of their number."""
-    p = table(spark, sf_dir, "pages").where("page_id > 0").select(F.col("page_id").alias("node"), F.floor(F.col("page_id") / 3).alias("parent"))
-    level = spark.range(1).select(F.col("id").alias("node"), F.lit(-1).cast("long").alias("parent"), F.lit(0).alias("depth"))
-    found = level
-    for depth in range(1, 9):
-        level = p.join(level.select(F.col("node").alias("parent")), "parent").select("node", "parent", F.lit(depth).alias("depth"))
-        found = found.unionByName(level)
-    return found
