@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions.text import hex_colour
+from pagequarry.plans.joins import mark_ranges
+from pagequarry.plans.layout import _MARKS_SQL, marks
 from pagequarry.plans.registry import query
-from pagequarry.sources.views import table
+from pagequarry.sources.views import LINES_SQL, PITCH, ROW, WIDE, lines, table
 
 #: The sixteen highlight names and their colours.
 HIGHLIGHTS = [
@@ -34,21 +36,41 @@ def page_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log(spark, sf_dir).select("doc_id", "seq", F.count("*").over(over).alias("generation"))
 
 
-@query("SELECT e.event_id, e.user_id AS doc_id, CASE WHEN e.event_id % 3 = 0 THEN substring(d.text, 1, 20) WHEN e.event_id % 3 = 1 THEN e.event_type ELSE substring(d.text, 1, 20) || ' — ' || e.event_type END AS listing FROM events e JOIN documents d ON d.doc_id = e.user_id")
+_UNDER_SQL = f"""{LINES_SQL}, u AS (SELECT m.event_id, m.doc_id, m.kind, trim(regexp_replace(substring(substring(text, t // {PITCH} * {ROW} + 1, {ROW}), greatest(CAST(ceil((2 * l - {WIDE}) / {2 * WIDE}.0) AS BIGINT), 0) + 1, greatest(least(CAST(floor((2 * r - {WIDE}) / {2 * WIDE}.0) AS BIGINT), {ROW - 1}) - greatest(CAST(ceil((2 * l - {WIDE}) / {2 * WIDE}.0) AS BIGINT), 0) + 1, 0)), '\\s+', ' ', 'g')) AS marked FROM marks m JOIN lines USING (doc_id, line))"""
+
+
+def under_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``event_id, doc_id, kind, marked``: the text whose letters' centres a mark holds."""
+    ranges = mark_ranges(marks(spark, sf_dir)).select("event_id", "a", "z")
+    every = marks(spark, sf_dir).select("event_id", "doc_id", "line", "kind").join(ranges, "event_id", "left")
+    text = F.substring(F.col("text"), (F.col("a") + 1).cast("int"), (F.col("z") - F.col("a") + 1).cast("int"))
+    j = every.join(lines(table(spark, sf_dir, "documents")).select("doc_id", "line", "text"), ["doc_id", "line"])
+    return j.select("event_id", "doc_id", "kind", F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")).alias("marked"))
+
+
+@query(f"WITH {_MARKS_SQL}, {_UNDER_SQL} SELECT event_id, doc_id, CASE WHEN event_id % 3 = 1 OR marked = '' THEN kind WHEN event_id % 3 = 0 THEN marked ELSE marked || ' — ' || kind END AS listing FROM u")
 def annotation_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each annotation as its marked text, its note, or both."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.expr("substring(text, 1, 20)").alias("marked"))
-    e = log(spark, sf_dir).join(d, "doc_id")
-    line = F.when(F.col("seq") % 3 == 0, F.col("marked")).when(F.col("seq") % 3 == 1, F.col("op")).otherwise(F.concat("marked", F.lit(" — "), "op"))
-    return e.select(F.col("seq").alias("event_id"), "doc_id", line.alias("listing"))
+    """Each annotation as the text under it, its note, or both; a mark over nothing shows its note."""
+    i, marked, note = F.col("event_id"), F.col("marked"), F.col("kind")
+    line = F.when((i % 3 == 1) | (marked == ""), note).when(i % 3 == 0, marked).otherwise(F.concat(marked, F.lit(" — "), note))
+    return under_marks(spark, sf_dir).select(i, "doc_id", line.alias("listing"))
 
 
-@query("SELECT user_id AS doc_id, event_id % 3 AS page, '## Page ' || (event_id % 3 + 1) || chr(10) || string_agg('- ' || event_type, chr(10) ORDER BY event_id) AS report FROM events GROUP BY 1, 2, event_id % 3")
+#: The names of the colours that annotations are made with.
+_NAMED = {0xFFFF00: "Yellow", 0x00FF00: "Green", 0x00FFFF: "Cyan", 0xFF00FF: "Magenta"}
+_COLOUR_SQL = "CASE rgb " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _NAMED.items()) + " ELSE '#' || lpad(upper(to_hex(rgb)), 6, '0') END"
+
+
+@query(f"WITH e AS (SELECT user_id AS doc_id, event_id % 3 AS page, event_id, event_type, CASE WHEN event_id % 4 = 0 THEN [16776960, 65280, 65535, 16711935][event_id // 4 % 4 + 1] ELSE event_id * 7919 % 16777216 END::BIGINT AS rgb FROM events) SELECT doc_id, page, '## Page ' || (page + 1) || chr(10) || string_agg('- **' || upper(substring(event_type, 1, 1)) || substring(event_type, 2) || '** (' || {_COLOUR_SQL} || '): ' || event_id, chr(10) ORDER BY event_id) AS report FROM e GROUP BY doc_id, page")
 def annotation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report of every page's annotations in order."""
-    rows = F.array_join(F.expr("transform(array_sort(collect_list(struct(seq, op))), x -> concat('- ', x.op))"), "\n")
-    page = (F.col("seq") % 3).alias("page")
-    return log(spark, sf_dir).groupBy("doc_id", page).agg(rows.alias("body")).select("doc_id", "page", F.concat(F.lit("## Page "), (F.col("page") + 1).cast("string"), F.lit("\n"), "body").alias("report"))
+    """A report of every page's annotations in order: kind, colour by name or in hexadecimal, and what they say."""
+    i = F.col("seq")
+    rgb = F.when(i % 4 == 0, F.element_at(F.array(*map(F.lit, _NAMED)), (F.floor(i / 4) % 4 + 1).cast("int")).cast("long")).otherwise(F.col("rgb"))
+    colour = F.coalesce(*[F.when(rgb == k, v) for k, v in _NAMED.items()], hex_colour(rgb))
+    kind = F.concat(F.upper(F.substring("op", 1, 1)), F.expr("substring(op, 2)"))
+    each = log(spark, sf_dir).select("doc_id", (i % 3).alias("page"), "seq", F.concat(F.lit("- **"), kind, F.lit("** ("), colour, F.lit("): "), i.cast("string")).alias("row"))
+    body = F.array_join(F.expr("transform(array_sort(collect_list(struct(seq, row))), x -> x.row)"), "\n")
+    return each.groupBy("doc_id", "page").agg(body.alias("body")).select("doc_id", "page", F.concat(F.lit("## Page "), (F.col("page") + 1).cast("string"), F.lit("\n"), "body").alias("report"))
 
 
 @query("SELECT key, ts_last, id_last FROM (SELECT lower(p_name) AS key, max(p_retailprice) AS ts_last, max(p_partkey) AS id_last FROM part GROUP BY 1) ORDER BY ts_last DESC, id_last DESC LIMIT 30")
@@ -99,10 +121,23 @@ def unsupported_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").join(bad, "doc_id", "left_semi").select("doc_id", F.char_length("text").cast("long").alias("n"))
 
 
-@query("WITH a AS (SELECT event_id, user_id, event_type, CAST(floor(value * 100) AS BIGINT) AS x FROM events WHERE value IS NOT NULL), n AS (SELECT *, lag(x) OVER w AS before, lag(event_id) OVER w AS before_id, lead(x) OVER w AS after, lead(event_id) OVER w AS after_id FROM a WINDOW w AS (PARTITION BY user_id, event_type ORDER BY x, event_id)) SELECT event_id, CASE WHEN before IS NULL AND after IS NULL THEN NULL WHEN after IS NULL OR x - before <= after - x THEN before_id ELSE after_id END AS nearest, CASE WHEN before IS NULL THEN after - x WHEN after IS NULL THEN x - before ELSE least(x - before, after - x) END AS distance FROM n")
+_PLACED = "SELECT event_id, user_id AS doc, event_id % 2 = 0 AS saved, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id) AS idx, event_id * 37 % 5 AS kind, event_id * 13 % 30 * 10 AS l, event_id * 29 % 31 * 10 AS t FROM events"
+
+
+@query(f"WITH p AS ({_PLACED}), s AS (SELECT * FROM p WHERE saved), n AS (SELECT * FROM p WHERE NOT saved), m AS (SELECT s.event_id, n.event_id AS found, n.idx = s.idx AS same_index, abs(n.l - s.l) + abs(n.t - s.t) AS d, n.idx FROM s JOIN n ON n.doc = s.doc AND n.kind = s.kind AND abs(n.l - s.l) <= 50 AND abs(n.t - s.t) <= 50) SELECT event_id, arg_min(found, CASE WHEN same_index THEN -1 ELSE d END * 1000000 + idx) AS found, bool_or(same_index) AS same_index, count(*) AS candidates FROM m GROUP BY event_id")
 def annotation_refind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest other annotation of the same kind, the one before winning ties."""
-    a = table(spark, sf_dir, "events").where("value is not null").select("event_id", "user_id", "event_type", F.floor(F.col("value") * 100).alias("x"))
-    w = Window.partitionBy("user_id", "event_type").orderBy("x", "event_id")
-    n = a.select("*", F.lag("x").over(w).alias("before"), F.lag("event_id").over(w).alias("before_id"), F.lead("x").over(w).alias("after"), F.lead("event_id").over(w).alias("after_id"))
-    return n.selectExpr("event_id", "case when before is null and after is null then null when after is null or x - before <= after - x then before_id else after_id end as nearest", "case when before is null then after - x when after is null then x - before else least(x - before, after - x) end as distance")
+    """A saved annotation among those of the file: the one of its number if it is alike, else the nearest alike.
+
+    Alike: of one kind and within 50 units on both axes; they meet by document, kind and squares
+    of 50 units, a saved one in its own and the eight around it.
+    """
+    i = F.col("event_id")
+    idx = F.row_number().over(Window.partitionBy("user_id", i % 2).orderBy("event_id"))
+    p = table(spark, sf_dir, "events").select(i, F.col("user_id").alias("doc"), (i % 2 == 0).alias("saved"), idx.alias("idx"), (i * 37 % 5).alias("kind"), (i * 13 % 30 * 10).alias("l"), (i * 29 % 31 * 10).alias("t"))
+    p = p.withColumn("column", F.floor(F.col("l") / 50)).withColumn("row", F.floor(F.col("t") / 50))
+    around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+    s = p.where("saved").select("event_id", "doc", "kind", "l", "t", F.col("idx").alias("own"), "column", around("row").alias("row")).withColumn("column", around("column"))
+    n = p.where("not saved").select(i.alias("found"), "doc", "kind", F.col("l").alias("nl"), F.col("t").alias("nt"), "idx", "column", "row")
+    m = s.join(n, ["doc", "kind", "column", "row"]).where("abs(nl - l) <= 50 and abs(nt - t) <= 50").withColumn("same", F.col("idx") == F.col("own"))
+    order = F.struct(~F.col("same"), F.abs(F.col("nl") - F.col("l")) + F.abs(F.col("nt") - F.col("t")), "idx")
+    return m.groupBy("event_id").agg(F.min_by("found", order).alias("found"), F.bool_or("same").alias("same_index"), F.count("*").alias("candidates"))

@@ -9,7 +9,7 @@ from pagequarry.operators.shapes import islands
 from pagequarry.operators.trees import nearest_ancestor
 from pagequarry.plans.layout import _MARKS_SQL, marks
 from pagequarry.plans.registry import query
-from pagequarry.sources.views import GLYPHS_SQL, HIGH, LINES_SQL, PITCH, ROW, WIDE, glyphs, lines, rows, table
+from pagequarry.sources.views import GLYPHS_SQL, HIGH, LINES_SQL, PITCH, ROW, WIDE, lines, rows, table
 
 
 def range_boxes(boxes, gap: int = 3):
@@ -45,17 +45,20 @@ def range_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINKS_SQL = f"links AS (SELECT g.doc_id, g.line, g.idx, min(m.event_id) FILTER (m.kind = 'error') AS link, max(m.event_id) FILTER (m.kind = 'purchase') AS colour, bool_or(m.kind NOT IN ('error', 'purchase')) AS underlined FROM glyphs g JOIN marks m ON g.doc_id = m.doc_id AND g.line = m.line AND g.l + g.r BETWEEN 2 * m.l AND 2 * m.r AND g.t + g.b BETWEEN 2 * m.t AND 2 * m.b GROUP BY g.doc_id, g.line, g.idx)"
 
 
-def _marked_glyphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    m = marks(spark, sf_dir)
-    every = lines(table(spark, sf_dir, "documents"))
-    return glyphs(every.join(m.select("doc_id", "line").distinct(), ["doc_id", "line"], "left_semi")), m
+def mark_ranges(m: DataFrame) -> DataFrame:
+    """Marks with the places ``a .. z`` of the glyphs of their row whose centre they hold."""
+    row = F.floor(F.col("t") / PITCH)  # a mark is as high as a row and stands on one
+    first, last = F.ceil((F.col("l") * 2 - WIDE) / (2 * WIDE)), F.floor((F.col("r") * 2 - WIDE) / (2 * WIDE))
+    return m.withColumn("a", row * ROW + F.greatest(first, F.lit(0))).withColumn("z", row * ROW + F.least(last, F.lit(ROW - 1))).where("a <= z")
+
 
+def linked_glyphs(lines_: DataFrame, m: DataFrame) -> DataFrame:
+    """For each glyph under marks: the first link, the last highlight, whether underlined.
 
-def linked_glyphs(g: DataFrame, m: DataFrame) -> DataFrame:
-    """For each glyph under marks: the first link, the last highlight, whether underlined."""
-    m = m.select("doc_id", "line", "event_id", "kind", *[F.col(c).alias(f"m{c}") for c in "ltrb"])
-    inside = "l + r between 2 * ml and 2 * mr and t + b between 2 * mt and 2 * mb"
-    hit = g.select("doc_id", "line", "idx", "l", "t", "r", "b").join(m, ["doc_id", "line"]).where(inside)
+    A mark's places follow one another, so marks are laid out place by place and never compared with glyphs.
+    """
+    places = mark_ranges(m).select("doc_id", "line", "event_id", "kind", F.explode(F.sequence("a", "z")).alias("idx"))
+    hit = places.join(lines_.select("doc_id", "line", "text"), ["doc_id", "line"]).where(~F.substring(F.col("text"), (F.col("idx") + 1).cast("int"), F.lit(1)).isin("", " "))
     of = lambda kind: F.when(F.col("kind") == kind, F.col("event_id"))
     return hit.groupBy("doc_id", "line", "idx").agg(F.min(of("error")).alias("link"), F.max(of("purchase")).alias("colour"), F.bool_or(~F.col("kind").isin("error", "purchase")).alias("underlined"))
 
@@ -63,16 +66,18 @@ def linked_glyphs(g: DataFrame, m: DataFrame) -> DataFrame:
 @query(f"WITH {GLYPHS_SQL}, {_MARKS_SQL}, {_LINKS_SQL} SELECT doc_id, line, idx, link, colour, underlined FROM links")
 def char_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and highlights of characters."""
-    return linked_glyphs(*_marked_glyphs(spark, sf_dir))
+    return linked_glyphs(lines(table(spark, sf_dir, "documents")), marks(spark, sf_dir))
 
 
 @query(f"WITH {GLYPHS_SQL}, {_MARKS_SQL}, {_LINKS_SQL}, j AS (SELECT g.doc_id, g.line, g.idx, CASE WHEN g.ch <> ' ' THEN coalesce(k.link, -1) || ',' || coalesce(k.colour, -1) || ',' || coalesce(k.underlined, false) END AS key FROM glyphs g SEMI JOIN marks m ON g.doc_id = m.doc_id AND g.line = m.line LEFT JOIN links k ON g.doc_id = k.doc_id AND g.line = k.line AND g.idx = k.idx), f AS (SELECT *, coalesce(last_value(key IGNORE NULLS) OVER (PARTITION BY doc_id, line ORDER BY idx ROWS UNBOUNDED PRECEDING), '-1,-1,false') AS k FROM j), i AS (SELECT *, CASE WHEN lag(k) OVER (PARTITION BY doc_id, line ORDER BY idx) = k THEN 0 ELSE 1 END AS s FROM f), r AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, line ORDER BY idx ROWS UNBOUNDED PRECEDING) AS run FROM i) SELECT doc_id, line, CAST(run AS BIGINT) AS run, min(idx) AS start, count(*) AS n, min(k) AS key FROM r GROUP BY doc_id, line, run")
 def styled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of characters with the same links and highlights; blanks go with what stands before them."""
-    g, m = _marked_glyphs(spark, sf_dir)
+    m = marks(spark, sf_dir)
+    every = lines(table(spark, sf_dir, "documents")).join(m.select("doc_id", "line").distinct(), ["doc_id", "line"], "left_semi")
+    g = every.where("text <> ''").select("doc_id", "line", F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("idx", "ch")).withColumn("idx", F.col("idx").cast("long"))
     key = F.concat_ws(",", F.coalesce("link", F.lit(-1)).cast("string"), F.coalesce("colour", F.lit(-1)).cast("string"), F.coalesce("underlined", F.lit(False)).cast("string"))
     over = Window.partitionBy("doc_id", "line").orderBy("idx")
-    j = g.select("doc_id", "line", "idx", "ch").join(linked_glyphs(g, m), ["doc_id", "line", "idx"], "left").withColumn("own", F.when(F.col("ch") != " ", key))
+    j = g.select("doc_id", "line", "idx", "ch").join(linked_glyphs(every, m), ["doc_id", "line", "idx"], "left").withColumn("own", F.when(F.col("ch") != " ", key))
     k = j.withColumn("key", F.coalesce(F.last("own", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0)), F.lit("-1,-1,false")))
     before = k.withColumn("before", F.lag("key").over(over))
     runs = islands(before, ["doc_id", "line"], ["idx"], ~F.col("before").eqNullSafe(F.col("key")), "run")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.operators.shapes import as_of, islands, visual_lines
 from pagequarry.plans.registry import query
-from pagequarry.sources.views import GLYPHS_SQL, LINES_SQL, glyphs, lines, table
+from pagequarry.sources.views import GLYPHS_SQL, LINES_SQL, PITCH, ROW, WIDE, line_boxes, lines, table
 
 _RECT = "CAST(floor(value * 10) AS BIGINT) % 600 AS l, event_id % 5 * 16 AS t, CAST(floor(value * 10) AS BIGINT) % 600 + 10 * (5 + event_id % 40) AS r, event_id % 5 * 16 + 12 AS b"
 _MARKS_SQL = f"marks AS (SELECT event_id, user_id AS doc_id, event_id % 3 AS line, event_type AS kind, {_RECT} FROM events WHERE value IS NOT NULL)"
@@ -30,24 +30,34 @@ _VISUAL_SQL = (
 )
 
 
+def placed_lines(lines_: DataFrame) -> DataFrame:
+    """Visual lines of lines of text; no shuffle."""
+    found = line_boxes(lines_).select("doc_id", "page", "line", F.posexplode(visual_lines(F.col("boxes"))).alias("visual_line", "x"))
+    return found.select("doc_id", "page", "line", F.col("visual_line").cast("long").alias("visual_line"), "x.*")
+
+
 @query(f"WITH {_VISUAL_SQL} SELECT doc_id, page, line, visual_line, start, n, l, t, r, b FROM visual")
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visual lines of all glyphs, with bounds."""
-    return visual_lines(glyphs(lines(table(spark, sf_dir, "documents"))), ["doc_id", "page", "line"]).select("doc_id", "page", "line", "visual_line", "start", "n", "l", "t", "r", "b")
+    return placed_lines(lines(table(spark, sf_dir, "documents"))).select("doc_id", "page", "line", "visual_line", "start", "n", "l", "t", "r", "b")
 
 
 @query(f"WITH {GLYPHS_SQL}, {_MARKS_SQL}, hit AS (SELECT DISTINCT g.doc_id, g.line, g.idx, g.ch FROM glyphs g JOIN marks m ON g.doc_id = m.doc_id AND g.line = m.line AND g.l + g.r BETWEEN 2 * m.l AND 2 * m.r AND g.t + g.b BETWEEN 2 * m.t AND 2 * m.b), gap AS (SELECT *, CASE WHEN idx - lag(idx) OVER (PARTITION BY doc_id, line ORDER BY idx) > 1 THEN ' ' ELSE '' END AS s FROM hit) SELECT doc_id, line, count(*) AS n, string_agg(s || ch, '' ORDER BY idx) AS text FROM gap GROUP BY doc_id, line")
 def text_in_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Glyphs whose centre is in any rectangle of their line, joined with a blank at gaps."""
-    m = marks(spark, sf_dir)
-    every = lines(table(spark, sf_dir, "documents"))
-    # Only lines with rectangles are turned into glyphs.
-    g = glyphs(every.join(m.select("doc_id", "line").distinct(), ["doc_id", "line"], "left_semi")).where("l is not null")
-    inside = (g.doc_id == m.doc_id) & (g.line == m.line) & (g.l + g.r).between(2 * m.l, 2 * m.r) & (g.t + g.b).between(2 * m.t, 2 * m.b)
-    hit = g.join(m, inside, "left_semi")
-    gap = F.when(F.col("idx") - F.lag("idx").over(Window.partitionBy("doc_id", "line").orderBy("idx")) > 1, " ").otherwise("")
-    text = F.array_join(F.expr("transform(array_sort(collect_list(struct(idx, s))), x -> x.s)"), "")
-    return hit.withColumn("s", F.concat(gap, "ch")).groupBy("doc_id", "line").agg(F.count("*").alias("n"), text.alias("text"))
+    """Glyphs whose centre is in any rectangle of their line, joined with a blank at gaps.
+
+    A rectangle on a row holds glyphs that follow one another: rectangles become ranges of places
+    before they meet a line, and a line's ranges are read off its text once.
+    """
+    first, last = (F.col("l") * 2 - WIDE) / (2 * WIDE), (F.col("r") * 2 - WIDE) / (2 * WIDE)
+    row = F.floor(F.col("t") / PITCH)  # a mark is as high as a row and stands on one
+    m = marks(spark, sf_dir).select("doc_id", "line", (row * ROW + F.greatest(F.ceil(first), F.lit(0))).alias("a"), (row * ROW + F.least(F.floor(last), F.lit(ROW - 1))).alias("z")).where("a <= z")
+    ranges = m.groupBy("doc_id", "line").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("a", "z"))))).alias("places"))  # places of one line, each once
+    j = lines(table(spark, sf_dir, "documents")).join(ranges, ["doc_id", "line"])
+    chars = F.transform("places", lambda i: F.struct(i.alias("i"), F.substring(F.col("text"), (i + 1).cast("int"), F.lit(1)).alias("ch")))
+    seen = j.select("doc_id", "line", F.filter(chars, lambda c: ~c["ch"].isin("", " ")).alias("cs")).where("size(cs) > 0")
+    text = F.array_join(F.expr("transform(cs, (c, k) -> concat(if(k > 0 and c.i - cs[greatest(k - 1, 0)].i > 1, ' ', ''), c.ch))"), "")
+    return seen.select("doc_id", "line", F.size("cs").cast("long").alias("n"), text.alias("text"))
 
 
 @query(f"WITH {_VISUAL_SQL}, {_MARKS_SQL}, c AS (SELECT m.event_id, v.doc_id, v.line, v.visual_line, 4 * greatest(v.t - m.t, m.t - v.b, 0) + greatest(v.l - m.l, m.l - v.r, 0) AS score FROM marks m JOIN visual v ON m.doc_id = v.doc_id AND m.line = v.line WHERE v.l IS NOT NULL) SELECT event_id, min(doc_id) AS doc_id, min(line) AS line, arg_min(visual_line, score * 1000000 + visual_line) AS visual_line, min(score) AS score FROM c GROUP BY event_id")
@@ -55,7 +65,7 @@ def caret_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line nearest to a point, the vertical distance counting four times; the first one wins ties."""
     m = marks(spark, sf_dir).select("event_id", "doc_id", "line", F.col("l").alias("x"), F.col("t").alias("y"))
     every = lines(table(spark, sf_dir, "documents")).join(m.select("doc_id", "line").distinct(), ["doc_id", "line"], "left_semi")
-    v = visual_lines(glyphs(every), ["doc_id", "page", "line"]).where("l is not null")
+    v = placed_lines(every).where("l is not null")
     scored = m.join(v, ["doc_id", "line"]).withColumn("score", 4 * F.greatest(F.col("t") - F.col("y"), F.col("y") - F.col("b"), F.lit(0)) + F.greatest(F.col("l") - F.col("x"), F.col("x") - F.col("r"), F.lit(0)))
     best = F.min(F.struct("score", "visual_line"))
     return scored.groupBy("event_id").agg(F.min("doc_id").alias("doc_id"), F.min("line").alias("line"), best.alias("x")).select("event_id", "doc_id", "line", F.col("x.visual_line").alias("visual_line"), F.col("x.score").alias("score"))
@@ -95,21 +105,26 @@ _FILLS = "s_suppkey AS fill, s_suppkey % 50 AS sheet, s_suppkey * 7 % 400 AS l,
 
 @query(f"WITH c AS (SELECT {_CELLS} FROM lineitem), f AS (SELECT {_FILLS} FROM supplier), o AS (SELECT cell, fill, (f.r - f.l) * (f.b - f.t) AS area FROM c JOIN f ON c.sheet = f.sheet AND 10 * greatest(least(c.r, f.r) - greatest(c.l, f.l), 0) * greatest(least(c.b, f.b) - greatest(c.t, f.t), 0) >= 7 * (c.r - c.l) * (c.b - c.t)) SELECT cell, count(*) AS fills, min(area) AS area, arg_min(fill, area * 1000000 + fill) AS fill FROM o GROUP BY cell")
 def cell_shading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smallest fill that covers seven tenths of a cell; cells and fills are made from tables."""
-    c = table(spark, sf_dir, "lineitem").selectExpr(*_CELLS.split(", "))
+    """The smallest fill that covers seven tenths of a cell; cells and fills are made from tables.
+
+    A fill that covers so much of a cell holds its centre: cells stand in the bucket of their
+    centre, fills in all that they touch, and both meet by sheet and bucket.
+    """
+    c = table(spark, sf_dir, "lineitem").selectExpr(*_CELLS.split(", ")).withColumn("column", F.expr("(l + r) div 80")).withColumn("row", F.expr("(t + b) div 80"))
     f = table(spark, sf_dir, "supplier").selectExpr(*_FILLS.split(", ")).select("fill", "sheet", *[F.col(x).alias("f" + x) for x in "ltrb"])
+    f = f.withColumn("column", F.explode(F.expr("sequence(fl div 40, fr div 40)"))).withColumn("row", F.explode(F.expr("sequence(ft div 40, fb div 40)")))
     covered = F.expr("10 * greatest(least(r, fr) - greatest(l, fl), 0) * greatest(least(b, fb) - greatest(t, ft), 0) >= 7 * (r - l) * (b - t)")
-    over = c.join(f, "sheet").where(covered).withColumn("area", F.expr("(fr - fl) * (fb - ft)"))
+    over = c.join(f, ["sheet", "column", "row"]).where(covered).withColumn("area", F.expr("(fr - fl) * (fb - ft)"))
     best = F.min(F.struct("area", "fill"))
     return over.groupBy("cell").agg(F.count("*").alias("fills"), best.alias("x")).select("cell", "fills", F.col("x.area").alias("area"), F.col("x.fill").alias("fill"))
 
 
 @query(f"WITH c AS (SELECT {_CELLS} FROM lineitem), f AS (SELECT {_FILLS} FROM supplier) SELECT cell FROM c WHERE EXISTS (SELECT 1 FROM f WHERE f.sheet = c.sheet AND abs(f.t - c.t) <= 4 AND 10 * (least(c.r, f.r) - greatest(c.l, f.l)) >= 6 * (c.r - c.l))")
 def edge_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells whose upper edge a rule covers by six tenths."""
-    c = table(spark, sf_dir, "lineitem").selectExpr(*_CELLS.split(", "))
-    f = table(spark, sf_dir, "supplier").selectExpr(*_FILLS.split(", "))
-    near = (c.sheet == f.sheet) & (F.abs(f.t - c.t) <= 4) & (10 * (F.least(c.r, f.r) - F.greatest(c.l, f.l)) >= 6 * (c.r - c.l))
+    """Cells whose upper edge a rule covers by six tenths: they meet by sheet and by bands of 8 units, a rule in its own and the next ones."""
+    c = table(spark, sf_dir, "lineitem").selectExpr(*_CELLS.split(", ")).withColumn("band", F.expr("t div 8"))
+    f = table(spark, sf_dir, "supplier").selectExpr(*_FILLS.split(", ")).select("sheet", F.col("l").alias("fl"), F.col("t").alias("ft"), F.col("r").alias("fr")).withColumn("band", F.explode(F.expr("sequence((ft - 4) div 8, (ft + 4) div 8)")))
+    near = (c.sheet == f.sheet) & (c.band == f.band) & (F.abs(f.ft - c.t) <= 4) & (10 * (F.least(c.r, f.fr) - F.greatest(c.l, f.fl)) >= 6 * (c.r - c.l))
     return c.join(f, near, "left_semi").select("cell")
 
 

@@ -2,47 +2,100 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagequarry.functions.search import SOFT, pattern
 from pagequarry.functions.text import MIN_VISIBLE, WORD, matches, visible_chars
 from pagequarry.plans.registry import query
-from pagequarry.sources.views import LINES_SQL, lines, table
+from pagequarry.sources.views import LINES_A_PAGE, LINES_SQL, lines, table
 
 TERM, CONTEXT, MOST_HITS = "thing", 40, 5_000
+BETWEEN = r"[\p{L}\p{Nd}]"
 
 
-def hits(docs: DataFrame, term: str = TERM, whole_word: bool = False) -> DataFrame:
-    """Every occurrence of ``term`` on its line, ignoring case: ``doc_id, page, line, start, ...``.
+def page_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, page, text``: every page as one text, without a shuffle."""
+    cut = f"transform(sequence(0, cast((size(l) - 1) div {LINES_A_PAGE} as int)), k -> array_join(slice(l, k * {LINES_A_PAGE} + 1, {LINES_A_PAGE}), '\\n'))"
+    pages = docs.where("text is not null").select("doc_id", F.split("text", "\n", -1).alias("l")).select("doc_id", F.posexplode(F.expr(cut)).alias("page", "text"))
+    return pages.select("doc_id", F.col("page").cast("long").alias("page"), "text")
 
-    Occurrences do not overlap; a whole-word match has no letter or digit at either side, and
-    one that has is skipped as a whole. The snippet is ``CONTEXT`` code points either side on
-    the match's own line, with an ellipsis where it is cut.
+
+def collapsed(text: Column) -> Column:
+    """Runs of white space as one blank, soft hyphens dropped."""
+    return F.regexp_replace(F.translate(text, SOFT, ""), r"\s+", " ")
+
+
+def hits(docs: DataFrame, query: str = TERM, match_case: bool = False, whole_word: bool = False) -> DataFrame:
+    """Every occurrence of ``query`` on a page: ``doc_id, page, start, length, before, hit, after``.
+
+    Occurrences do not overlap; they may run over line breaks. A whole-word match has no letter or
+    digit at either side, and one that has is skipped as a whole. The context is ``CONTEXT`` code
+    points either side on the match's own lines, with an ellipsis where it is cut. All places of a
+    page come from one fold over what lies between matches.
     """
-    found = lines(docs).withColumn("low", F.lower("text")).where(F.contains("low", F.lit(term)))
-    parts = found.withColumn("parts", F.split("low", f"\\Q{term}\\E", -1))
-    each = parts.select("doc_id", "page", "line", "text", "low", "parts", F.explode(F.expr("sequence(1, size(parts) - 1)")).alias("k"))
-    n = len(term)
-    at = each.withColumn("start", F.expr(f"aggregate(slice(parts, 1, k), 0, (s, p) -> s + char_length(p)) + (k - 1) * {n}").cast("long")).drop("parts")
+    find = F.lit(pattern(query, match_case))
+    found = page_texts(docs).where(F.col("text").rlike(pattern(query, match_case)))
+    parts = found.withColumn("hits", F.regexp_extract_all("text", find, 0)).withColumn("gaps", F.split("text", pattern(query, match_case), -1))
+    place = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,hit:string>>)").alias("done"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.char_length(x["gaps"])
+        return F.struct((start + F.char_length(x["hits"])).alias("at"), F.concat(acc["done"], F.array(F.struct(start.alias("start"), x["hits"].alias("hit")))).alias("done"))
+
+    each = F.aggregate(F.slice(F.arrays_zip("hits", "gaps"), F.lit(1), F.size("hits")), place, step, lambda a: a["done"])
+    at = parts.select("doc_id", "page", "text", F.explode(each).alias("x")).select("doc_id", "page", "text", "x.start", F.char_length("x.hit").cast("long").alias("length"), "x.hit")
+    end = F.col("start") + F.col("length")
+    at = at.withColumn("left", F.substring(F.col("text"), F.lit(1), F.col("start").cast("int"))).withColumn("right", F.substring(F.col("text"), (end + 1).cast("int"), F.char_length("text")))
     if whole_word:
-        at = at.where(~F.expr(f"substring(low, start, if(start = 0, 0, 1))").rlike(r"[\p{L}\p{Nd}]") & ~F.expr(f"substring(low, start + {n} + 1, 1)").rlike(r"[\p{L}\p{Nd}]"))
-    low, end = f"greatest(start - {CONTEXT}, 0)", f"least(start + {n + CONTEXT}, char_length(text))"
-    snippet = f"concat(if({low} > 0, '…', ''), substring(text, {low} + 1, {end} - {low}), if({end} < char_length(text), '…', ''))"
-    return at.select("doc_id", "page", "line", "start", F.lit(n).cast("long").alias("length"), F.expr(snippet).alias("snippet"))
+        at = at.where(~F.col("left").rlike(BETWEEN + SOFT + r"*\z") & ~F.col("right").rlike("^" + SOFT + "*" + BETWEEN))
+    own_left, own_right = F.regexp_extract("left", r"[^\n]*\z", 0), F.regexp_extract("right", r"^[^\n]*", 0)
+    before, after = collapsed(F.expr(f"right(own_left, {CONTEXT})")), collapsed(F.expr(f"left(own_right, {CONTEXT})"))
+    at = at.withColumn("own_left", own_left).withColumn("own_right", own_right)
+    return at.select(
+        "doc_id", "page", "start", "length",
+        F.when(F.char_length("own_left") > CONTEXT, F.concat(F.lit("…"), F.ltrim(before))).otherwise(before).alias("before"), collapsed(F.col("hit")).alias("hit"),
+        F.when(F.char_length("own_right") > CONTEXT, F.concat(F.rtrim(after), F.lit("…"))).otherwise(after).alias("after"),
+    )
+
+
+PAGES_SQL = f"{LINES_SQL}, pg AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY line) AS text FROM lines GROUP BY doc_id, page)"
 
 
-_HITS_SQL = f"""WITH {LINES_SQL},
- p AS (SELECT doc_id, page, line, text, string_split(lower(text), '{TERM}') AS parts FROM lines WHERE contains(lower(text), '{TERM}')),
- k AS (SELECT doc_id, page, line, text, parts, k FROM p, LATERAL (SELECT unnest(range(1, len(parts))) AS k) u),
- h AS (SELECT doc_id, page, line, text, CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * {len(TERM)} AS BIGINT) AS start FROM k),
- s AS (SELECT *, greatest(start - {CONTEXT}, 0) AS low, least(start + {len(TERM) + CONTEXT}, length(text)) AS hi FROM h)
-SELECT doc_id, page, line, start, CAST({len(TERM)} AS BIGINT) AS length, CASE WHEN low > 0 THEN '…' ELSE '' END || substring(text, low + 1, hi - low) || CASE WHEN hi < length(text) THEN '…' ELSE '' END AS snippet FROM s"""
+def hits_sql(query: str, match_case: bool = False, whole_word: bool = False) -> str:
+    find = pattern(query, match_case).replace("'", "''")
+    words = f"WHERE NOT regexp_matches(lt, '[\\p{{L}}\\p{{Nd}}]$') AND NOT regexp_matches(rt, '^[\\p{{L}}\\p{{Nd}}]')" if whole_word else ""
+    tidy = "regexp_replace(replace({}, chr(173), ''), '\\s+', ' ', 'g')"
+    return f"""{PAGES_SQL},
+ f AS (SELECT doc_id, page, text, regexp_extract_all(text, '{find}') AS m, string_split_regex(text, '{find}') AS g FROM pg WHERE regexp_matches(text, '{find}')),
+ k AS (SELECT *, CAST(coalesce(list_sum(list_transform(g[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS start, m[k] AS hit FROM f, LATERAL (SELECT unnest(range(1, len(m) + 1)) AS k)),
+ s AS (SELECT *, length(hit) AS n, substring(text, 1, start) AS lt, substring(text, start + length(hit) + 1) AS rt FROM k),
+ o AS (SELECT *, regexp_extract(lt, '[^\n]*$') AS ol, regexp_extract(rt, '^[^\n]*') AS orr FROM s {words}),
+ hits AS (SELECT doc_id, page, start, n AS length, CASE WHEN length(ol) > {CONTEXT} THEN '…' || ltrim({tidy.format(f"right(ol, {CONTEXT})")}) ELSE {tidy.format("ol")} END AS before, {tidy.format("hit")} AS hit, CASE WHEN length(orr) > {CONTEXT} THEN rtrim({tidy.format(f"left(orr, {CONTEXT})")}) || '…' ELSE {tidy.format("orr")} END AS after FROM o)"""
 
 
-@query(_HITS_SQL + f" ORDER BY doc_id, page, line, start LIMIT {MOST_HITS}")
+@query(f"WITH {hits_sql(TERM)} SELECT * FROM hits ORDER BY doc_id, page, start LIMIT {MOST_HITS}")
 def search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 5,000 hits in page order, with snippets; the limit is the feature's."""
-    return hits(table(spark, sf_dir, "documents")).orderBy("doc_id", "page", "line", "start").limit(MOST_HITS)
+    """The first 5,000 hits in page order, with their context; the limit is the feature's."""
+    return hits(table(spark, sf_dir, "documents")).orderBy("doc_id", "page", "start").limit(MOST_HITS)
+
+
+@query(f"WITH {hits_sql('of the')} SELECT * FROM hits")
+def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase, also where its words stand on two lines."""
+    return hits(table(spark, sf_dir, "documents"), "of  the ")
+
+
+@query(f"WITH {hits_sql('ère')} SELECT doc_id, page, count(*) AS n_hits, count(DISTINCT hit) AS spellings FROM hits GROUP BY doc_id, page")
+def search_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits a page whatever their case and accents, and how many spellings they have."""
+    return hits(table(spark, sf_dir, "documents"), "ERE").groupBy("doc_id", "page").agg(F.count("*").alias("n_hits"), F.count_distinct("hit").alias("spellings"))
+
+
+@query(f"WITH {hits_sql('The', match_case=True)} SELECT doc_id, page, start FROM hits")
+def search_match_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of exactly these letters."""
+    return hits(table(spark, sf_dir, "documents"), "The", match_case=True).select("doc_id", "page", "start")
 
 
 @query(f"SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), '{TERM}', ''))) // {len(TERM)} AS BIGINT) AS n_hits FROM documents WHERE contains(lower(text), '{TERM}')")
@@ -52,11 +105,10 @@ def search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", matches(F.col("low"), TERM).alias("n_hits"))
 
 
-@query(f"WITH {LINES_SQL}, w AS (SELECT doc_id, len(regexp_extract_all(lower(text), '(^|[^\\p{{L}}\\p{{Nd}}])the([^\\p{{L}}\\p{{Nd}}]|$)')) AS n FROM lines) SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines_words FROM w GROUP BY doc_id HAVING sum(n) > 0")
+@query(f"WITH {hits_sql('the', whole_word=True)} SELECT doc_id, page, count(*) AS n_hits, min(start) AS first FROM hits GROUP BY doc_id, page")
 def search_whole_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole-word hits a document, each taking its neighbours with it."""
-    found = F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"(^|[^\p{L}\p{Nd}])the([^\p{L}\p{Nd}]|$)"), 0))
-    return lines(table(spark, sf_dir, "documents")).select("doc_id", found.alias("n")).groupBy("doc_id").agg(F.sum("n").cast("long").alias("n_lines_words")).where("n_lines_words > 0")
+    """Hits a page that are words by themselves."""
+    return hits(table(spark, sf_dir, "documents"), "the", whole_word=True).groupBy("doc_id", "page").agg(F.count("*").alias("n_hits"), F.min("start").alias("first"))
 
 
 @query(f"WITH {LINES_SQL}, v AS (SELECT doc_id, page, CAST(sum(length(replace(text, ' ', ''))) AS BIGINT) AS visible FROM lines GROUP BY doc_id, page) SELECT doc_id, page, visible, visible < {MIN_VISIBLE} AS no_text FROM v")
@@ -66,19 +118,20 @@ def page_visible_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("no_text", F.col("visible") < MIN_VISIBLE)
 
 
-@query(f"SELECT doc_id FROM documents WHERE length(regexp_replace(text, '\\s', '', 'g')) < {MIN_VISIBLE}")
+@query(f"SELECT doc_id, count(*) OVER () AS documents, length(regexp_replace(coalesce(text, ''), '\\s', '', 'g')) < {MIN_VISIBLE} AS no_text FROM documents")
 def search_no_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that search can say nothing about."""
-    return table(spark, sf_dir, "documents").where(visible_chars(F.col("text")) < MIN_VISIBLE).select("doc_id")
+    """Which documents search can say nothing about, of how many."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.lit(docs.count()).cast("long").alias("documents"), (visible_chars(F.coalesce("text", F.lit(""))) < MIN_VISIBLE).alias("no_text"))
 
 
-@query(_HITS_SQL.replace("SELECT doc_id, page, line, start, CAST", "SELECT doc_id, row_number() OVER w AS hit, count(*) OVER (PARTITION BY doc_id) AS of_hits, (row_number() OVER w) % (count(*) OVER (PARTITION BY doc_id)) + 1 AS next_hit, CAST(line AS BIGINT) AS line, start FROM (SELECT doc_id, line, start, CAST") + ") WINDOW w AS (PARTITION BY doc_id ORDER BY line, start)")
+@query(f"WITH {hits_sql(TERM)} SELECT doc_id, row_number() OVER w AS hit, count(*) OVER (PARTITION BY doc_id) AS of_hits, row_number() OVER w % count(*) OVER (PARTITION BY doc_id) + 1 AS next_hit, page, start FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY page, start)")
 def search_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of each document in order, and the one that follows, around the end."""
     over = Window.partitionBy("doc_id")
-    found = hits(table(spark, sf_dir, "documents")).select("doc_id", "line", "start")
-    found = found.withColumn("hit", F.row_number().over(over.orderBy("line", "start")).cast("long")).withColumn("of_hits", F.count("*").over(over))
-    return found.select("doc_id", "hit", "of_hits", (F.col("hit") % F.col("of_hits") + 1).alias("next_hit"), "line", "start")
+    found = hits(table(spark, sf_dir, "documents")).select("doc_id", "page", "start")
+    found = found.withColumn("hit", F.row_number().over(over.orderBy("page", "start")).cast("long")).withColumn("of_hits", F.count("*").over(over))
+    return found.select("doc_id", "hit", "of_hits", (F.col("hit") % F.col("of_hits") + 1).alias("next_hit"), "page", "start")
 
 
 @query("SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'known' WHEN length(regexp_replace(d.text, '\\s', '', 'g')) >= 8 THEN 'text' ELSE 'none' END AS source, CASE WHEN l.doc_id IS NOT NULL THEN '*' || d.text ELSE d.text END AS text FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")

@@ -1,11 +1,14 @@
-"""Streams of edits and searches (R2, R5-R7, R9), and the same over finished tables."""
+"""Streams of edits and searches (R2, R4-R7, R9), and the same over finished tables."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import OrderedDict
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagequarry.operators.sequences import folded
 from pagequarry.plans.registry import query
 from pagequarry.sources.views import table
 
@@ -35,35 +38,99 @@ def stale_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("newest", F.max("generation").over(over)).where("generation = newest").select("event_id", "user_id", "generation")
 
 
-def fold_undo(ops, depth: int = UNDO_DEPTH) -> tuple[list[int], list[int]]:
-    """Undo and redo stacks after ``(id, kind)`` in order; a new action clears redo, the oldest goes beyond ``depth``."""
-    done: list[int] = []
-    undone: list[int] = []
-    for i, kind in ops:
-        if kind == "undo":
-            if done:
-                undone.append(done.pop())
-        elif kind == "redo":
-            if undone:
-                done.append(undone.pop())
-        else:
-            done.append(i)
-            undone.clear()
-            del done[:-depth]
+def undo_step(state: tuple[list[int], list[int]], i: int, kind: str, depth: int = UNDO_DEPTH) -> tuple[list[int], list[int]]:
+    """Undo and redo stacks after one more action; a new one clears redo, the oldest goes beyond ``depth``."""
+    done, undone = state
+    if kind == "undo":
+        if done:
+            undone.append(done.pop())
+    elif kind == "redo":
+        if undone:
+            done.append(undone.pop())
+    else:
+        done.append(i)
+        undone.clear()
+        del done[:-depth]
     return done, undone
 
 
-@query()
+_STEPS = "s AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
+
+
+@query(f"""WITH RECURSIVE {_STEPS}, f AS (SELECT user_id, 0::BIGINT AS k, []::BIGINT[] AS done, []::BIGINT[] AS undone FROM s WHERE k = 1 UNION ALL
+ SELECT s.user_id, s.k, CASE WHEN event_id % 4 = 3 THEN done[1:len(done) - 1] WHEN event_id % 9 = 8 THEN CASE WHEN len(undone) > 0 THEN list_append(done, undone[-1]) ELSE done END ELSE list_append(done, event_id)[-{UNDO_DEPTH}:] END,
+  CASE WHEN event_id % 4 = 3 THEN CASE WHEN len(done) > 0 THEN list_append(undone, done[-1]) ELSE undone END WHEN event_id % 9 = 8 THEN undone[1:len(undone) - 1] ELSE [] END FROM f JOIN s ON s.user_id = f.user_id AND s.k = f.k + 1)
+ SELECT f.user_id, len(done) AS can_undo, len(undone) AS can_redo, done[-1] AS top FROM f JOIN s ON s.user_id = f.user_id AND s.k = f.k AND s.k = s.n""")
 def undo_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undo and redo depths of each user; one in four events undoes, one in nine redoes."""
+    i = F.col("event_id")
+    kind = F.when(i % 4 == 3, "undo").when(i % 9 == 8, "redo").otherwise("do")
+    e = table(spark, sf_dir, "events").select("user_id", "ts", i, kind.alias("kind"))
+    return folded(e, "user_id", ["ts", "event_id"], ["event_id", "kind"], lambda: ([], []), undo_step, lambda s: (len(s[0]), len(s[1]), s[0][-1] if s[0] else None), "can_undo long, can_redo long, top long")
+
+
+@dataclass
+class Kept:
+    """What a cache of least recent use holds, the newest last, and what happened so far."""
+
+    entries: OrderedDict = field(default_factory=OrderedDict)
+    hits: int = 0
+    evicted: int = 0
+
+
+def kept_after(state: Kept, key: int, size: int, most: int) -> Kept:
+    """One more use of ``key``; the oldest go while ``size`` of all is beyond ``most``, but one always stays."""
+    if key in state.entries:
+        state.hits += 1
+        state.entries.move_to_end(key)
+    else:
+        state.entries[key] = size
+    while len(state.entries) > 1 and sum(state.entries.values()) > most:
+        state.entries.popitem(last=False)
+        state.evicted += 1
+    return state
+
+
+def cache_use(uses: DataFrame, most: int) -> DataFrame:
+    """``user_id, hits, evicted, held, newest`` after all uses (``user_id, ts, event_id, key, size``) in order."""
+    return folded(uses, "user_id", ["ts", "event_id"], ["key", "size"], Kept, lambda s, k, n: kept_after(s, k, n, most), lambda s: (s.hits, s.evicted, len(s.entries), next(reversed(s.entries))), "hits long, evicted long, held long, newest long")
+
+
+def _cache_sql(size: str, most: int) -> str:
+    return f"""WITH RECURSIVE {_STEPS}, u AS (SELECT *, event_id * 7 % 23 AS key, {size} AS size FROM s),
+ f AS (SELECT user_id, 0::BIGINT AS k, []::STRUCT(key BIGINT, size BIGINT)[] AS held, 0::BIGINT AS hits, 0::BIGINT AS evicted FROM s WHERE k = 1 UNION ALL
+  SELECT x.user_id, x.k, list_filter(x.every, lambda e, i: i = 1 OR list_sum(list_transform(x.every[1:i], lambda y: y.size)) <= {most}), x.hits + x.hit, x.evicted + len(x.every) - len(list_filter(x.every, lambda e, i: i = 1 OR list_sum(list_transform(x.every[1:i], lambda y: y.size)) <= {most}))
+  FROM (SELECT u.user_id, u.k, f.hits, f.evicted, (len(list_filter(f.held, lambda e: e.key = u.key)) > 0)::INT AS hit, list_prepend({{'key': u.key, 'size': u.size}}, list_filter(f.held, lambda e: e.key <> u.key)) AS every FROM f JOIN u ON u.user_id = f.user_id AND u.k = f.k + 1) x)
+ SELECT f.user_id, hits, evicted, len(held) AS held, held[1].key AS newest FROM f JOIN s ON s.user_id = f.user_id AND s.k = f.k AND s.k = s.n"""
+
+
+def _uses(spark: SparkSession, sf_dir: str, size) -> DataFrame:
+    key = F.col("event_id") * 7 % 23
+    return table(spark, sf_dir, "events").select("user_id", "ts", "event_id", key.alias("key"), size(key).alias("size"))
+
+
+@query(_cache_sql("1::BIGINT", 8))
+def lru_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache of eight pages a user: hits, and what the last use leaves."""
+    return cache_use(_uses(spark, sf_dir, lambda key: F.lit(1).cast("long")), 8)
+
+
+@query(_cache_sql("20 + event_id * 7 % 23 * 13 % 90", 300))
+def lru_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache of 300 bytes a user: pictures of several sizes, one of which always stays."""
+    return cache_use(_uses(spark, sf_dir, lambda key: 20 + key * 13 % 90), 300)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        done, undone = fold_undo((i, "undo" if i % 4 == 3 else "redo" if i % 9 == 8 else "do") for i in pdf["event_id"])
-        return pd.DataFrame({"user_id": [pdf["user_id"].iloc[0]], "can_undo": [len(done)], "can_redo": [len(undone)], "top": pd.array([done[-1] if done else None], "Int64")})
 
-    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
-    return e.groupBy("user_id").applyInPandas(fold, "user_id long, can_undo long, can_redo long, top long")
+@query("SELECT path, ts FROM (SELECT lower(p) AS key, max(ts) AS ts, arg_max(p, ts) AS path FROM (SELECT CASE WHEN event_id % 2 = 0 THEN 'Doc' ELSE 'DOC' END || user_id || '.pdf' AS p, ts FROM events) GROUP BY 1) ORDER BY ts DESC, key LIMIT 30")
+def recents_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recent files after three micro-batches in order of time, thirty at most (the feature's limit)."""
+    e = table(spark, sf_dir, "events").select(F.concat(F.when(F.col("event_id") % 2 == 0, "Doc").otherwise("DOC"), F.col("user_id").cast("string"), F.lit(".pdf")).alias("path"), "ts")
+    cuts = e.agg(F.expr("percentile_approx(ts, array(0.33D, 0.66D))").alias("c")).first()["c"]
+    kept = None
+    for low, high in ((None, cuts[0]), (cuts[0], cuts[1]), (cuts[1], None)):
+        batch = e if low is None else e.where(F.col("ts") > F.lit(low))
+        kept = upsert_recents(batch if high is None else batch.where(F.col("ts") <= F.lit(high)), kept)
+    return kept
 
 
 def upsert_recents(batch: DataFrame, kept: DataFrame | None, most: int = 30) -> DataFrame:
