@@ -338,7 +338,7 @@ def index(docs: DataFrame, measure: Measure, frequent: int = FREQUENT, map_bits:
 
 def _bits_for(docs: DataFrame) -> int:
     """Bits of each map, from Spark's estimate of the table's size: 16 MB at first, 64 MB at most."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return min(MAP_BITS + 2, max(MAP_BITS, (size // 8).bit_length()))
 
 

@@ -97,7 +97,7 @@ def test_jaccard_odd(odd, none):
     assert (1, 1) in got and (2, 2) in got and got.count((5, 4)) == 2 and (None, None) in got and (9, 8) in got
     assert len(got) == 15 and jaccard.join(none).count() == 0 and jaccard.linked(none).count() == 0
     links = sorted(((r.doc_id, r.n_links) for r in jaccard.linked(odd, jaccard.Measure(3, 90, 100)).collect()), key=str)
-    assert (1, 0) in links and (None, 0) in links and links.count((5, 2)) == 2 and (4, 2) in links and (8, 1) in links and (9, 1) in links
+    assert (1, 0) in links and (None, 0) in links and links.count((5, 2)) == 2 and (4, 2) in links and {(8, 2), (9, 1), (12, 1)} <= set(links)
     kept = jaccard.one_of_each(odd)
     assert kept.columns == odd.columns
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 3, 4, 6, 7, 8, 10, 11]  # 9 is near 8, and 12 has 20 of its 24 shingles
