@@ -1,59 +1,100 @@
-"""Scanned pages as pixel arrays: marks of ink, runs, blur, skew, and words grouped into lines.
+"""Scanned pages as pixel arrays, a batch of pages at a time: marks of ink, runs, blur, skew, words in lines.
 
-A bitmap is a two-dimensional array of one page; pages are spread over tasks, a page is one row.
+The pages of a batch stand below each other in one tall bitmap with a blank row after each, so
+that every step works on all of them at once and nothing touches across pages.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Pixels a mark needs; width, samples and steps of the search for skew.
-LEAST_PIXELS, WORKING_WIDTH, LEAST_SAMPLES, COARSE, FINE = 4, 900, 200, 0.4, 0.05
-
-
-def row_runs(ink: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of ink along the rows: row, first and last column, in reading order."""
-    edges = np.diff(np.pad(ink.astype(bool), ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    rows, first = np.nonzero(edges == 1)
-    return rows, first, np.nonzero(edges == -1)[1] - 1
-
-
-def blobs(ink: np.ndarray, least: int = LEAST_PIXELS) -> list[tuple[int, int, int, int, int]]:
-    """Marks of ink that touch, corners included: ``left, top, right, bottom`` (inclusive) and pixels.
-
-    Runs of neighbouring rows that meet are edges of a graph; the least run number spreads along
-    them, with pointers halved each round, until nothing changes.
-    """
-    rows, first, last = row_runs(ink)
-    n = len(rows)
-    if not n:
-        return []
-    width = ink.shape[1] + 2
-    # The runs of the row above that reach into this run's columns, one to each side, are neighbours in order.
-    low = np.searchsorted(rows * width + last, (rows - 1) * width + first - 1, side="left")
-    high = np.searchsorted(rows * width + first, (rows - 1) * width + last + 1, side="right")
-    many = np.maximum(high - low, 0)
-    below = np.repeat(np.arange(n), many)
-    above = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    label = np.arange(n)
-    while True:
-        least_of = np.minimum(label[below], label[above])
-        fresh = label.copy()
-        for side in (label[below], label[above]):
-            np.minimum.at(fresh, side, least_of)
-        fresh = fresh[fresh]
-        if np.array_equal(fresh, label):
-            break
-        label = fresh
-    _, at = np.unique(label, return_inverse=True)
-    count = int(at.max()) + 1
-    box = np.stack([np.full(count, np.iinfo(np.int64).max), np.full(count, np.iinfo(np.int64).max), np.full(count, -1), np.full(count, -1)])
-    np.minimum.at(box[0], at, first)
-    np.minimum.at(box[1], at, rows)
-    np.maximum.at(box[2], at, last)
-    np.maximum.at(box[3], at, rows)
-    pixels = np.bincount(at, last - first + 1).astype(np.int64)
-    return [tuple(int(v) for v in (*box[:, k], pixels[k])) for k in range(count) if pixels[k] >= least]
+#: Pixels a mark needs, points a page's skew is measured from.
+LEAST_PIXELS, LEAST_SAMPLES = 4, 200
+#: Slopes that are tried, in ten-thousandths: up to about six degrees, in wide steps and then in narrow ones.
+MOST_SLOPE, COARSE, FINE = 1050, 70, 9
+
+
+class Sheets:
+    """Bitmaps of several pages, stacked. ``ink`` has a blank row after each page; ``first`` its first row."""
+
+    def __init__(self, bitmaps: list[np.ndarray]) -> None:
+        heights = np.array([len(b) for b in bitmaps], np.int64)
+        width = max((b.shape[1] for b in bitmaps if len(b)), default=0)
+        self.first = np.cumsum(heights + 1) - heights - 1
+        self.heights, self.pages = heights, len(bitmaps)
+        self.ink = np.zeros((int((heights + 1).sum()), width), bool)
+        for b, at in zip(bitmaps, self.first.tolist(), strict=True):
+            self.ink[at : at + len(b), : b.shape[1]] = b
+        self.page = np.repeat(np.arange(self.pages), heights + 1)
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of ink along the rows: row, first and last column, in reading order."""
+        edges = np.diff(np.pad(self.ink, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        rows, first = np.nonzero(edges == 1)
+        return rows, first, np.nonzero(edges == -1)[1] - 1
+
+    def blobs(self, least: int = LEAST_PIXELS) -> np.ndarray:
+        """Marks of ink that touch, corners included: rows of page, left, top, right, bottom (inclusive), pixels.
+
+        Runs of neighbouring rows that meet are edges of a graph; the least run number spreads
+        along them, with pointers halved each round, until nothing changes.
+        """
+        rows, first, last = self.runs()
+        if not len(rows):
+            return np.zeros((0, 6), np.int64)
+        width = self.ink.shape[1] + 2
+        # The runs of the row above that reach into this run's columns, one to each side, follow one another.
+        low = np.searchsorted(rows * width + last, (rows - 1) * width + first - 1, side="left")
+        high = np.searchsorted(rows * width + first, (rows - 1) * width + last + 1, side="right")
+        many = np.maximum(high - low, 0)
+        below = np.repeat(np.arange(len(rows)), many)
+        above = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        label = np.arange(len(rows))
+        while True:
+            fresh = label.copy()
+            meet = np.minimum(label[below], label[above])
+            np.minimum.at(fresh, label[below], meet)
+            np.minimum.at(fresh, label[above], meet)
+            fresh = fresh[fresh]
+            if np.array_equal(fresh, label):
+                break
+            label = fresh
+        _, at = np.unique(label, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        cuts = np.flatnonzero(np.diff(at[order], prepend=-1))
+        of = lambda f, v: f.reduceat(v[order], cuts)
+        pixels = of(np.add, last - first + 1)
+        page = self.page[of(np.minimum, rows)]
+        found = np.stack([page, of(np.minimum, first), of(np.minimum, rows) - self.first[page], of(np.maximum, last), of(np.maximum, rows) - self.first[page], pixels], axis=1)
+        return found[pixels >= least]
+
+    def slopes(self) -> np.ndarray:
+        """The slope of each page's lines in ten-thousandths, down to the right; 0 with too few points.
+
+        Points are the lower ends of ink along columns. A slope's score is the sum of squared
+        counts of points on rows sheared by it; the greatest wins, of equal ones the least slope:
+        first among wide steps, then among narrow ones around that.
+        """
+        y, x = np.nonzero(self.ink & ~np.roll(self.ink, -1, axis=0))  # a page's blank last row ends all runs
+        page = self.page[y]
+        y = y - self.first[page]
+        enough = np.bincount(page, minlength=self.pages) >= LEAST_SAMPLES
+        use = enough[page]
+        page, y, x = page[use], y[use], x[use]
+        best = np.zeros(self.pages, np.int64)
+        if not len(page):
+            return best
+        for around, by, reach in ((best.copy(), COARSE, MOST_SLOPE), (None, FINE, COARSE)):
+            middle = best if around is None else around
+            offsets = np.arange(-(reach // by) * by, reach + 1, by)
+            scores = np.empty((len(offsets), self.pages))
+            for k, offset in enumerate(offsets.tolist()):
+                at = (y * 10_000 - x * (middle[page] + offset)) // 10_000
+                at -= at.min()
+                counts = np.unique(page * (int(at.max()) + 1) + at, return_counts=True)
+                scores[k] = np.bincount(counts[0] // (int(at.max()) + 1), counts[1].astype(np.float64) ** 2, minlength=self.pages)
+            best = np.where(enough, middle + offsets[scores.argmax(axis=0)], 0)
+        return best
 
 
 def box_blur(grey: np.ndarray, radius: int) -> np.ndarray:
@@ -70,58 +111,23 @@ def box_blur(grey: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def skew(grey: np.ndarray, threshold: int, most: float) -> float:
-    """Degrees by which lines slope down to the right, 0 with too little ink.
+def word_lines(boxes: np.ndarray, glyph: float) -> np.ndarray:
+    """The line of each word, numbered by their first words from the left; ``boxes`` has left, top, right, bottom.
 
-    Lower ends of ink along columns are counted on sheared rows; the angle with the greatest sum of
-    squared counts wins, the first of equal ones: in coarse steps, then in fine ones around it.
-    """
-    step = max(1, -(-grey.shape[1] // WORKING_WIDTH))
-    ink = grey[::step, ::step] < threshold
-    height = grey.shape[0] // step + 1
-    below = np.zeros_like(ink)
-    below[:-1] = ink[1:]
-    # A run that ends within the page counts at the row after it, one at the page's end at the last row.
-    y, x = np.nonzero(ink & ~below)
-    y = np.where(y == ink.shape[0] - 1, height - 1, y + 1)
-    if len(x) < LEAST_SAMPLES:
-        return 0.0
-
-    def score(angle: float) -> float:
-        slope = np.tan(angle * np.pi / 180)
-        margin = int(abs(slope * WORKING_WIDTH)) + 2
-        at = np.trunc(y - x * slope).astype(np.int64) + margin
-        counts = np.bincount(at[(at >= 0) & (at < height + 2 * margin)])
-        return float(np.sum(counts.astype(np.float64) ** 2))
-
-    def best(low: float, high: float, by: float) -> float:
-        angles = []
-        while low <= high + 1e-9:
-            angles.append(low)
-            low += by
-        return max(angles, key=score)
-
-    coarse = best(-most, most, COARSE)
-    return round(best(coarse - COARSE, coarse + COARSE, FINE), 3)
-
-
-def grouped_lines(words: list[tuple[float, float, float, float]], glyph: float) -> list[list[int]]:
-    """Words as lines: from left to right each goes to the line whose last word it overlaps most in height.
-
-    The overlap must be over half of the lesser height, and the word may start half a glyph before
-    that word's end at most.
+    A word goes on with the line whose end shares most of the lesser height with it, over half of
+    it, unless it starts more than half a glyph before that end. All open ends are compared with
+    a word at once.
     """
-    lines: list[list[int]] = []
-    for i in sorted(range(len(words)), key=lambda k: words[k][0]):
-        left, top, _, bottom = words[i]
-        found, most = None, 0.5
-        for line in lines:
-            _, above, right, below = words[line[-1]]
-            lesser = min(bottom - top, below - above)
-            if left >= right - glyph * 0.5 and lesser > 0 and (min(bottom, below) - max(top, above)) / lesser > most:
-                found, most = line, (min(bottom, below) - max(top, above)) / lesser
-        if found is None:
-            lines.append([i])
-        else:
-            found.append(i)
-    return lines
+    line = np.zeros(len(boxes), np.int64)
+    ends = np.zeros((0, 4))
+    for i in np.argsort(boxes[:, 0], kind="stable").tolist():
+        left, top, _, bottom = boxes[i]
+        lesser = np.minimum(bottom - top, ends[:, 3] - ends[:, 1])
+        shared = np.minimum(bottom, ends[:, 3]) - np.maximum(top, ends[:, 1])
+        part = np.where((left >= ends[:, 2] - glyph / 2) & (lesser > 0), shared / np.where(lesser > 0, lesser, 1), 0.0)
+        k = int(np.argmax(part)) if len(part) and part.max() > 0.5 else len(ends)
+        if k == len(ends):
+            ends = np.vstack([ends, boxes[i]])
+        ends[k] = boxes[i]
+        line[i] = k
+    return line
