@@ -9,7 +9,10 @@ from pagequarry.operators import ink
 from pagequarry.operators.tables import boundaries, near_groups, ruled_grids, unruled_tables
 from pagequarry.plans.catalog import QUERIES
 from pagequarry.plans.ink import bitmap, page_texts
-from pagequarry.plans.joins import nearest_ancestor, range_boxes
+from pagequarry.operators.trees import depths, nearest_ancestor
+from pagequarry.plans.joins import range_boxes
+from pagequarry.plans.search import hits
+from pagequarry.streaming.replay import cache_use
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -36,12 +39,13 @@ def flooded(seen, least=4):
 
 
 def test_blobs_as_flooded():
+    """Several bitmaps at once, with ink at their edges: nothing joins across pages."""
     draw = np.random.default_rng(1)
-    for share in (0.05, 0.2, 0.4, 0.6, 0.9):
-        for shape in ((1, 1), (1, 40), (40, 1), (23, 31)):
-            seen = draw.random(shape) < share
-            assert sorted(ink.blobs(seen)) == flooded(seen)
-    assert ink.blobs(np.zeros((5, 5), bool)) == []
+    pages = [draw.random(shape) < share for share in (0.05, 0.2, 0.4, 0.6, 0.9) for shape in ((1, 1), (1, 40), (40, 1), (23, 31))] + [np.zeros((5, 5), bool)]
+    found = ink.Sheets(pages).blobs()
+    for i, page in enumerate(pages):
+        assert sorted(tuple(map(int, x[1:])) for x in found if x[0] == i) == flooded(page)
+    assert len(ink.Sheets([]).blobs()) == 0
 
 
 def test_blobs_of_all_pages(spark):
@@ -50,6 +54,16 @@ def test_blobs_of_all_pages(spark):
     assert sorted(map(tuple, QUERIES["ink_blobs"](spark, FOLDER).where("doc_id < 10").collect())) == expected
 
 
+def test_darkest_place_and_heights(spark):
+    rows = {(r.doc_id, r.page): r for r in QUERIES["page_ink"](spark, FOLDER).where("doc_id < 10").collect()}
+    for r in page_texts(spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 10")).collect():
+        seen = bitmap(r.lines)
+        heights = sorted(b[3] - b[1] + 1 for b in flooded(seen, 8))
+        got = rows[r.doc_id, r.page]
+        assert got.height == (heights[len(heights) // 2] if heights else 0)
+        assert got.darkest == ink.box_blur(np.where(seen, 0, 255).astype(np.uint8), 2).min()
+
+
 def test_blur_as_stated():
     grey = np.random.default_rng(2).integers(0, 256, (9, 13)).astype(np.uint8)
     for radius in (1, 2, 4):
@@ -59,21 +73,45 @@ def test_blur_as_stated():
         assert np.array_equal(ink.box_blur(grey, radius), down)
 
 
-def test_skew_of_sloping_lines():
+def test_slopes_of_lines():
+    pages = []
     for degrees in (-2.0, 0.0, 3.0):
-        page = np.full((600, 800), 255, np.uint8)
-        x = np.arange(800)
+        page, x = np.zeros((600, 800), bool), np.arange(800)
         for y in range(60, 540, 60):
             at = np.round(y + x * np.tan(np.radians(degrees))).astype(int)
             for k in range(8):
-                page[at + k, x] = 0
-        assert abs(ink.skew(page, 128, 6.0) - degrees) <= 0.15
-    assert ink.skew(np.full((50, 50), 255, np.uint8), 128, 6.0) == 0
+                page[at + k, x] = True
+        pages.append(page)
+    slopes = ink.Sheets([*pages, np.zeros((50, 50), bool)]).slopes()
+    assert [abs(round(np.degrees(np.arctan(s / 10_000)), 3) - d) <= 0.15 for s, d in zip(slopes, (-2.0, 0.0, 3.0, 0.0), strict=True)] == [True] * 4 and slopes[3] == 0
+
+
+def brute_word_lines(boxes, glyph):
+    """Word by word against every open line, one after another."""
+    tails, line = [], [0] * len(boxes)
+    for i in sorted(range(len(boxes)), key=lambda k: boxes[k][0]):
+        left, top, _, bottom = boxes[i]
+        scores = []
+        for _, up, right, low in tails:
+            lesser = min(bottom - top, low - up)
+            scores.append((min(bottom, low) - max(top, up)) / lesser if lesser > 0 and left >= right - glyph / 2 else 0)
+        best = max(range(len(scores)), key=lambda k: scores[k], default=None)
+        if best is None or scores[best] <= 0.5:
+            best = len(tails)
+            tails.append(None)
+        tails[best] = boxes[i]
+        line[i] = best
+    return line
 
 
 def test_words_in_lines():
-    assert ink.grouped_lines([(0, 0, 10, 12), (12, 3, 20, 15), (0, 20, 10, 32), (22, 19, 30, 31)], 12) == [[0, 1], [2, 3]]
-    assert ink.grouped_lines([], 12) == []
+    assert ink.word_lines(np.array([(0, 0, 10, 12), (12, 3, 20, 15), (0, 20, 10, 32), (22, 19, 30, 31)], float), 12).tolist() == [0, 0, 1, 1]
+    assert len(ink.word_lines(np.zeros((0, 4)), 12)) == 0
+    draw = np.random.default_rng(4)
+    for _ in range(30):
+        at = draw.integers(0, 200, (40, 2)).astype(float)
+        boxes = np.concatenate([at, at + draw.integers(0, 30, (40, 2))], axis=1)
+        assert ink.word_lines(boxes, 12).tolist() == brute_word_lines([tuple(b) for b in boxes], 12)
 
 
 def test_near_groups_join_at_bridges():
@@ -107,9 +145,50 @@ def test_range_boxes_split_by_accumulated_height(spark):
     assert got == [[(0, 0, 200, 30), (291, 0, 300, 10), (340, 0, 350, 10)], []]
 
 
-def test_ancestors(spark):
+def test_ancestors_and_depths(spark):
     df = spark.createDataFrame([(1, None, True), (2, 1, False), (3, 2, False), (4, 3, True), (5, 4, False)], "node long, parent long, meaningful boolean")
     assert sorted((r.node, r.ancestor) for r in nearest_ancestor(df).collect()) == [(1, None), (2, 1), (3, 1), (4, 1), (5, 4)]
+    chain = [(i, i - 1 if i else None, i == 0) for i in range(80)] + [(100, 101, False), (101, 100, False), (200, 999, False)]
+    df = spark.createDataFrame(chain, "node long, parent long, meaningful boolean")
+    found = {r.node: r.depth for r in depths(df).collect()}
+    assert found == {i: i for i in range(65)}  # 64 levels below the root; neither cycles nor what hangs on nothing
+    assert {r.node: r.ancestor for r in nearest_ancestor(df).collect() if 0 < r.node < 64} == {i: 0 for i in range(1, 64)}
+
+
+def test_folds_hold_the_state_only(spark):
+    rows = [(u, t, (t * 7 + u) % 5, 10 + t % 3) for u in (1, 2) for t in range(50)]
+    df = spark.createDataFrame([(u, t, t, k, n) for u, t, k, n in rows], "user_id long, ts long, event_id long, key long, size long").repartition(5)
+    for most in (1, 25, 1000):
+        for r in cache_use(df, most).collect():
+            held, hits, gone = [], 0, 0
+            for u, _, k, n in rows:
+                if u == r.user_id:
+                    size = dict(held).get(k, n)
+                    hits += any(k == x for x, _ in held)
+                    held = [x for x in held if x[0] != k] + [(k, size)]
+                    while len(held) > 1 and sum(x for _, x in held) > most:
+                        held.pop(0)
+                        gone += 1
+            assert (r.hits, r.evicted, r.held, r.newest) == (hits, gone, len(held), held[-1][0])
+    assert cache_use(df.limit(0), 5).count() == 0
+
+
+def find(spark, text, query, **how):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    return [(r.start, r.length, r.before, r.hit, r.after) for r in hits(df, query, **how).orderBy("start").collect()]
+
+
+def test_search_rules(spark):
+    assert len(find(spark, "Visit the CAFÉ today", "cafe")) == 1 and len(find(spark, "cafe\u0301 Cafe", "café")) == 2
+    assert find(spark, "quick brown\n  fox jumps", "brown fox")[0][:2] == (6, len("brown\n  fox"))
+    assert len(find(spark, "cat concatenate cats", "cat", whole_word=True)) == 1 and len(find(spark, "cat concatenate cats", "cat")) == 3
+    assert find(spark, "cat", "Cat", match_case=True) == []
+    assert find(spark, "first line here\nthe lazy dog sleeps\nnext line", "lazy") == [(20, 4, "the ", "lazy", " dog sleeps")]
+    (hit,) = find(spark, "x" * 50 + " The needle is here " + "y" * 50, "needle")
+    assert hit[2].startswith("…") and hit[4].endswith("…") and hit[3] == "needle"
+    assert find(spark, "so\u00adft hy\u00adphen", "soft  hyphen")[0][:2] == (0, 13)
+    assert len(find(spark, "a.b a+b (a", "a+b")) == 1 and find(spark, "😀 needle", "NEEDLE")[0][0] == 2
+    assert len(find(spark, "aaaa", "aa")) == 2 and find(spark, "", "a") == []
 
 
 def test_dates_and_names(spark):

@@ -12,6 +12,10 @@ FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Queries that find nothing in tables as small as these.
+NONE = {"page_heads"}
+
+
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
@@ -38,8 +42,10 @@ def rows(df):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, con, name):
-    assert rows(QUERIES[name](spark, FOLDER).toPandas()) == rows(con.execute(SQL[name]).df())
+    got = rows(QUERIES[name](spark, FOLDER).toPandas())
+    assert got == rows(con.execute(SQL[name]).df())
+    assert got or name in NONE
 
 
 def test_all_but_folds_have_sql():
-    assert set(QUERIES) - set(SQL) == {"undo_state", "table_grids", "ink_blobs", "page_ink", "recognised_lines"}
+    assert set(QUERIES) - set(SQL) == {"table_grids", "ink_blobs", "page_ink", "recognised_lines"}

@@ -7,7 +7,7 @@ from pagequarry.functions.stats import lower_median, nearest_rank, ranked_groups
 from pagequarry.functions.text import folded, roman_value, visible_chars
 from pagequarry.operators.shapes import as_of, visual_lines
 from pagequarry.plans.search import hits
-from pagequarry.streaming.replay import debounced, fold_undo, upsert_recents
+from pagequarry.streaming.replay import debounced, undo_step, upsert_recents
 
 
 def one(df):
@@ -62,6 +62,12 @@ def test_snippet_stays_on_its_line(spark):
 
 
 def test_undo_redo():
+    def fold_undo(steps):
+        state = ([], [])
+        for i, kind in steps:
+            state = undo_step(state, i, kind)
+        return state
+
     assert fold_undo([(1, "do"), (2, "do"), (3, "undo"), (4, "redo"), (5, "undo"), (6, "do"), (7, "redo")]) == ([1, 6], [])
     assert fold_undo([(i, "do") for i in range(150)])[0][0] == 50
 
