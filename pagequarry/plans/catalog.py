@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagequarry.plans import anchors, annotations, composition, files, ink, joins, layout, names, objects, recognition, rules, search, statistics, structure, tables  # noqa: F401  they register themselves
+from pagequarry.plans import anchors, annotations, composition, files, ink, joins, layout, names, objects, profile, recognition, rules, search, statistics, structure, tables  # noqa: F401  they register themselves
 from pagequarry.plans.registry import QUERIES, SQL
 from pagequarry.streaming import replay  # noqa: F401
 
