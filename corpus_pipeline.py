@@ -4,13 +4,19 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; it is writte
 the shared folder and read again as the next stage's documents. All but the last keep the
 columns of documents.
 
-Defined cases, beside those of the operators: a row with a null ``doc_id`` passes every filter
-that its text passes and is never a duplicate; a document whose text the substring stage takes
-away wholly stays as an empty text; an empty table gives an empty result.
+Defined cases, beside those of the operators: without a label every document passes the quality
+stage, and without a known language every text with a letter passes the language stage; a row
+with a null ``doc_id`` passes every filter that its text passes and is never a duplicate; of equal
+rows and of ties between near copies one stays, that with the least ``doc_id``; a document whose
+text the substring stage takes away wholly stays as an empty text; texts of any length are worked
+on whole; extra columns pass through all stages but the last whatever their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +44,10 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document has."""
-    cut = substring_dedup.dedup(docs).drop("removed_spans")
+    names, aside = docs.columns, f"aside_{uuid.uuid4().hex}"
+    if "removed_spans" in names:  # a column of the documents' own steps aside
+        docs = docs.withColumnRenamed("removed_spans", aside)
+    cut = substring_dedup.dedup(docs).drop("removed_spans").withColumnRenamed(aside, "removed_spans").select(*[f"`{c}`" for c in names])
     return cut.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
