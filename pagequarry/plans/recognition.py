@@ -1,4 +1,4 @@
-"""Recognised words and ink: baselines, scripts, reading order, symbol repair, leaders, tracking, grids.
+"""Recognised words and ink: baselines, scripts, reading order, symbol repair, leaders, tracking, grids.
 
 Lines of orders stand for lines of recognised glyphs, in whole units of a page.
 """
@@ -261,3 +261,26 @@ def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = lambda f, zero: F.aggregate("p", zero, lambda a, x: a + f(x))
     blanks = F.size(F.filter(F.expr("transform(p, (x, i) -> i > 0 and x.l > p[greatest(i - 1, 0)].r)"), lambda y: y))
     return p.select("doc_id", "line", (total(lambda x: x["n"], F.lit(0)) + F.size("p") - 1).cast("long").alias("chars"), blanks.cast("long").alias("boxed_blanks"), F.round(total(lambda x: (x["r"] - x["l"]) * F.lit(1.0) / x["n"], F.lit(0.0)), 4).alias("widths"))
+
+
+@query("""WITH w AS (SELECT user_id AS page, event_id, event_type AS t, event_id * 37 % 900 AS l, event_id * 53 % 900 AS y FROM events WHERE event_type <> 'purchase'), f AS (SELECT user_id AS page, event_id AS figure, event_id * 37 % 900 - 60 AS l, event_id * 53 % 900 - 40 AS t, event_id * 37 % 900 + 60 AS r, event_id * 53 % 900 + 40 AS b FROM events WHERE event_type = 'purchase'),
+ h AS (SELECT w.*, (SELECT min(figure) FROM f WHERE f.page = w.page AND w.l BETWEEN f.l AND f.r AND w.y BETWEEN f.t AND f.b) AS figure FROM w),
+ b AS (SELECT page, l // 450 AS col, l, y, event_id, t FROM h WHERE figure IS NULL UNION ALL SELECT page, greatest(l, 0) // 450, greatest(l, 0), greatest(t, 0), figure, '[figure]' FROM f WHERE EXISTS (SELECT 1 FROM h WHERE h.figure = f.figure)),
+ s AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page, col ORDER BY y, l, event_id) < 8 THEN 0 ELSE 1 END AS st FROM b), r AS (SELECT *, sum(st) OVER (PARTITION BY page, col ORDER BY y, l, event_id ROWS UNBOUNDED PRECEDING) AS row FROM s)
+ SELECT page, count(*) AS parts, count(DISTINCT (col, row)) AS n_lines, md5(string_agg(t, ' ' ORDER BY col, row, l, event_id)) AS digest FROM r GROUP BY page""")
+def rebuilt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognised pages put together again: words within a figure give way to one mark for it, the rest is read by columns, rows and from the left."""
+    e = table(spark, sf_dir, "events")
+    w = e.where("event_type <> 'purchase'").selectExpr("user_id as page", "event_id", "event_type as t", "event_id * 37 % 900 as l", "event_id * 53 % 900 as y")
+    f = e.where("event_type = 'purchase'").selectExpr("user_id as page", "event_id as figure", "event_id * 37 % 900 as x", "event_id * 53 % 900 as z")
+    # Figures are 120 by 80: they visit the cells of 128 units that they touch, words lie in one.
+    cells = f.withColumn("column", F.explode(F.expr("sequence(greatest(x - 60, 0) div 128, (x + 60) div 128)"))).withColumn("row", F.explode(F.expr("sequence(greatest(z - 40, 0) div 128, (z + 40) div 128)")))
+    held = w.withColumn("column", F.expr("l div 128")).withColumn("row", F.expr("y div 128")).join(cells, ["page", "column", "row"]).where("l between x - 60 and x + 60 and y between z - 40 and z + 40").groupBy("page", "event_id").agg(F.min("figure").alias("figure"))
+    body = w.join(held, ["page", "event_id"], "left_anti")
+    shown = f.join(held.select("page", "figure").distinct(), ["page", "figure"], "left_semi").select("page", F.col("figure").alias("event_id"), F.lit("[figure]").alias("t"), F.greatest(F.col("x") - 60, F.lit(0)).alias("l"), F.greatest(F.col("z") - 40, F.lit(0)).alias("y"))
+    b = body.unionByName(shown).withColumn("col", F.expr("l div 450"))
+    order = ["y", "l", "event_id"]
+    near = F.coalesce(F.col("y") - F.lag("y").over(Window.partitionBy("page", "col").orderBy(*order)) < 8, F.lit(False))
+    r = islands(b.withColumn("near", near), ["page", "col"], order, ~F.col("near"), "row")
+    parts = F.array_sort(F.collect_list(F.struct("col", "row", "l", "event_id", "t")))
+    return r.groupBy("page").agg(F.count("*").alias("parts"), F.count_distinct("col", "row").alias("n_lines"), F.md5(F.array_join(F.transform(parts, lambda x: x["t"]), " ").cast("binary")).alias("digest"))

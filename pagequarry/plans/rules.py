@@ -1,4 +1,4 @@
-"""Scalar rules and text structure."""
+"""Scalar rules and text structure."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import geometry as g
 from pagequarry.functions.text import file_size, heading_key
+from pagequarry.operators.paragraphs import BULLET, MAYBE_BULLET, NUMBER, list_kind
 from pagequarry.plans.registry import query
 from pagequarry.sources.views import LINES_SQL, lines, table
 
@@ -65,12 +66,11 @@ def json_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", keys.isNotNull().alias("valid"), keys[0].alias("first_key"))
 
 
-@query(f"WITH {LINES_SQL}, k AS (SELECT doc_id, line, CASE WHEN regexp_matches(text, '^[•◦‣▪●○·⁃∙]\\s+') THEN 'bullet' WHEN regexp_matches(text, '^[-–—*o]\\s+') THEN 'maybe' WHEN regexp_matches(text, '^\\(?(\\d{{1,3}}|[a-zA-Z]|[ivxlcdmIVXLCDM]{{1,6}})[.)]\\s+') THEN 'number' ELSE 'text' END AS kind FROM lines), n AS (SELECT *, lag(kind) OVER w AS p, lead(kind) OVER w AS q FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY line)) SELECT doc_id, line, kind, coalesce(kind = p OR kind = q, kind = p, kind = q, false) AS corroborated FROM n WHERE kind <> 'text'")
+@query(f"WITH {LINES_SQL}, k AS (SELECT doc_id, line, CASE WHEN regexp_matches(text, '{BULLET}') THEN 'bullet' WHEN regexp_matches(text, '{MAYBE_BULLET}') THEN 'maybe' WHEN regexp_matches(text, '{NUMBER}') THEN 'number' ELSE 'text' END AS kind FROM lines), n AS (SELECT *, lag(kind) OVER w AS p, lead(kind) OVER w AS q FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY line)) SELECT doc_id, line, kind, coalesce(kind = p OR kind = q, kind = p, kind = q, false) AS corroborated FROM n WHERE kind <> 'text'")
 def list_corroborated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with a list marker, and whether a neighbour has the same kind."""
-    kind = F.when(F.col("text").rlike(r"^[•◦‣▪●○·⁃∙]\s+"), "bullet").when(F.col("text").rlike(r"^[-–—*o]\s+"), "maybe").when(F.col("text").rlike(r"^\(?(\d{1,3}|[a-zA-Z]|[ivxlcdmIVXLCDM]{1,6})[.)]\s+"), "number").otherwise("text")
     over = Window.partitionBy("doc_id").orderBy("line")
-    k = lines(table(spark, sf_dir, "documents")).select("doc_id", "line", kind.alias("kind"))
+    k = lines(table(spark, sf_dir, "documents")).select("doc_id", "line", list_kind(F.col("text")).alias("kind"))
     n = k.select("*", F.lag("kind").over(over).alias("p"), F.lead("kind").over(over).alias("q"))
     same = F.coalesce((F.col("kind") == F.col("p")) | (F.col("kind") == F.col("q")), F.col("kind") == F.col("p"), F.col("kind") == F.col("q"), F.lit(False))
     return n.where("kind <> 'text'").select("doc_id", "line", "kind", same.alias("corroborated"))
@@ -110,14 +110,6 @@ def stamp_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "stamp", part(3, 4).alias("y"), part(7, 2).alias("m"), part(9, 2).alias("d"), (part(11, 2) * 3600 + part(13, 2) * 60 + part(15, 2)).alias("s"))
 
 
-@query("WITH p AS (SELECT unnest(string_split('1-3, 5, 9-7, 2, 12', ',')) AS part), r AS (SELECT CAST(trim(string_split(part, '-')[1]) AS BIGINT) AS a, CAST(trim(string_split(part, '-')[-1]) AS BIGINT) AS b FROM p) SELECT DISTINCT page - 1 AS page FROM (SELECT unnest(range(least(a, b), greatest(a, b) + 1)) AS page FROM r) WHERE page BETWEEN 1 AND 12")
-def page_range_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``1-3, 5`` as pages from 0, each once."""
-    text = spark.range(1).select(F.explode(F.split(F.lit("1-3, 5, 9-7, 2, 12"), ",")).alias("part"))
-    ends = text.select(F.split("part", "-").alias("e")).select(F.trim(F.element_at("e", 1)).cast("long").alias("a"), F.trim(F.element_at("e", -1)).cast("long").alias("b"))
-    return ends.select(F.explode(F.sequence(F.least("a", "b"), F.greatest("a", "b"))).alias("page")).where("page between 1 and 12").select((F.col("page") - 1).alias("page")).distinct()
-
-
 @query("SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice / 7 * 20) AS BIGINT) AS twips, round(l_quantity * 2) / 2 AS size_key, CAST(least(greatest(round_even(l_quantity / 3 * 2, 0), 2), 3276) AS BIGINT) AS half_points FROM lineitem")
 def rounding_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twips (half away from zero), size keys and half-points (half to even)."""

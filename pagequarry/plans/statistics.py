@@ -1,4 +1,4 @@
-"""Exact statistics and document profiles."""
+"""Exact statistics of documents and tables."""
 
 from __future__ import annotations
 
@@ -58,16 +58,6 @@ def running_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_doc.groupBy("key").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_lines"), F.min("doc_id").alias("first_doc")).where("n_docs >= 3")
 
 
-@query(f"WITH {LINES_SQL}, e AS (SELECT doc_id, page, {_KEY_SQL} AS key, line FROM lines WHERE line % 40 IN (0, 39) AND length(trim(text)) > 0), n AS (SELECT doc_id, max(page) + 1 AS pages FROM lines GROUP BY doc_id), k AS (SELECT doc_id, key, count(DISTINCT page) AS on_pages FROM e GROUP BY doc_id, key) SELECT k.doc_id, key, on_pages, pages FROM k JOIN n ON k.doc_id = n.doc_id WHERE pages >= 4 AND on_pages >= greatest(3, ceil(0.75 * pages))")
-def page_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First or last lines that three quarters of a document's pages share, three at least."""
-    every = lines(table(spark, sf_dir, "documents"))
-    n = every.groupBy("doc_id").agg((F.max("page") + 1).alias("pages")).where("pages >= 4")
-    e = every.where("line % 40 in (0, 39) and char_length(trim(text)) > 0").select("doc_id", "page", running_head_key(F.col("text")).alias("key")).distinct()
-    k = e.groupBy("doc_id", "key").agg(F.count("*").alias("on_pages"))
-    return k.join(n, "doc_id").where("on_pages >= greatest(3, ceil(0.75D * pages))").select("doc_id", "key", "on_pages", "pages")
-
-
 @query("WITH p AS (SELECT DISTINCT user_id, event_id % 60 AS page FROM events), g AS (SELECT *, page - row_number() OVER (PARTITION BY user_id ORDER BY page) AS k FROM p), r AS (SELECT user_id, k, min(page) + 1 AS a, max(page) + 1 AS b FROM g GROUP BY user_id, k), t AS (SELECT user_id, a, CASE WHEN b > a + 1 THEN a || '–' || b WHEN b = a + 1 THEN a || ', ' || b ELSE '' || a END AS part, row_number() OVER (PARTITION BY user_id ORDER BY a) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM r) SELECT user_id, string_agg(part, ', ' ORDER BY a) FILTER (WHERE i <= 6) || CASE WHEN max(n) > 6 THEN ' and ' || (max(n) - 6) || ' more' ELSE '' END AS pages FROM t GROUP BY user_id")
 def page_ranges_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as text: ``1, 3, 7–9``; beyond six parts, how many more."""

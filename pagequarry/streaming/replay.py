@@ -1,4 +1,4 @@
-"""Streams of edits and searches (R2, R4-R7, R9), and the same over finished tables."""
+"""Streams of edits and searches (R2, R4-R9), and the same over finished tables."""
 
 from __future__ import annotations
 
@@ -138,3 +138,8 @@ def upsert_recents(batch: DataFrame, kept: DataFrame | None, most: int = 30) ->
     every = batch if kept is None else kept.unionByName(batch)
     newest = every.groupBy(F.lower("path").alias("key")).agg(F.max("ts").alias("ts"), F.max_by("path", "ts").alias("path"))
     return newest.orderBy(F.desc("ts"), "key").limit(most).select("path", "ts")
+
+
+def forwarded(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that other instances ask to open, as a stream of JSON lines put into ``folder``; broken ones are passed over."""
+    return spark.readStream.schema("path string, ts timestamp").option("mode", "DROPMALFORMED").json(folder).where("path is not null")

@@ -7,7 +7,7 @@ from pagequarry.functions.stats import lower_median, nearest_rank, ranked_groups
 from pagequarry.functions.text import folded, roman_value, visible_chars
 from pagequarry.operators.shapes import as_of, visual_lines
 from pagequarry.plans.search import hits
-from pagequarry.streaming.replay import debounced, undo_step, upsert_recents
+from pagequarry.streaming.replay import debounced, forwarded, undo_step, upsert_recents
 
 
 def one(df):
@@ -86,3 +86,18 @@ def test_recents_upsert(spark):
     a = spark.createDataFrame([("A", 1), ("b", 2)], "path string, ts int")
     b = spark.createDataFrame([("a", 3)], "path string, ts int")
     assert [tuple(r) for r in upsert_recents(b, a).collect()] == [("a", 3), ("b", 2)]
+
+
+def test_forwarded_files_upsert_recents(spark, tmp_path):
+    """Files asked for while a stream runs come into the recents, once each, the newest first; broken lines are passed over."""
+    source, kept = tmp_path / "asked", []
+    source.mkdir()
+
+    def keep(batch, _):
+        before = spark.createDataFrame(kept, "path string, ts timestamp") if kept else None
+        kept[:] = upsert_recents(batch, before).collect()
+
+    for day, line in ((1, '{"path": "A.pdf", "ts": "2024-01-01T00:00:00"}\n{"path": "b.pdf", "ts": "2024-01-02T00:00:00"}\n'), (2, '{"path": "a.PDF", "ts": "2024-01-03T00:00:00"}\n{broken\n')):
+        (source / f"{day}.json").write_text(line)
+        forwarded(spark, str(source)).writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination(60)
+    assert [r.path for r in kept] == ["a.PDF", "b.pdf"]
