@@ -7,6 +7,7 @@ import gc
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +51,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Where the tables of ``written`` are, for as long as somebody holds them.
+_WRITTEN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here.
 
@@ -57,7 +62,17 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    again = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[again] = path
+    return again
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete what ``written`` made, once no plan that is still to run reads it."""
+    for one in tables:
+        path = _WRITTEN.pop(one, None)
+        if path:
+            drop_path(one.sparkSession, path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

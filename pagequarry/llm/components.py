@@ -2,7 +2,8 @@
 
 Each round hangs every node's larger neighbours on its least neighbour and then flattens what is
 left; the number of rounds grows with the logarithm of the longest chain. Every round's edges are
-written to the shared folder, so a lost executor costs one round at most.
+written to the shared folder, so a lost executor costs one round at most; those of the round
+before go.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import written
+from pagequarry.llm.common import dropped, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -41,7 +42,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.where("u <> v").select("u", "v").distinct(), "links")
     before = _state(edges)
     while before[0]:
-        edges = written(_small_star(_large_star(edges)), "stars")
+        old, edges = edges, written(_small_star(_large_star(edges)), "stars")
+        dropped(old)
         now = _state(edges)
         if now == before:
             break

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import forget_caches, mix64, release_shuffles, utf8_parts, written
+from pagequarry.llm.common import dropped, forget_caches, mix64, release_shuffles, utf8_parts, written
 from pagequarry.llm.components import components
 from pagequarry.llm.words import shingle_sets
 
@@ -361,6 +361,11 @@ def linked(docs: DataFrame, measure: Measure = Measure(), frequent: int = FREQUE
 
 def join(docs: DataFrame, measure: Measure = Measure(), frequent: int = FREQUENT, map_bits: int | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id``: a row a row of ``docs``."""
+    return _joined(docs, measure, frequent, map_bits)[1]
+
+
+def _joined(docs: DataFrame, measure: Measure, frequent: int = FREQUENT, map_bits: int | None = None) -> tuple[Index, DataFrame]:
+    """The index, which the result is still made from, and the result."""
     spark = docs.sparkSession
     at = index(docs, measure, frequent, map_bits)
     docs, lists = at.docs, at.lists
@@ -384,11 +389,14 @@ def join(docs: DataFrame, measure: Measure = Measure(), frequent: int = FREQUENT
     more = _candidates(_list_pairs(rest, measure, "x.component <> y.component"), measure)
     known = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     more = written(more.join(known, ["u", "v"], "left_anti"), "jaccard-more-pairs")
+    dropped(rest, first)
     release_shuffles(spark)
     if not more.isEmpty():
-        links = links.unionByName(written(_verified(docs, more, measure), "jaccard-more-links"))
-        found = components(links)
-    return at.by_document(found)
+        others = written(_verified(docs, more, measure), "jaccard-more-links")
+        found = components(links.unionByName(others))
+        dropped(others)
+    dropped(more, links)
+    return at, at.by_document(found)
 
 
 def one_of_each(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
@@ -397,7 +405,10 @@ def one_of_each(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     Of several rows with that id one stays (by a hash of the text); rows with a null ``doc_id``
     are kept.
     """
-    found = written(join(docs, measure), "jaccard-components")
+    at, found = _joined(docs, measure)
+    found = written(found, "jaccard-components")
+    dropped(at.every, at.sets)
+    release_shuffles(docs.sparkSession)
     name, many, rank = (f"{x}_{uuid.uuid4().hex}" for x in ("kept", "rows", "rank"))  # names that no column has
     columns = [f"`{c}`" for c in docs.columns]
     first = found.where("component_id = doc_id").groupBy(F.col("component_id").alias(name)).agg(F.count("*").alias(many))

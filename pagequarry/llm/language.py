@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import CACHES, forget_caches, held_out, text_groups, written
+from pagequarry.llm.common import CACHES, dropped, forget_caches, held_out, text_groups, written
 
 MAX_DOCS, ROUNDS, SMOOTHING = 2_000, 2, 0.1
 CACHED_WORDS = 400_000
@@ -278,6 +278,7 @@ def fit(docs: DataFrame, path: str | None = None, max_docs: int = MAX_DOCS, roun
         got = sums.toPandas()  # a row a piece and language at most
         expected[got["piece"].to_numpy(np.int64), got["k"].to_numpy(np.int64)] = got["n"].to_numpy()
         table = probabilities(expected)
+    dropped(words)
     return LanguageModel(path, languages, table)
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import held_out, utf8_parts, written
+from pagequarry.llm.common import dropped, held_out, utf8_parts, written
 from pagequarry.llm.words import LOWER, word_hashes, word_spans
 
 FEATURES, RIDGE, BINS, MAX_ROWS, THRESHOLD = 256, 1.0, 2048, 200_000, 0.7
@@ -148,13 +148,14 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: flo
     """Learn from rows of ``labels`` (``doc_id``, ``quality``) that are not held out."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id", "y").agg(F.count("*").cast("double").alias("w"))
-    known = written(known, "quality-labels")
+    labelled = known = written(known, "quality-labels")
     n = known.count()
     if n > max_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
     # About ``max_rows`` ids and labels, 24 bytes each: their texts are found before any statistics are made.
     picked = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
     rows = written(_statistics_rows(picked), "quality-rows")
+    dropped(labelled)
     p = STATISTICS
     total = _summed(rows, lambda x, y, w: np.concatenate([[w.sum(), (w * y).sum()], w @ x, w @ x**2]), (2 + 2 * p,))
     n, good = total[:2]
@@ -182,6 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = FEATURES, ridge: flo
         return np.stack([np.bincount(at, w * v, minlength=BINS) for v in (1.0, y, raw)])
 
     count, hits, place = _summed(rows, histogram, (3, BINS))
+    dropped(rows)
     has = count > 0
     model.knots = np.maximum.accumulate(place[has] / count[has])
     model.values = isotonic(hits[has] / count[has], count[has])

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import forget_caches, mix64, utf8_parts, written
+from pagequarry.llm.common import forget_caches, mix64, release_shuffles, utf8_parts, written
 from pagequarry.llm.words import LOWER, _powers, word_hashes, word_spans
 
 RUN_WORDS, NEAR = 20, 20
@@ -197,9 +197,11 @@ def _repeated_map(first: DataFrame) -> np.ndarray:
 
 def repeats(docs: DataFrame, run_words: int = RUN_WORDS, unit: str = "window", least_words: int = 1) -> DataFrame:
     """``doc_id, th, place, size, kept``: units that repeat an earlier one; ``kept`` is its document."""
+    release_shuffles(docs.sparkSession)  # of what made ``docs``
     every = _digests(docs, unit, run_words, least_words)
     first = every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
     first = written(first, "repeated-units")
+    release_shuffles(docs.sparkSession)
     # A second pass over the texts costs less than keeping all digests: only those that repeat move again.
     again = _digests(docs, unit, run_words, least_words, docs.sparkSession.sparkContext.broadcast(_repeated_map(first)))
     later = "struct(doc_id, th, place) > first and not (doc_id = first.doc_id and th = first.th and place < first.place + size)"

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.llm import word_tokens
-from pagequarry.llm.common import scratch_path, written
+from pagequarry.llm.common import dropped, scratch_path, written
 
 BLOCK_IDS = 1 << 20
 MAGIC = b"PQSV"
@@ -205,6 +205,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 1, targ
     (coded.repartitionById(n, F.col("part")).sortWithinPartitions("doc_id", "tie").mapInArrow(blocks, BLOCKS)
         .write.option("compression", "uncompressed").parquet(files.blocks))
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(order)], "rank int, id int").coalesce(1).write.parquet(files.vocabulary)
+    dropped(ids)
     return files
 
 
