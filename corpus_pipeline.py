@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.llm import jaccard, language, packing, quality, substring_dedup
-from pagequarry.llm.common import table, written
+from pagequarry.llm.common import dropped, table, written
 
 #: Documents whose language is less sure are rejected, as are those without letters.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -72,5 +72,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"stage-{name}")
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
