@@ -41,6 +41,7 @@ K, SCALE, PIVOTS, LEAF, FANOUT = 20, 64, 1024, 512, 8
 LEAST_LEAF, NARROWER = 8, 0.65
 #: Vectors a block holds: at most, and at least where there are few (so that tasks stay busy).
 DATA_BLOCK, QUERY_BLOCK, LEAST_BLOCK = 16_384, 4_096, 1_024
+LANE = 256  # data blocks that a task reads one after another, at most about
 CHUNK = 1_024  # data vectors that a query leaf meets before its worst scores are looked at again
 BLOCK = "node long, part long, n long, radius double, most double, payload binary"
 FOUND = "node long, part long, row int, query_id long, vec_id long, score long"
@@ -315,7 +316,8 @@ def _of_one_length(clean: DataFrame, queries, n: int, k: int, pivots_most: int)
     pairs = levels.select("node", "part", "low").mapInArrow(reach, "node long, part long, turn int, d_node long")
     pairs = pairs.join(data.select(F.col("node").alias("d_node"), F.col("part").alias("d_part")), "d_node")
     pairs = pairs.join(F.broadcast(begin), "node").where("d_node <> begin or d_part <> 0").drop("begin")
-    lanes = max(1, int(min(data.count(), 4 * spark.sparkContext.defaultParallelism)))
+    blocks, busy = int(found["parts"].sum()), 2 * spark.sparkContext.defaultParallelism // int(ours["parts"].sum())
+    lanes = max(1, -(-blocks // LANE), min(blocks, busy))
     pairs = written(pairs.withColumn("lane", F.pmod(F.xxhash64("d_node", "d_part"), F.lit(lanes)).cast("int")), "topk-pairs")
     return own.unionByName(searched(pairs, levels.select("node", "part", "known")))
 
