@@ -285,9 +285,12 @@ def _list_pairs(rows: DataFrame, measure: Measure, apart: str) -> DataFrame:
     width = math.log(measure.den / measure.num) * 1.0001
     rows = rows.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
     parts = rows.groupBy("entry", "size").agg(F.ceil(F.count("*") / LIST).cast("int").alias("parts")).where("parts > 1")
-    x = rows.join(parts, ["entry", "size"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     y = rows.withColumn("own", F.col("size")).withColumn("size", F.explode(F.array(F.col("size"), F.col("size") - 1)))
-    y = y.join(parts, ["entry", "size"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    if parts.isEmpty():  # no long list: nothing to deal
+        x, y = (side.withColumn("part", F.lit(0)) for side in (rows, y))
+    else:
+        x = rows.join(parts, ["entry", "size"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        y = y.join(parts, ["entry", "size"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     once = "(x.id < y.id or y.own <> y.size)"  # pairs across buckets meet in one order only
     size = f"least(x.n, y.n) * {measure.den} >= greatest(x.n, y.n) * {measure.num}"
     frequent = f"((x.entry & 1) = 0 or least(x.n - x.r, y.n - y.r) * {measure.num + measure.den} >= (x.n + y.n) * {measure.num})"
@@ -332,6 +335,7 @@ def index(docs: DataFrame, measure: Measure, frequent: int = FREQUENT, map_bits:
     maps = spark.sparkContext.broadcast(token_maps(docs, measure, frequent, map_bits or _bits_for(docs)))
     release_shuffles(spark)
     every = written(_entries(docs, measure, maps), "jaccard-documents")
+    maps.destroy()
     sets = every.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("r").alias("r"), F.first("entries").alias("entries"))
     return Index(docs, every, written(sets, "jaccard-sets"))
 

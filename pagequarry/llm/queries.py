@@ -10,8 +10,8 @@ from pagequarry.llm.common import held_out, table
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components and numbers of links of documents, a Jaccard of 0.9 or more on three-word shingles."""
-    return jaccard.linked(table(spark, sf_dir, "documents"), jaccard.Measure(words=3, num=90, den=100))
+    """Components of documents with a Jaccard of 0.9 or more on three-word shingles."""
+    return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Measure(words=3, num=90, den=100))
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.
 l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 90 * (a.n + b.n - k)),
 e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
 r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)
-SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce((SELECT min(v) FROM r WHERE r.u = w.doc_id), w.doc_id)) AS component_id, (SELECT count(*) FROM e WHERE e.u = w.doc_id) AS n_links
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce((SELECT min(v) FROM r WHERE r.u = w.doc_id), w.doc_id)) AS component_id
 FROM w LEFT JOIN n USING (doc_id)"""
 
 #: What DuckDB can say over the same tables; models, tokenizers and hashes of Spark's own it cannot.
