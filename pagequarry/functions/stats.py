@@ -12,17 +12,17 @@ def _sorted(v: Column) -> Column:
 
 def upper_median(v: Column) -> Column:
     """Element n div 2 of the ascending values, from 0."""
-    return F.element_at(_sorted(v), F.floor(F.count(v) / 2).cast("int") + 1)
+    return F.get(_sorted(v), F.floor(F.count(v) / 2).cast("int"))
 
 
 def lower_median(v: Column) -> Column:
     """Element (n - 1) div 2 of the ascending values, from 0."""
-    return F.element_at(_sorted(v), F.floor((F.count(v) - 1) / 2).cast("int") + 1)
+    return F.get(_sorted(v), F.floor((F.count(v) - 1) / 2).cast("int"))
 
 
 def nearest_rank(v: Column, share: float) -> Column:
     """Element (n - 1) * share, rounded half to even."""
-    return F.element_at(_sorted(v), F.bround((F.count(v) - 1) * share).cast("int") + 1)
+    return F.get(_sorted(v), F.bround((F.count(v) - 1) * share).cast("int"))
 
 
 def ranked_groups(df, keys: list[str], value: str, picks: dict[str, Column]):

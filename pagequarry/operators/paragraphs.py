@@ -27,7 +27,7 @@ def median_gap(lines: Column) -> Column:
         return F.when((b["t"] > a["b"]) & shared, b["t"] - a["b"])
 
     gaps = F.when(n > 1, F.array_sort(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), gap), lambda g: g.isNotNull())))
-    return F.coalesce(F.try_element_at(gaps, F.floor((F.size(gaps) - 1) / 2).cast("int") + 1), F.lit(0))
+    return F.coalesce(F.get(gaps, F.floor((F.size(gaps) - 1) / 2).cast("int")), F.lit(0))
 
 
 def starts(lines: Column, gap: Column, width: int, char: int) -> Column:
