@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import byte_bpe, fingerprints, html_text, jaccard, language, packing, quality, substring_dedup, token_output, topk
+from pagequarry.llm import byte_bpe, fingerprints, html_text, jaccard, language, packing, periodic_runs, quality, substring_dedup, token_output, topk
 from pagequarry.llm.common import held_out, table
 
 
@@ -64,7 +64,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_token_output, op3_topk_search, op4_language_id, op5_byte_bpe, op6_substring_dedup, op7_quality, op8_html_extraction, op9_fingerprints, op10_packing)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, some of them with a planted one, and the texts without the repeats."""
+    return periodic_runs.digests(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_token_output, op3_topk_search, op4_language_id, op5_byte_bpe, op6_substring_dedup, op7_quality, op8_html_extraction, op9_fingerprints, op10_packing, op11_periodic_runs)}
 
 _TOP_K = """
 WITH v AS (
