@@ -25,10 +25,10 @@ def nearest_rank(v: Column, share: float) -> Column:
     return F.get(_sorted(v), F.bround((F.count(v) - 1) * share).cast("int"))
 
 
-def ranked_groups(df, keys: list[str], value: str, picks: dict[str, Column]):
+def ranked_groups(df, keys: list[str], value: str, picks: dict[str, Column], count: str | None = None):
     """One value a group and pick, by rank instead of a list of a group's values.
 
-    ``picks`` maps a name to a rank (from 0) as an expression of ``n``, the group's size. Values
+    ``picks`` maps a name to a rank (from 0) as an expression of ``n``, the group's size, which ``count`` may name as well. Values
     are counted first, so a group of any size costs one row a distinct value, and only running
     counts over distinct values are kept in order.
     """
@@ -38,4 +38,4 @@ def ranked_groups(df, keys: list[str], value: str, picks: dict[str, Column]):
     over = Window.partitionBy(*keys)
     ranked = counts.withColumn("_end", F.sum("_c").over(over.orderBy(value))).withColumn("n", F.sum("_c").over(over))
     hit = [F.max(F.when((F.col("_end") > rank) & (F.col("_end") - F.col("_c") <= rank), F.col(value))).alias(name) for name, rank in picks.items()]
-    return ranked.groupBy(*keys).agg(*hit)
+    return ranked.groupBy(*keys).agg(*hit, *([F.max("n").alias(count)] if count else []))

@@ -1,4 +1,4 @@
-"""Plan shapes that several queries share: islands, as-of lookups, visual lines."""
+"""Plan shapes that several queries share: islands, as-of lookups."""
 
 from __future__ import annotations
 
@@ -12,29 +12,6 @@ def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, na
     return df.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(over.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def visual_lines(boxes: Column) -> Column:
-    """Lines of glyphs in text order: an array of ``start, n, l, t, r, b`` out of one of ``l, t, r, b`` (null: no box).
-
-    A glyph starts a new line unless it overlaps the last placed glyph by three tenths of the
-    lesser height, or stands close above or below it with half of the lesser width shared. The
-    fold runs in the JVM over one array, so glyphs never become rows.
-    """
-    box, line = "struct<l:bigint,t:bigint,r:bigint,b:bigint>", "struct<start:bigint,n:bigint,l:bigint,t:bigint,r:bigint,b:bigint>"
-    begin = F.struct(F.expr(f"cast(array() as array<{line}>)").alias("done"), F.lit(None).cast(line).alias("now"), F.lit(None).cast(box).alias("last"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc, x):
-        p, now = acc["last"], acc["now"]
-        beside = 10 * (F.least(p["b"], x["b"]) - F.greatest(p["t"], x["t"])) >= 3 * F.least(p["b"] - p["t"], x["b"] - x["t"])
-        stacked = (2 * (F.least(p["r"], x["r"]) - F.greatest(p["l"], x["l"])) >= F.least(p["r"] - p["l"], x["r"] - x["l"])) & (F.greatest(x["t"] - p["b"], p["t"] - x["b"]) < F.greatest(p["b"] - p["t"], x["b"] - x["t"]))
-        fresh = now.isNull() | (x.isNotNull() & p.isNotNull() & ~beside & ~stacked)
-        one = F.struct(acc["at"].alias("start"), F.lit(1).cast("long").alias("n"), *[x[c].alias(c) for c in "ltrb"])
-        more = F.struct(now["start"].alias("start"), (now["n"] + 1).alias("n"), *[f(now[c], x[c]).alias(c) for c, f in (("l", F.least), ("t", F.least), ("r", F.greatest), ("b", F.greatest))])
-        done = F.when(fresh & now.isNotNull(), F.concat(acc["done"], F.array(now))).otherwise(acc["done"])
-        return F.struct(done.alias("done"), F.when(fresh, one).otherwise(more).alias("now"), F.coalesce(x, p).alias("last"), (acc["at"] + 1).alias("at"))
-
-    return F.aggregate(boxes, begin, step, lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))))
-
-
 def as_of(points: DataFrame, marks: DataFrame, keys: list[str], at: str, order: list[str], values: list[str]) -> DataFrame:
     """For each point the last mark at or before it (``at`` on both sides), null if none.
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagequarry.operators.spatial import near_groups
+
 #: Rules a grid needs, boundaries each way, share of an edge that a rule must cover, grids a page.
 LEAST_RULES, LEAST_BOUNDARIES, COVERED, MOST_GRIDS = 4, 3, 0.6, 12
 #: Rows, columns and characters of tables without rules, pitch limit, tables a column.
@@ -28,43 +31,27 @@ def boundaries(positions: Column, snap: float) -> Column:
     return F.aggregate(ascending, start, step, lambda acc: F.when(acc["n"] == 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["sum"] / acc["n"]))))
 
 
-def near_groups(boxes: list[tuple[float, float, float, float]], reach: float) -> list[list[int]]:
-    """Indices of boxes in groups: a box goes to the groups whose bounds it comes within ``reach`` of, and joins them.
-
-    Boxes are taken in the order given and groups are not compared again once they have grown.
-    """
-    bounds: list[tuple[float, float, float, float]] = []
-    members: list[list[int]] = []
-    for i, (left, top, right, bottom) in enumerate(boxes):
-        near = [k for k, (a, b, c, d) in enumerate(bounds) if a < right + reach and left - reach < c and b < bottom + reach and top - reach < d]
-        if not near:
-            bounds.append((left, top, right, bottom))
-            members.append([i])
-            continue
-        parts = [bounds[k] for k in near] + [(left, top, right, bottom)]
-        home = near[0]
-        bounds[home] = (min(p[0] for p in parts), min(p[1] for p in parts), max(p[2] for p in parts), max(p[3] for p in parts))
-        members[home] = members[home] + [i] + [m for k in near[1:] for m in members[k]]
-        for k in reversed(near[1:]):
-            del bounds[k], members[k]
-    return members
-
-
 def rule_groups(pages: DataFrame, keys: list[str], reach: float) -> DataFrame:
     """Rules with the number of their group. ``pages`` has ``keys`` and ``rules``, one page's rules in order."""
-    import pandas as pd
-
     fields = ", ".join(f"{k} {pages.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(parts):
-        for pdf in parts:
-            out = []
-            for *key, rules in pdf[[*keys, "rules"]].itertuples(index=False):
-                for number, members in enumerate(near_groups([(x["l"], x["t"], x["r"], x["b"]) for x in rules], reach)):
-                    out += [(*key, number, bool(rules[m]["across"]), rules[m]["l"], rules[m]["t"], rules[m]["r"], rules[m]["b"]) for m in members]
-            yield pd.DataFrame(out, columns=[*keys, "grid", "across", "l", "t", "r", "b"])
-
-    return pages.select(*keys, "rules").mapInPandas(run, f"{fields}, grid int, across boolean, l double, t double, r double, b double")
+    sides = ["across", "l", "t", "r", "b"]
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(len(keys))
+            bounds, flat = lists.offsets.to_numpy().tolist(), lists.values
+            values = {c: flat.field(flat.type.get_field_index(c)) for c in sides}
+            boxes = list(zip(*(values[c].to_pylist() for c in sides[1:]), strict=True))
+            page, at, grid = [], [], []
+            for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                for number, (_, members) in enumerate(near_groups(boxes[a:b], reach)):
+                    page += [i] * len(members)
+                    at += [a + m for m in members]
+                    grid += [number] * len(members)
+            page, at = pa.array(page, pa.int64()), pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(page) for i in range(len(keys))), pa.array(grid, pa.int32()), *(values[c].take(at) for c in sides)], [*keys, "grid", *sides])
+
+    return pages.select(*keys, "rules").mapInArrow(run, f"{fields}, grid int, across boolean, l double, t double, r double, b double")
 
 
 def ruled_grids(pages: DataFrame, keys: list[str], glyph: float, snap_least: float) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagequarry.operators.shapes import as_of, islands, visual_lines
+from pagequarry.operators.glyphs import placed_lines
+from pagequarry.operators.shapes import as_of, islands
 from pagequarry.plans.registry import query
-from pagequarry.sources.views import GLYPHS_SQL, LINES_SQL, PITCH, ROW, WIDE, line_boxes, lines, table
+from pagequarry.sources.views import GLYPHS_SQL, LINES_SQL, PITCH, ROW, WIDE, lines, table
 
 _RECT = "CAST(floor(value * 10) AS BIGINT) % 600 AS l, event_id % 5 * 16 AS t, CAST(floor(value * 10) AS BIGINT) % 600 + 10 * (5 + event_id % 40) AS r, event_id % 5 * 16 + 12 AS b"
 _MARKS_SQL = f"marks AS (SELECT event_id, user_id AS doc_id, event_id % 3 AS line, event_type AS kind, {_RECT} FROM events WHERE value IS NOT NULL)"
@@ -30,12 +31,6 @@ _VISUAL_SQL = (
 )
 
 
-def placed_lines(lines_: DataFrame) -> DataFrame:
-    """Visual lines of lines of text; no shuffle."""
-    found = line_boxes(lines_).select("doc_id", "page", "line", F.posexplode(visual_lines(F.col("boxes"))).alias("visual_line", "x"))
-    return found.select("doc_id", "page", "line", F.col("visual_line").cast("long").alias("visual_line"), "x.*")
-
-
 @query(f"WITH {_VISUAL_SQL} SELECT doc_id, page, line, visual_line, start, n, l, t, r, b FROM visual")
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visual lines of all glyphs, with bounds."""

@@ -234,7 +234,16 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PAGES_SQL}, a AS (SELECT event_id, user_id AS doc_id, event_id * 13 % 4000 AS y FROM events), c AS (SELECT a.event_id, a.doc_id, y, page, greatest(top - y, y - top - height, 0) AS away FROM a JOIN placed USING (doc_id)) SELECT event_id, doc_id, y, arg_min(page, away * 100000 + page) AS nearest, min(away) AS away, bool_or(away = 0) AS hit FROM c GROUP BY ALL")
 def nearest_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The page at a height of a document laid out, or the nearest one; the upper one wins ties."""
+    """The page at a height of a document laid out, or the nearest one; the upper one wins ties.
+
+    Pages follow one another: only the last one that starts at or above the height and the next one can be nearest.
+    """
     a = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("doc_id"), (F.col("event_id") * 13 % 4000).alias("y"))
-    c = a.join(placed_pages(table(spark, sf_dir, "documents")), "doc_id").withColumn("away", F.greatest(F.col("top") - F.col("y"), F.col("y") - F.col("top") - F.col("height"), F.lit(0)))
-    return c.groupBy("event_id", "doc_id", "y").agg(F.min(F.struct("away", "page")).alias("x")).select("event_id", "doc_id", "y", F.col("x.page").alias("nearest"), F.col("x.away").alias("away"), (F.col("x.away") == 0).alias("hit"))
+    over = Window.partitionBy("doc_id").orderBy("page")
+    pages = placed_pages(table(spark, sf_dir, "documents")).select("doc_id", "page", "top", "height").withColumn("next_page", F.lead("page").over(over)).withColumn("next_top", F.lead("top").over(over))
+    none = pages.where("page = 0").select("doc_id", F.lit(None).cast("long").alias("page"), F.lit(-(1 << 40)).alias("top"), F.lit(None).cast(pages.schema["height"].dataType).alias("height"), F.col("page").alias("next_page"), F.col("top").alias("next_top"))
+    marks = pages.unionByName(none).withColumnRenamed("top", "y").withColumn("at_top", F.col("y"))
+    c = as_of(a, marks, ["doc_id"], "y", ["next_page"], ["page", "at_top", "height", "next_page", "next_top"])
+    choice = lambda page, away: F.when(F.col(page).isNotNull(), F.struct(away.alias("away"), F.col(page).alias("page")))
+    best = F.least(choice("page", F.greatest(F.col("y") - F.col("at_top") - F.col("height"), F.lit(0))), choice("next_page", F.col("next_top") - F.col("y")))
+    return c.withColumn("x", best).where("x is not null").select("event_id", "doc_id", "y", F.col("x.page").alias("nearest"), F.col("x.away").alias("away"), (F.col("x.away") == 0).alias("hit"))

@@ -26,32 +26,66 @@ def collapsed(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, SOFT, ""), r"\s+", " ")
 
 
+#: Hits that are added up together; sums of sums give every hit's place.
+_BLOCK = 64
+
+
+def _before(k: Column, size: int) -> Column:
+    """The last ``size`` code points before hit ``k``, out of the ends of what lies between hits."""
+    pieces = F.transform(F.sequence(F.greatest(k - size, F.lit(0)), k), lambda j: F.concat(F.when(j > F.greatest(k - size, F.lit(0)), F.get("hits", j - 1)).otherwise(""), F.get("tails", j)))
+    return F.when(F.char_length(F.get("tails", k)) >= size, F.get("tails", k)).otherwise(F.right(F.array_join(pieces, ""), F.lit(size)))
+
+
+def _after(k: Column, size: int) -> Column:
+    """The first ``size`` code points after hit ``k``."""
+    last = F.least(k + 1 + size, F.size("gaps") - 1)
+    pieces = F.transform(F.sequence(k + 1, last), lambda j: F.concat(F.get("heads", j), F.when(j < last, F.get("hits", j)).otherwise("")))
+    return F.when(F.char_length(F.get("heads", k + 1)) >= size, F.get("heads", k + 1)).otherwise(F.left(F.array_join(pieces, ""), F.lit(size)))
+
+
 def hits(docs: DataFrame, query: str = TERM, match_case: bool = False, whole_word: bool = False) -> DataFrame:
-    """Every occurrence of ``query`` on a page: ``doc_id, page, start, length, before, hit, after``.
+    """Every occurrence of ``query`` on a page: ``doc_id, page, start, length, before, hit, after``."""
+    return page_hits(page_texts(docs), query, match_case, whole_word)
+
+
+def page_hits(pages: DataFrame, query: str, match_case: bool = False, whole_word: bool = False) -> DataFrame:
+    """``hits`` on pages that are given as ``doc_id, page, text``.
 
     Occurrences do not overlap; they may run over line breaks. A whole-word match has no letter or
     digit at either side, and one that has is skipped as a whole. The context is ``CONTEXT`` code
-    points either side on the match's own lines, with an ellipsis where it is cut. All places of a
-    page come from one fold over what lies between matches.
+    points either side on the match's own lines, with an ellipsis where it is cut. A page is cut at
+    its matches once; places are sums over the pieces and contexts come from the pieces' ends, so
+    that time follows the text's length however long its lines are and however many hits it has.
     """
-    find = F.lit(pattern(query, match_case))
-    found = page_texts(docs).where(F.col("text").rlike(pattern(query, match_case)))
-    parts = found.withColumn("hits", F.regexp_extract_all("text", find, 0)).withColumn("gaps", F.split("text", pattern(query, match_case), -1))
-    place = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,hit:string>>)").alias("done"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gaps"])
-        return F.struct((start + F.char_length(x["hits"])).alias("at"), F.concat(acc["done"], F.array(F.struct(start.alias("start"), x["hits"].alias("hit")))).alias("done"))
-
-    each = F.aggregate(F.slice(F.arrays_zip("hits", "gaps"), F.lit(1), F.size("hits")), place, step, lambda a: a["done"])
-    at = parts.select("doc_id", "page", "text", F.explode(each).alias("x")).select("doc_id", "page", "text", "x.start", F.char_length("x.hit").cast("long").alias("length"), "x.hit")
-    end = F.col("start") + F.col("length")
-    at = at.withColumn("left", F.substring(F.col("text"), F.lit(1), F.col("start").cast("int"))).withColumn("right", F.substring(F.col("text"), (end + 1).cast("int"), F.char_length("text")))
+    find, size, n = F.lit(pattern(query, match_case)), CONTEXT + 1, F.size("hits")
+    found = pages.where(F.col("text").rlike(pattern(query, match_case)))
+    parts = found.select("doc_id", "page", F.regexp_extract_all("text", find, 0).alias("hits"), F.split("text", pattern(query, match_case), -1).alias("gaps"))
+    parts = parts.withColumn("tails", F.transform("gaps", lambda g: F.right(g, F.lit(size)))).withColumn("heads", F.transform("gaps", lambda g: F.left(g, F.lit(size))))
+    parts = parts.withColumn("steps", F.transform("hits", lambda h, k: (F.char_length(F.get("gaps", k)) + F.char_length(h)).cast("long")))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")), lambda b: total(F.slice("steps", b * _BLOCK + 1, F.lit(_BLOCK))))
+    empty = F.expr("cast(array() as array<bigint>)")
+    parts = parts.withColumn("bases", F.aggregate(blocks, F.struct(empty.alias("done"), F.lit(0).cast("long").alias("at")), lambda acc, x: F.struct(F.concat(acc["done"], F.array(acc["at"])).alias("done"), (acc["at"] + x).alias("at")), lambda acc: acc["done"]))
+
+    def hit(h: Column, k: Column) -> Column:
+        block = F.floor(k / _BLOCK).cast("int")
+        start = F.get("bases", block) + total(F.slice("steps", block * _BLOCK + 1, k % _BLOCK)) + F.char_length(F.get("gaps", k))
+        return F.struct(start.alias("start"), F.char_length(h).cast("long").alias("length"), h.alias("hit"), _before(k, size).alias("left"), _after(k, size).alias("right"), *edges(k))
+
+    def edges(k: Column) -> list[Column]:
+        """The letters next to a hit, soft hyphens aside; where hits touch, the other hit's."""
+        if not whole_word:
+            return []
+        bare = lambda j: F.translate(F.get("gaps", j), SOFT, "")
+        last = F.when(bare(k) != "", F.right(bare(k), F.lit(1))).otherwise(F.right(F.coalesce(F.get("hits", k - 1), F.lit("")), F.lit(1)))
+        first = F.when(bare(k + 1) != "", F.left(bare(k + 1), F.lit(1))).otherwise(F.left(F.coalesce(F.get("hits", k + 1), F.lit("")), F.lit(1)))
+        return [last.alias("last"), first.alias("first")]
+
+    at = parts.select("doc_id", "page", F.explode(F.transform("hits", hit)).alias("x")).select("doc_id", "page", "x.*")
     if whole_word:
-        at = at.where(~F.col("left").rlike(BETWEEN + SOFT + r"*\z") & ~F.col("right").rlike("^" + SOFT + "*" + BETWEEN))
-    own_left, own_right = F.regexp_extract("left", r"[^\n]*\z", 0), F.regexp_extract("right", r"^[^\n]*", 0)
+        at = at.where(~F.col("last").rlike(BETWEEN) & ~F.col("first").rlike(BETWEEN))
+    at = at.withColumn("own_left", F.substring_index("left", "\n", -1)).withColumn("own_right", F.substring_index("right", "\n", 1))
     before, after = collapsed(F.expr(f"right(own_left, {CONTEXT})")), collapsed(F.expr(f"left(own_right, {CONTEXT})"))
-    at = at.withColumn("own_left", own_left).withColumn("own_right", own_right)
     return at.select(
         "doc_id", "page", "start", "length",
         F.when(F.char_length("own_left") > CONTEXT, F.concat(F.lit("…"), F.ltrim(before))).otherwise(before).alias("before"), collapsed(F.col("hit")).alias("hit"),
@@ -122,7 +156,7 @@ def page_visible_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_no_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents search can say nothing about, of how many."""
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.lit(docs.count()).cast("long").alias("documents"), (visible_chars(F.coalesce("text", F.lit(""))) < MIN_VISIBLE).alias("no_text"))
+    return docs.select("doc_id", docs.agg(F.count("*")).scalar().alias("documents"), (visible_chars(F.coalesce("text", F.lit(""))) < MIN_VISIBLE).alias("no_text"))
 
 
 @query(f"WITH {hits_sql(TERM)} SELECT doc_id, row_number() OVER w AS hit, count(*) OVER (PARTITION BY doc_id) AS of_hits, row_number() OVER w % count(*) OVER (PARTITION BY doc_id) + 1 AS next_hit, page, start FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY page, start)")

@@ -107,7 +107,7 @@ def line_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 25th percentile of the steps between neighbours, from three samples on."""
     gap = F.col("event_id") - F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
     e = table(spark, sf_dir, "events").select("user_id", gap.alias("gap")).where("gap > 0")
-    return e.groupBy("user_id").agg(F.count("*").alias("n"), F.expr("element_at(array_sort(collect_list(gap)), cast(bround((count(*) - 1) * 0.25D) as int) + 1)").alias("pitch")).where("n >= 3")
+    return ranked_groups(e, ["user_id"], "gap", {"pitch": F.bround((F.col("n") - 1) * 0.25)}, count="n").where("n >= 3").select("user_id", "n", "pitch")
 
 
 @query("WITH b AS (SELECT event_type, CAST(round_even(value / 10, 0) AS BIGINT) AS bucket, count(*) AS n, avg(value) AS mean FROM events WHERE value IS NOT NULL GROUP BY ALL) SELECT event_type, bucket, n, round(mean, 6) AS mean FROM b QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY n DESC, bucket) = 1")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagequarry.operators.shapes import islands
+from pagequarry.operators.spatial import kept_apart
 from pagequarry.operators.trees import depths
 from pagequarry.plans import statistics
 from pagequarry.plans.registry import SQL, query
@@ -74,13 +75,10 @@ def tag_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("doc_id", "para").agg(F.count("*").alias("parts"), F.min("event_id").alias("first"), F.min("t").alias("t"), F.max("b").alias("b"))
 
 
-_SLOTS = 32
-
-
-@query(f"""WITH RECURSIVE c AS (SELECT l_orderkey AS tbl, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, least(greatest(l_partkey % 4, 1), 64), least(greatest(l_suppkey % 4, 1), 64)) AS k, l_linenumber % 3 = 1 AS fresh, least(greatest(l_partkey % 4, 1), 64) AS cs, least(greatest(l_suppkey % 4, 1), 64) AS rs FROM lineitem),
- s AS (SELECT tbl, k, n, 0::BIGINT AS row, 0::BIGINT AS col, cs, rs, list_transform(range({_SLOTS}), lambda i: CASE WHEN i < cs THEN rs ELSE 0 END) AS until, cs AS at FROM c WHERE k = 1
-  UNION ALL SELECT c.tbl, c.k, c.n, p.row, p.col, c.cs, c.rs, list_transform(range({_SLOTS}), lambda i: CASE WHEN i >= p.col AND i < p.col + c.cs THEN p.row + c.rs ELSE p.until[i + 1] END), p.col + c.cs
-  FROM (SELECT q.*, q.at0 + list_position(list_transform(q.until[q.at0 + 1:], lambda u: u <= q.row), true) - 1 AS col FROM (SELECT s.tbl, s.k, s.until, CASE WHEN x.fresh THEN s.row + 1 ELSE s.row END AS row, CASE WHEN x.fresh THEN 0 ELSE s.at END AS at0 FROM s JOIN c x ON x.tbl = s.tbl AND x.k = s.k + 1) q) p JOIN c ON c.tbl = p.tbl AND c.k = p.k + 1)
+@query("""WITH RECURSIVE c AS (SELECT l_orderkey AS tbl, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, least(greatest(l_partkey % 4, 1), 64), least(greatest(l_suppkey % 4, 1), 64)) AS k, l_linenumber % 3 = 1 AS fresh, least(greatest(l_partkey % 4, 1), 64) AS cs, least(greatest(l_suppkey % 4, 1), 64) AS rs FROM lineitem),
+ s AS (SELECT tbl, k, n, 0::BIGINT AS row, 0::BIGINT AS col, cs, rs, list_transform(range(cs), lambda i: rs) AS until, cs AS at FROM c WHERE k = 1
+  UNION ALL SELECT c.tbl, c.k, c.n, p.row, p.col, c.cs, c.rs, list_transform(range(greatest(len(p.until), p.col + c.cs)), lambda i: CASE WHEN i >= p.col AND i < p.col + c.cs THEN p.row + c.rs ELSE coalesce(p.until[i + 1], 0) END), p.col + c.cs
+  FROM (SELECT q.*, q.at0 + coalesce(list_position(list_transform(q.until[q.at0 + 1:], lambda u: u <= q.row), true) - 1, greatest(len(q.until) - q.at0, 0)) AS col FROM (SELECT s.tbl, s.k, s.until, CASE WHEN x.fresh THEN s.row + 1 ELSE s.row END AS row, CASE WHEN x.fresh THEN 0 ELSE s.at END AS at0 FROM s JOIN c x ON x.tbl = s.tbl AND x.k = s.k + 1) q) p JOIN c ON c.tbl = p.tbl AND c.k = p.k + 1)
  SELECT tbl, n, row, col, cs AS col_span, rs AS row_span FROM s""")
 def tagged_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where cells of a tagged table stand: each in the first slot of its row that no cell above reaches into."""
@@ -93,13 +91,16 @@ def tagged_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     def place(acc: Column, x: Column) -> Column:
         fresh = x["fresh"] & (F.size(acc["done"]) > 0)
         row, at = F.when(fresh, acc["row"] + 1).otherwise(acc["row"]), F.when(fresh, 0).otherwise(acc["at"]).cast("long")
-        free = F.transform(acc["until"], lambda u, i: (u <= row) & (i >= at))
-        col = F.array_position(free, True) - 1
-        until = F.transform(acc["until"], lambda u, i: F.when((i >= col) & (i < col + x["cs"]), row + x["rs"]).otherwise(u))
+        # Beyond the slots in use all are free: there is always one, however wide the table grows.
+        used = F.size(acc["until"])
+        slots = F.concat(acc["until"], F.array_repeat(F.lit(0).cast("long"), F.greatest(at - used, F.lit(0)).cast("int") + x["cs"].cast("int")))
+        col = F.array_position(F.transform(slots, lambda u, i: (u <= row) & (i >= at)), True) - 1
+        held = F.slice(F.concat(slots, F.array_repeat(F.lit(0).cast("long"), x["cs"].cast("int"))), F.lit(1), F.greatest(used, (col + x["cs"]).cast("int")))
+        until = F.transform(held, lambda u, i: F.when((i >= col) & (i < col + x["cs"]), row + x["rs"]).otherwise(u))
         done = F.concat(acc["done"], F.array(F.struct(x["n"].alias("n"), row.alias("row"), col.alias("col"), x["cs"].alias("col_span"), x["rs"].alias("row_span"))))
         return F.struct(done.alias("done"), until.alias("until"), row.alias("row"), (col + x["cs"]).alias("at"))
 
-    begin = F.struct(F.expr("cast(array() as array<struct<n:int,row:bigint,col:bigint,col_span:bigint,row_span:bigint>>)").alias("done"), F.array_repeat(F.lit(0).cast("long"), _SLOTS).alias("until"), F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("at"))
+    begin = F.struct(F.expr("cast(array() as array<struct<n:int,row:bigint,col:bigint,col_span:bigint,row_span:bigint>>)").alias("done"), F.expr("cast(array() as array<bigint>)").alias("until"), F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("at"))
     return cells.select("tbl", F.explode(F.aggregate("cells", begin, place, lambda a: a["done"])).alias("x")).select("tbl", "x.*")
 
 
@@ -126,7 +127,7 @@ def cell_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "line", "row", "x.cell", "x.text").where("text <> ''")
 
 
-_CANDIDATES = "SELECT user_id AS page, event_id, event_id % 3 AS rank, event_id * 37 % 900 AS l, event_id * 53 % 900 AS t, event_id * 37 % 900 + 20 + event_id % 150 AS r, event_id * 53 % 900 + 20 + event_id % 90 AS b FROM events WHERE event_id < 5000000"
+_CANDIDATES = "SELECT user_id AS page, event_id, event_id % 3 AS rank, event_id * 37 % 900 AS l, event_id * 53 % 900 AS t, event_id * 37 % 900 + 20 + event_id % 150 AS r, event_id * 53 % 900 + 20 + event_id % 90 AS b FROM events"
 
 
 @query(f"""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY rank, event_id) AS k FROM ({_CANDIDATES})),
@@ -136,15 +137,8 @@ _CANDIDATES = "SELECT user_id AS page, event_id, event_id % 3 AS rank, event_id
  SELECT page, event_id, rank FROM s WHERE kept""")
 def table_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of a page: all ruled ones, then tagged and unruled ones that meet none kept before them."""
-    fields = "struct<rank:bigint,event_id:bigint,l:bigint,t:bigint,r:bigint,b:bigint>"
-    e = table(spark, sf_dir, "events").where("event_id < 5000000").selectExpr("user_id as page", "struct(event_id % 3 as rank, event_id, event_id * 37 % 900 as l, event_id * 53 % 900 as t, event_id * 37 % 900 + 20 + event_id % 150 as r, event_id * 53 % 900 + 20 + event_id % 90 as b) as x")
-
-    def take(held: Column, x: Column) -> Column:
-        meets = lambda h: (x["l"] < h["r"]) & (h["l"] < x["r"]) & (x["t"] < h["b"]) & (h["t"] < x["b"])
-        return F.when((x["rank"] == 0) | ~F.exists(held, meets), F.concat(held, F.array(x))).otherwise(held)
-
-    kept = e.groupBy("page").agg(F.array_sort(F.collect_list("x")).alias("c")).select("page", F.explode(F.aggregate("c", F.expr(f"cast(array() as array<{fields}>)"), take)).alias("x"))
-    return kept.select("page", "x.event_id", "x.rank")
+    e = table(spark, sf_dir, "events").selectExpr("user_id as page", "event_id % 3 as rank", "event_id", "event_id * 37 % 900 as l", "event_id * 53 % 900 as t", "event_id * 37 % 900 + 20 + event_id % 150 as r", "event_id * 53 % 900 + 20 + event_id % 90 as b")
+    return kept_apart(e, "page", ["rank", "event_id"], F.col("rank") == 0).select("page", "event_id", "rank")
 
 
 _WORDS = "SELECT l_orderkey AS line, l_linenumber AS word, l_linenumber * 70 + l_partkey % 60 AS l, l_linenumber * 70 + l_partkey % 60 + 10 + l_suppkey % 30 AS r FROM lineitem"

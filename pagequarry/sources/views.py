@@ -43,17 +43,6 @@ def glyphs(lines_: DataFrame) -> DataFrame:
     )
 
 
-def line_boxes(lines_: DataFrame) -> DataFrame:
-    """``doc_id, page, line, boxes``: the glyphs of ``glyphs`` as an array of boxes a line, null for a blank."""
-    seen = F.filter(F.split("text", ""), lambda c: c != "")
-
-    def box(c, i):
-        col, row = (i % ROW).cast("long"), F.floor(i / ROW)
-        return F.when(c != " ", F.struct((col * WIDE).alias("l"), (row * PITCH).alias("t"), ((col + 1) * WIDE).alias("r"), (row * PITCH + HIGH).alias("b")))
-
-    return lines_.where("text <> ''").select("doc_id", "page", "line", F.transform(seen, box).alias("boxes"))
-
-
 GLYPHS_SQL = LINES_SQL + (
     f", chars AS (SELECT doc_id, page, line, CAST(i AS BIGINT) AS idx, s[i + 1] AS ch FROM (SELECT doc_id, page, line, string_split(text, '') AS s FROM lines WHERE text <> '') d, LATERAL (SELECT unnest(range(len(s))) AS i) u)"
     f", glyphs AS (SELECT doc_id, page, line, idx, ch, CASE WHEN ch <> ' ' THEN idx % {ROW} * {WIDE} END AS l, CASE WHEN ch <> ' ' THEN idx // {ROW} * {PITCH} END AS t, CASE WHEN ch <> ' ' THEN (idx % {ROW} + 1) * {WIDE} END AS r, CASE WHEN ch <> ' ' THEN idx // {ROW} * {PITCH} + {HIGH} END AS b FROM chars)"

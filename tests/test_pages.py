@@ -1,12 +1,14 @@
 """Tables, ink and names on small inputs and against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pagequarry.functions import names as n
 from pagequarry.functions.text import roman_value
 from pagequarry.operators import ink
-from pagequarry.operators.tables import boundaries, near_groups, ruled_grids, unruled_tables
+from pagequarry.operators.spatial import Grid, inflated, kept_apart, meets, near_groups, union
+from pagequarry.operators.tables import boundaries, ruled_grids, unruled_tables
 from pagequarry.plans.catalog import QUERIES
 from pagequarry.plans.ink import bitmap, page_texts
 from pagequarry.operators.trees import depths, nearest_ancestor
@@ -114,9 +116,54 @@ def test_words_in_lines():
         assert ink.word_lines(boxes, 12).tolist() == brute_word_lines([tuple(b) for b in boxes], 12)
 
 
-def test_near_groups_join_at_bridges():
-    assert near_groups([(0, 0, 1, 1), (10, 0, 11, 1), (2, 0, 9, 1)], 2) == [[0, 2, 1]]
-    assert near_groups([(0, 0, 1, 1), (10, 0, 11, 1)], 2) == [[0], [1]]
+def groups_by_comparing(boxes, reach, kinds, home):
+    """Groups by comparing every box with every group, in order."""
+    held = []  # bounds, members, kind
+    for i, (box, kind) in enumerate(zip(boxes, kinds, strict=True)):
+        if home == "new":
+            now, members = box, [i]
+            for k in reversed(range(len(held))):
+                if held[k][2] == kind and meets(held[k][0], inflated(now, reach)):
+                    now, members = union(now, held[k][0]), held[k][1] + members
+                    del held[k]
+            held.append((now, members, kind))
+            continue
+        near = [k for k, h in enumerate(held) if h[2] == kind and meets(h[0], inflated(box, reach))]
+        if not near:
+            held.append((box, [i], kind))
+            continue
+        to = near[0] if home == "first" else near[-1]
+        held[to] = (union(box, *(held[k][0] for k in near)), held[to][1] + [i] + [m for k in near if k != to for m in held[k][1]], kind)
+        held = [h for k, h in enumerate(held) if k == to or k not in near]
+    return [(b, sorted(m)) for b, m, _ in held]
+
+
+@pytest.mark.parametrize("home", ["first", "last", "new"])
+def test_near_groups_equal_comparing_all(home):
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 5, 40, 120):
+        for _ in range(12):
+            corner = rng.integers(0, 400, (size, 2))
+            boxes = [tuple(map(int, (x, y, x + w, y + h))) for (x, y), w, h in zip(corner, rng.integers(0, 60, size) ** 2 // 20, rng.integers(1, 30, size), strict=True)]
+            kinds = rng.integers(0, 2, size).tolist()
+            for of in (kinds, [None] * size):
+                got = [(b, sorted(m)) for b, m in near_groups(boxes, 3, of if of is kinds else None, home)]
+                assert got == groups_by_comparing(boxes, 3, of, home)
+
+
+def test_grid_forgets():
+    g = Grid()
+    g.add(1, (0, 0, 1, 1))
+    g.add(2, (-500, -500, 500, 500))
+    assert g.near((0.5, 0.5, 2, 2)) == [1, 2] and g.near((1, 1, 2, 2), touching=True) == [1, 2]
+    g.remove(2)
+    assert g.near((0.5, 0.5, 2, 2)) == [1] and g.near((1, 1, 2, 2)) == []
+
+
+def test_kept_apart(spark):
+    rows = [(1, 0, 0, 0, 10, 10, True), (1, 1, 5, 5, 15, 15, True), (1, 2, 12, 12, 20, 20, False), (1, 3, 30, 0, 40, 10, False), (1, 4, 35, 5, 45, 15, False), (2, 4, 35, 5, 45, 15, False)]
+    df = spark.createDataFrame(rows, "page long, nth long, l long, t long, r long, b long, free boolean")
+    assert sorted((r.page, r.nth) for r in kept_apart(df, "page", ["nth"], F.col("free")).collect()) == [(1, 0), (1, 1), (1, 3), (2, 4)]
 
 
 def test_ruled_grid(spark):

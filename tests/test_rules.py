@@ -1,11 +1,15 @@
 """Rules on small inputs."""
 
+import re
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from pagequarry.functions import geometry as g
 from pagequarry.functions.stats import lower_median, nearest_rank, ranked_groups, upper_median
 from pagequarry.functions.text import folded, roman_value, visible_chars
-from pagequarry.operators.shapes import as_of, visual_lines
+from pagequarry.operators.glyphs import breaks, placed_lines
+from pagequarry.operators.shapes import as_of
 from pagequarry.plans.search import hits
 from pagequarry.streaming.replay import debounced, forwarded, undo_step, upsert_recents
 
@@ -37,11 +41,16 @@ def test_empty_rectangles(spark):
     assert row == [4, False, True]
 
 
-def test_visual_lines_break_and_stack(spark):
-    boxes = [(0, 0, 0, 10, 12), (1, 10, 0, 20, 12), (2, None, None, None, None), (3, 0, 16, 10, 28), (4, 0, 26, 10, 38)]
-    df = spark.createDataFrame([([None if b[1] is None else b[1:] for b in boxes],)], "boxes array<struct<l:bigint,t:bigint,r:bigint,b:bigint>>")
-    got = [(r.start, r.n) for r in df.select(visual_lines(F.col("boxes")).alias("v")).first().v]
-    assert got == [(0, 3), (3, 2)]
+def test_visual_lines_break_and_stack():
+    boxes = np.array([(0, 0, 10, 12), (10, 0, 20, 12), (0, 16, 10, 28), (0, 26, 10, 38), (0, 90, 10, 99)])
+    assert breaks(boxes, np.array([0, 0, 0, 0, 1])).tolist() == [False, False, True, False, False]
+
+
+def test_lines_of_blanks_and_wide_letters(spark):
+    texts = ["  a", "    ", "", "é" * 95, "\U0001f600 x"]
+    lines_ = spark.createDataFrame([(1, 0, i, t) for i, t in enumerate(texts)], "doc_id long, page long, line long, text string")
+    got = sorted(tuple(r)[2:] for r in placed_lines(lines_).collect())
+    assert got == [(0, 0, 0, 3, 20, 0, 30, 12), (1, 0, 0, 4, None, None, None, None), (3, 0, 0, 90, 0, 0, 900, 12), (3, 1, 90, 5, 0, 16, 50, 28), (4, 0, 0, 3, 0, 0, 30, 12)]
 
 
 def test_as_of_takes_the_later_of_ties(spark):
@@ -102,3 +111,23 @@ def test_forwarded_files_upsert_recents(spark, tmp_path):
         (source / f"{day}.json").write_text(line)
         forwarded(spark, str(source)).writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination(60)
     assert [r.path for r in kept] == ["a.PDF", "b.pdf"]
+
+
+def test_hits_of_long_lines_and_many_hits(spark):
+    """Contexts and places against slices of the text: a line of 100,000 characters, a thousand hits, hits that touch."""
+    texts = ["x" * 60_000 + " cat " + "y" * 40_000, "cat" * 30 + "\n" + " dog cat, " * 1_000, "a\u00ad\ncat\u00ad", "cat", "no", "c\u00adat concat cat1 cat"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def shown(text, a, b):
+        tidy = lambda t: re.sub(r"\s+", " ", t.replace("\u00ad", ""))
+        left, right = text[:a].rsplit("\n", 1)[-1], text[b:].split("\n", 1)[0]
+        return ("…" + tidy(left[-40:]).lstrip(" ") if len(left) > 40 else tidy(left), tidy(text[a:b]), tidy(right[:40]).rstrip(" ") + "…" if len(right) > 40 else tidy(right))
+
+    for whole in (False, True):
+        want = []
+        for i, t in enumerate(texts):
+            for m in re.finditer("c\u00ad*a\u00ad*t", t):
+                next_to = t[: m.start()].rstrip("\u00ad")[-1:] + t[m.end() :].lstrip("\u00ad")[:1]
+                if not whole or not any(c.isalnum() for c in next_to):
+                    want.append((i, 0, m.start(), m.end() - m.start(), *shown(t, m.start(), m.end())))
+        assert sorted(tuple(r) for r in hits(df, "cat", whole_word=whole).collect()) == sorted(want)
