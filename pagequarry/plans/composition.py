@@ -116,7 +116,7 @@ def structured(docs: DataFrame) -> DataFrame:
     every = F.forall("lines", lambda x: x["bold"])
     some = lambda c: F.exists("lines", lambda x: x[c])
     head = F.col("lines")[0]
-    each = composed(docs).select("doc_id", "page", "para", F.size("lines").alias("k"), F.array_join(F.transform("lines", lambda x: x["text"]), " ").alias("text"), p.list_kind(head["text"]).alias("kind"), some("leader").alias("leader"), some("parted").alias("parted"), some("mono").alias("mono"), every.alias("bold"), of("size", F.array_max).alias("size"), of("l", F.array_min).alias("l"), head["l"].alias("first_l"), F.array_min(F.transform(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0))), lambda x: x["l"])).alias("rest_l"))
+    each = composed(docs).select("doc_id", "page", "para", F.size("lines").alias("k"), F.array_join(F.transform("lines", lambda x: x["text"]), " ").alias("text"), p.list_kind(head["text"]).alias("kind"), some("leader").alias("leader"), some("parted").alias("parted"), some("mono").alias("mono"), every.alias("bold"), of("size", F.array_max).alias("size"), of("l", F.array_min).alias("l"), head["l"].alias("first_l"), head["text"].alias("head"), F.array_min(F.transform(F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0))), lambda x: x["l"])).alias("rest_l"))
     each = each.withColumn("kind", F.when(F.col("leader") | F.col("mono"), "text").otherwise(F.col("kind")))
     over = Window.partitionBy("doc_id", "page").orderBy("para")
     same = lambda c: F.coalesce(F.regexp_replace(c, "maybe", "bullet") == F.regexp_replace("kind", "maybe", "bullet"), F.lit(False))

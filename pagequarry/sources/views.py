@@ -15,8 +15,20 @@ LINES_A_PAGE, ROW, WIDE, HIGH, PITCH = 40, 90, 10, 12, 16
 LINES_SQL = f"lines AS (SELECT doc_id, page, line, text FROM (SELECT doc_id, CAST(i // {LINES_A_PAGE} AS BIGINT) AS page, CAST(i AS BIGINT) AS line, l[i + 1] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) d, LATERAL (SELECT unnest(range(len(l))) AS i) u))"
 
 
+#: A table up to this size may be one group of rows in its file, which one task reads.
+ONE_GROUP = 1 << 28
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    found = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(found) if name == "documents" else found
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt over all cores, so that work on its texts is not one task's; larger ones are split by their files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < ONE_GROUP
+    return df.repartition(cores) if small and cores > 1 else df
 
 
 def lines(docs: DataFrame) -> DataFrame:

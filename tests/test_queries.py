@@ -44,4 +44,4 @@ def test_same_as_sql(spark, con, name):
 
 
 def test_all_but_folds_have_sql():
-    assert set(QUERIES) - set(SQL) == {"table_grids", "ink_blobs", "page_ink", "recognised_lines"}
+    assert set(QUERIES) - set(SQL) == {"table_grids", "ink_blobs", "page_ink", "recognised_lines", "page_figures"}
