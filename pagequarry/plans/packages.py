@@ -36,7 +36,7 @@ def numbered(s: DataFrame) -> DataFrame:
 @query(f"""WITH RECURSIVE {_STRUCTURE_SQL},
  mk AS (SELECT doc_id, page, para, CAST(least(greatest(round_even(l / 31.5, 0), 0), 4) AS INT) AS level, CASE WHEN listed AND kd = 'number' THEN rtrim(regexp_extract(head, '{p.NUMBER}')) END AS marker FROM st),
  d AS (SELECT DISTINCT marker, trim(marker, '().') AS token FROM mk WHERE marker IS NOT NULL),
- f AS (SELECT *, CASE WHEN regexp_matches(token, '^0.') THEN 'none' WHEN regexp_matches(token, '^\\d+$') THEN 'decimal' WHEN regexp_matches(token, '^([ivxlcdmIVXLCDM]{{2,}}|[iI])$') THEN CASE WHEN token = upper(token) THEN 'upperRoman' ELSE 'lowerRoman' END WHEN regexp_matches(token, '^[a-zA-Z]$') THEN CASE WHEN token = upper(token) THEN 'upperLetter' ELSE 'lowerLetter' END ELSE 'none' END AS format FROM d),
+ f AS (SELECT *, CASE WHEN regexp_matches(token, '^0.') THEN 'none' WHEN regexp_matches(token, '^\\d+$') THEN 'decimal' WHEN regexp_matches(token, '^([ivxlcdmIVXLCDM]{{2,}}|[iI])$') THEN CASE WHEN token[1] = upper(token[1]) THEN 'upperRoman' ELSE 'lowerRoman' END WHEN regexp_matches(token, '^[a-zA-Z]$') THEN CASE WHEN token = upper(token) THEN 'upperLetter' ELSE 'lowerLetter' END ELSE 'none' END AS format FROM d),
  rm AS (SELECT marker, token, {_ROMAN_SQL} AS roman FROM f WHERE format LIKE '%Roman'),
  lb AS (SELECT f.marker, f.format, CAST(CASE WHEN f.format = 'decimal' THEN TRY_CAST(f.token AS INTEGER) WHEN f.format LIKE '%Roman' THEN greatest(rm.roman, 0) WHEN f.format LIKE '%Letter' THEN ascii(upper(f.token)) - 64 ELSE 1 END AS INTEGER) AS start, CASE WHEN f.format = 'none' THEN f.marker ELSE replace(f.marker, f.token, '%1') END AS label FROM f LEFT JOIN rm ON rm.marker = f.marker),
  q AS (SELECT mk.doc_id, mk.page, mk.para, mk.level, mk.marker, format, start, label, lag(mk.level) OVER w AS pl, lag(format) OVER w AS pf, lag(start) OVER w AS ps, lag(label) OVER w AS pb FROM mk LEFT JOIN lb ON lb.marker = mk.marker WINDOW w AS (PARTITION BY mk.doc_id ORDER BY mk.page, mk.para)),
