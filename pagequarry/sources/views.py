@@ -6,6 +6,11 @@ pitch in whole units: 10 wide, 12 high, rows 16 apart, 90 to a row; blanks have
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +36,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if small and cores > 1 else df
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, under ``spark.checkpoint.dir``; it goes when the session's JVM ends.
+
+    Only a session of one process without that setting takes a temporary one.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="pagequarry-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    folder = f"{shared}/pagequarry/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return folder
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """``doc_id, page, line, text``."""
     each = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
