@@ -7,22 +7,23 @@ equal sets are one class, and one of each class is worked on.
   measure asks share at least ``least_shared`` values of their sketches, so each sketch is listed
   under its rarest values only, all but ``least_shared - 1``: in any common order two such sketches
   meet there. Values of one sketch alone and the commonest ones, of passages that many texts
-  share, lead nowhere.
-* Overlaps are generated from the lists: first each list's members with its first member, then
-  the pairs of one list that are still in different classes.
+  share, lead nowhere. A bit map of bounded size says which values several sketches hold,
+  before any of them moves with its document; a wrong bit only moves one more.
+* Overlaps are generated from the lists: first each list's members with its most typical member, which has
+  the fewest values of its own, then the pairs of one list that are still in different classes.
 * The least ``K`` values of the union of two sketches are a sample of the union of the sets; the
-  part of it in both sketches estimates the Jaccard. Where it is under ``least_shared`` of ``K``, six
-  standard deviations under the measure, the pair goes. Sets of ``K`` values or fewer are
+  part of it in both sketches estimates the Jaccard. Where it is six standard
+  deviations under the measure, the pair goes. Sets of ``K`` values or fewer are
   their own sketches, and the estimate is exact.
 * What is left is verified on the full sets of the whole texts.
 
-For sets of over ``1.25 K`` values a link is lost if fewer than ``least_shared`` of ``K`` draws
-without replacement out of the union are shared: under one in ten million for a pair right at the
-measure, and less above it. Smaller sets lose none.
+The sample is drawn without replacement, so its deviation is nothing for unions of ``K`` values and grows with the
+union. A link of longer sets is lost if its sample lies those six deviations off: under
+one in ten million for a pair right at the measure, and less above it.
 
 Defined cases: null text and text without words have an empty set and are linked with nothing;
 with fewer words than a shingle the whole sequence is one; texts are worked on whole whatever their
-length; equal texts are one class, repeated rows of one ``doc_id`` are one node; a null
+length; equal texts are one class; every row is judged by its own text, also where rows share a ``doc_id``; a null
 ``doc_id`` takes no part (component and kept are null); an empty table gives no rows; other columns are
 ignored, whatever their names.
 """
@@ -41,15 +42,15 @@ from pagequarry.llm.components import components
 from pagequarry.llm.jaccard import BLOCK, Measure, _verified
 from pagequarry.llm.words import shingle_sets
 
-#: Values of a sketch, bytes of text at a time, members of a list that one task pairs with the others.
-K, PART, LIST = 64, 1 << 20, 1024
+#: Values of a sketch, bytes of text at a time, members of a list that one task pairs with the others, bits of the map.
+K, PART, LIST, MAP_BITS = 256, 1 << 20, 1024, 27
 _KEYS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x9FB21C651E98DF25))
 
 
-def least_shared(measure: Measure, k: int = K) -> int:
-    """Values that the sketches of two linked sets share: six deviations under the expected ones."""
+def least_shared(measure: Measure, k: int, union: float) -> int:
+    """Values that the sketches of two linked sets with a union of that size share: six deviations under the expected ones."""
     j = measure.num / measure.den
-    return max(1, math.floor(k * j - 6 * math.sqrt(k * j * (1 - j))))
+    return max(1, math.floor(k * j - 6 * math.sqrt(k * j * (1 - j) * max(0.0, union - k) / max(1.0, union - 1)) + 1e-9))
 
 
 def _sketches(docs: DataFrame, measure: Measure, k: int) -> DataFrame:
@@ -74,29 +75,86 @@ def _sketches(docs: DataFrame, measure: Measure, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sketch array<long>")
 
 
-def _lists(sets: DataFrame, measure: Measure, k: int) -> DataFrame:
-    """``value, id, n``: each set under the rarest values of its sketch, all but those that it may lack in common with others."""
-    values = sets.select("id", "k1", "n", F.explode("sketch").alias("value"))
-    common = written(values.groupBy("value").agg(F.count("*").alias("sets")).where("sets > 1"), "sketch-values")
-    held = F.least(F.col("n"), F.lit(k))
-    # A set that is its own sketch shares so much of itself with any partner; others go by the sample.
+def _several(common: DataFrame, map_bits: int = MAP_BITS) -> np.ndarray:
+    """A bit map over the top ``map_bits`` of the values in ``common``: its words come to the driver, however many values there are."""
+    word, bit = F.shiftrightunsigned("value", 64 - map_bits + 6), F.shiftrightunsigned("value", 64 - map_bits).bitwiseAND(F.lit(63)).cast("int")
+    words = common.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits")).toArrow()
+    out = np.zeros(1 << (map_bits - 6), np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _values(sets: DataFrame, bit_map, map_bits: int = MAP_BITS) -> DataFrame:
+    """``id, k1, n, value``: the retained values of each set that several sets hold, by the map."""
+
+    def run(batches):
+        words = bit_map.value
+        for batch in batches:
+            lists = batch.column(3)
+            counts = np.diff(lists.offsets.to_numpy())
+            values = np.asarray(lists.flatten())
+            at = values.view(np.uint64) >> np.uint64(64 - map_bits)
+            kept = np.flatnonzero(words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1))
+            rows = pa.array(np.repeat(np.arange(len(counts)), counts)[kept], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(3)), pa.array(values[kept], pa.int64())], ["id", "k1", "n", "value"])
+
+    return sets.select("id", "k1", "n", "sketch").mapInArrow(run, "id long, k1 long, n long, value long")
+
+
+def _prefixes(sets: DataFrame, measure: Measure, k: int) -> DataFrame:
+    """``id, n, own, several, prefix``: the rarest values of each sketch, all but those that it may lack in common with others.
+
+    They are in order, the rarest first. ``own`` says how many values no other set has, which lead nowhere, and ``several`` how many others have.
+    """
+    spark = sets.sparkSession
+    common = written(sets.select(F.explode("sketch").alias("value")).groupBy("value").agg(F.count("*").alias("sets")).where("sets > 1"), "sketch-values")
+    release_shuffles(spark)
+    bit_map = spark.sparkContext.broadcast(_several(common))
+    j, held = measure.num / measure.den, F.least(F.col("n"), F.lit(k))
+    # A set shares so much of itself with any partner whose union is its own sketch; others go by the sample.
     exact = F.ceil(F.col("n") * measure.num / measure.den - 1e-9)
-    shared = F.when(F.col("n") * measure.den <= k * measure.num, exact).otherwise(F.least(exact, F.lit(least_shared(measure, k))))
-    room = held - shared + 1
-    met = values.join(common.hint("merge"), "value").groupBy("id", "k1", "n").agg(F.array_sort(F.collect_list(F.struct("sets", "value"))).alias("met"))  # K values a set at most
-    alone = held - F.size("met")  # rarer than all others, and of no use
-    return met.select("id", "n", F.explode(F.slice("met", F.lit(1), F.greatest(room - alone, F.lit(0)).cast("int"))).alias("m")).select("m.value", "id", "n")
+    union = F.col("n") / j
+    sampled = F.floor(k * j - 6 * F.sqrt(k * j * (1 - j) * F.greatest(union - k, F.lit(0.0)) / F.greatest(union - 1, F.lit(1.0))) + 1e-9)
+    room = held - F.greatest(F.least(exact, sampled), F.lit(1)) + 1
+    rarest = F.array_sort(F.collect_list(F.struct("sets", "value"))).alias("met")  # K values a set at most
+    met = _values(sets, bit_map).hint("merge").join(common, "value").groupBy("id", "k1", "n").agg(rarest)
+    own = held - F.size("met")  # rarer than all others, and of no use
+    kept = F.slice(F.transform("met", lambda m: m["value"]), F.lit(1), F.greatest(room - own, F.lit(0)).cast("int"))
+    prefixes = written(met.select("id", "n", own.alias("own"), F.size("met").alias("several"), kept.alias("prefix")).where("size(prefix) > 0"), "sketch-prefixes")
+    bit_map.destroy()
+    dropped(common)
+    return prefixes
+
+
+def _lists(prefixes: DataFrame, *more: str) -> DataFrame:
+    """``value, id, n, own, left`` and ``more``: a row a value of a prefix; ``left`` says how many values of the sketch are no rarer."""
+    each = prefixes.select("id", "n", "own", "several", *more, F.posexplode("prefix").alias("at", "value"))
+    return each.select("value", "id", "n", "own", (F.col("several") - F.col("at")).alias("left"), *more)
+
+
+def _may_link(x: str, y: str, measure: Measure, k: int) -> str:
+    """Whether two sets that meet in a list can link, if they meet there first.
+
+    Their sizes must allow it, and so must what is left of both sketches from this value on: all that they share is there.
+    A pair that meets earlier is found there.
+    """
+    j = measure.num / measure.den
+    both = f"({x}.n + {y}.n)"
+    whole = f"ceil({both} * {measure.num} / {measure.num + measure.den}.0D - 1e-9)"
+    sampled = f"floor({k * j} - 6 * sqrt({k * j * (1 - j)} * greatest({both} / {1 + j} - {k}, 0) / greatest({both} / {1 + j} - 1, 1)) + 1e-9)"
+    sizes = f"least({x}.n, {y}.n) * {measure.den} >= greatest({x}.n, {y}.n) * {measure.num}"
+    return f"{sizes} and least({x}.left, {y}.left) >= if(greatest({x}.n, {y}.n) <= {k}, {whole}, {sampled})"
 
 
-def _first_pairs(lists: DataFrame, measure: Measure) -> DataFrame:
-    """Each list's members with its first one, as far as their sizes allow a link."""
-    first = written(lists.groupBy("value").agg(F.min(F.struct("n", "id")).alias("c"), F.count("*").alias("size")).where("size > 1").select("value", F.col("c.id").alias("u"), F.col("c.n").alias("un")), "sketch-firsts")
-    size = f"least(n, un) * {measure.den} >= greatest(n, un) * {measure.num}"
-    return lists.hint("merge").join(first, "value").where(f"id <> u and {size}").select("u", F.col("id").alias("v")).distinct()
+def _first_pairs(lists: DataFrame, measure: Measure, k: int) -> DataFrame:
+    """Each list's members with its most typical one, as far as a link is possible."""
+    first = written(lists.groupBy("value").agg(F.min(F.struct("own", "n", "id", "left")).alias("c"), F.count("*").alias("size")).where("size > 1").select("value", "c.id", "c.n", "c.left"), "sketch-firsts")
+    met = lists.hint("merge").alias("x").join(first.alias("c"), F.expr(f"x.value = c.value and x.id <> c.id and {_may_link('x', 'c', measure, k)}"))
+    return met.select(F.col("c.id").alias("u"), F.col("x.id").alias("v")).distinct()
 
 
-def _other_pairs(lists: DataFrame, measure: Measure) -> DataFrame:
-    """All pairs of one list in different components that their sizes allow, each once.
+def _other_pairs(lists: DataFrame, measure: Measure, k: int) -> DataFrame:
+    """All pairs of one list in different components that can link, each in the first list that both are in.
 
     Lists are split by size first, as sets in buckets that are not neighbours cannot link; what is
     longer than ``LIST`` then is dealt over several tasks by one side.
@@ -107,7 +165,7 @@ def _other_pairs(lists: DataFrame, measure: Measure) -> DataFrame:
     y = rows.withColumn("own", F.col("size")).withColumn("size", F.explode(F.array(F.col("size"), F.col("size") - 1)))
     x = rows.join(parts, ["value", "size"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     y = y.join(parts, ["value", "size"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    on = f"x.value = y.value and x.size = y.size and x.part = y.part and (x.id < y.id or y.own <> y.size) and x.component <> y.component and least(x.n, y.n) * {measure.den} >= greatest(x.n, y.n) * {measure.num}"
+    on = f"x.value = y.value and x.size = y.size and x.part = y.part and (x.id < y.id or y.own <> y.size) and x.component <> y.component and {_may_link('x', 'y', measure, k)} and get(array_intersect(x.prefix, y.prefix), 0) = x.value"
     return x.alias("x").join(y.alias("y"), F.expr(on)).select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v")).distinct()
 
 
@@ -130,7 +188,7 @@ def _estimated(pairs: DataFrame, sets: DataFrame, measure: Measure, k: int) -> D
     dealt = pairs.join(blocks, "u").select("u", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), "v")
     need = dealt.select("u", "block", F.col("v").alias("id"), F.lit(1).alias("member")).unionByName(dealt.select("u", "block", F.col("u").alias("id"), F.lit(0).alias("member")).distinct())
     rows = need.hint("merge").join(sets.select("id", "n", "sketch"), "id").select("u", "block", "member", "id", "n", "sketch")
-    least = least_shared(measure, k)
+    share = 1 + measure.num / measure.den
 
     def run(batches):
         at, centres = None, []
@@ -149,7 +207,7 @@ def _estimated(pairs: DataFrame, sets: DataFrame, measure: Measure, k: int) -> D
                 for other in centres:
                     whole = max(one[1], other[1]) <= k
                     shared, of = shared_of_union(one[0], other[0], 2 * k if whole else k)
-                    if shared * measure.den >= of * measure.num if whole else shared >= least:
+                    if shared * measure.den >= of * measure.num if whole else shared >= least_shared(measure, k, (one[1] + other[1]) / share):
                         kept.append((us[i], ids[i]))
                         break
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in kept], pa.int64()) for j in (0, 1)], ["u", "v"])
@@ -164,10 +222,10 @@ def near_duplicates(docs: DataFrame, measure: Measure = Measure(), k: int = K) -
     every = written(_sketches(docs, measure, k), "sketch-documents")
     sets = every.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
     sets = written(sets, "sketch-sets")
-    lists = written(_lists(sets, measure, k), "sketch-lists")
+    prefixes = _prefixes(sets, measure, k)
     release_shuffles(spark)
 
-    first = written(_first_pairs(lists, measure), "sketch-pairs")
+    first = written(_first_pairs(_lists(prefixes), measure, k), "sketch-pairs")
     likely = written(_estimated(first, sets, measure, k), "sketch-likely")
     links = written(_verified(docs, likely, measure), "sketch-links")
     dropped(likely)
@@ -175,12 +233,12 @@ def near_duplicates(docs: DataFrame, measure: Measure = Measure(), k: int = K) -
     release_shuffles(spark)
 
     # What is left: pairs of one list in different components.
-    named = lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = written(named.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value"), "sketch-apart")
-    rest = written(named.hint("merge").join(apart, "value"), "sketch-rest")
+    named = prefixes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    apart = written(_lists(named, "component").groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value"), "sketch-apart")
+    rest = written(_lists(named, "component", "prefix").hint("merge").join(apart, "value"), "sketch-rest")
     known = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = written(_other_pairs(rest, measure).join(known, ["u", "v"], "left_anti"), "sketch-more-pairs")
-    dropped(lists, apart, rest, first)
+    more = written(_other_pairs(rest, measure, k).join(known, ["u", "v"], "left_anti"), "sketch-more-pairs")
+    dropped(prefixes, apart, rest, first)
     release_shuffles(spark)
     likely = written(_estimated(more, sets, measure, k), "sketch-more-likely")
     dropped(more)

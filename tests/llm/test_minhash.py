@@ -80,12 +80,14 @@ def test_union_of_sketches():
         assert op.shared_of_union(a[:k], b[:k], k) == (len(set(least) & set(a.tolist()) & set(b.tolist())), len(least))
 
 
-def test_few_links_are_lost():
-    """How likely a pair right at the measure shares too few values of ``K``: under one in ten million."""
+@pytest.mark.parametrize("union", [256, 300, 500, 2_000, 100_000])
+def test_few_links_are_lost(union):
+    """How likely a pair right at the measure shares too few of ``K`` values drawn from its union: under one in ten million."""
     from math import comb
 
-    c = op.least_shared(Measure(words=4, num=80, den=100))
-    assert sum(comb(op.K, i) * 0.8**i * 0.2 ** (op.K - i) for i in range(c)) < 1e-7
+    c, shared = op.least_shared(Measure(words=4, num=80, den=100), op.K, union), -(-8 * union // 10)
+    lost = sum(comb(shared, i) * comb(union - shared, op.K - i) for i in range(c) if op.K - i <= union - shared)
+    assert lost * 10**7 < comb(union, op.K)
 
 
 def test_odd_rows(spark):
@@ -93,6 +95,6 @@ def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n "), (4, "a b"), (5, "A  B"), (5, "c d e f g"), (None, "a b"), (7, long), (8, long + " more"), (6, "c d e f g"), (6, "c d e f g")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "'x' as component_id", "2 as id")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in op.near_duplicates(docs, Measure(words=4)).collect()), key=repr)
-    want = [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (5, 2, 4, False), (None, 1, None, None), (7, 49_997, 7, True), (8, 49_998, 7, False), (6, 2, 4, False), (6, 2, 4, False)]
+    want = [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (5, 2, 5, True), (None, 1, None, None), (7, 49_997, 7, True), (8, 49_998, 7, False), (6, 2, 5, False), (6, 2, 5, False)]
     assert got == sorted(want, key=repr)
     assert op.near_duplicates(docs.limit(0)).count() == 0
