@@ -6,6 +6,8 @@ that every step works on all of them at once and nothing touches across pages.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 #: Pixels a mark needs, points a page's skew is measured from.
@@ -111,23 +113,33 @@ def box_blur(grey: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def word_lines(boxes: np.ndarray, glyph: float) -> np.ndarray:
+def word_lines(boxes: np.ndarray, glyph: float, column: np.ndarray | None = None) -> np.ndarray:
     """The line of each word, numbered by their first words from the left; ``boxes`` has left, top, right, bottom.
 
-    A word goes on with the line whose end shares most of the lesser height with it, over half of
-    it, unless it starts more than half a glyph before that end. All open ends are compared with
-    a word at once.
+    A word goes on with the line of its ``column`` whose end shares most of the lesser height with it, over half of
+    it, unless it starts more than half a glyph before that end. Open ends lie in strips by height, so that a
+    word meets those at its own height only.
     """
-    line = np.zeros(len(boxes), np.int64)
-    ends = np.zeros((0, 4))
+    line, ends, strips = np.zeros(len(boxes), np.int64), [], {}
+    strip = 2 * max(glyph, 1e-9)
+    across = lambda top, bottom: range(math.floor(top / strip), math.floor(bottom / strip) + 1)
+    rows, columns = boxes.tolist(), [0] * len(boxes) if column is None else column.tolist()
     for i in np.argsort(boxes[:, 0], kind="stable").tolist():
-        left, top, _, bottom = boxes[i]
-        lesser = np.minimum(bottom - top, ends[:, 3] - ends[:, 1])
-        shared = np.minimum(bottom, ends[:, 3]) - np.maximum(top, ends[:, 1])
-        part = np.where((left >= ends[:, 2] - glyph / 2) & (lesser > 0), shared / np.where(lesser > 0, lesser, 1), 0.0)
-        k = int(np.argmax(part)) if len(part) and part.max() > 0.5 else len(ends)
-        if k == len(ends):
-            ends = np.vstack([ends, boxes[i]])
-        ends[k] = boxes[i]
-        line[i] = k
+        left, top, _, bottom = rows[i]
+        own = columns[i]
+        best, most = len(ends), 0.5
+        for k in sorted({k for y in across(top, bottom) for k in strips.get((own, y), ())}):
+            _, top0, right0, bottom0 = ends[k]
+            lesser = min(bottom - top, bottom0 - top0)
+            if left >= right0 - glyph / 2 and lesser > 0 and (part := (min(bottom, bottom0) - max(top, top0)) / lesser) > most:
+                best, most = k, part
+        if best == len(ends):
+            ends.append(rows[i])
+        else:
+            for y in across(ends[best][1], ends[best][3]):
+                strips[own, y].discard(best)
+            ends[best] = rows[i]
+        for y in across(top, bottom):
+            strips.setdefault((own, y), set()).add(best)
+        line[i] = best
     return line

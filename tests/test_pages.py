@@ -245,3 +245,35 @@ def test_dates_and_names(spark):
     assert got == ["2024-02-29 05:00:00", "2024-01-01 00:00:00", None, "2024-12-31 00:00:00", None, None, None, None]
     df = spark.createDataFrame([("iv", "Ann B. van C-d"), ("vix", "1 2"), ("MCMXC", "")], "r string, a string")
     assert [tuple(r) for r in df.select(roman_value(F.col("r")), n.initials(F.col("a"))).collect()] == [(4, "ABV"), (14, "PDF"), (1990, "PDF")]
+
+
+def lines_by_comparing(boxes, glyph, column):
+    """Each word against the ends of all lines of its column."""
+    ends, out = [], {}
+    for i in sorted(range(len(boxes)), key=lambda i: boxes[i][0]):
+        left, top, _, bottom = boxes[i]
+        best, most = None, 0.5
+        for k, ((_, t, r, b), c) in enumerate(ends):
+            lesser = min(bottom - top, b - t)
+            if c == column[i] and left >= r - glyph / 2 and lesser > 0 and (min(bottom, b) - max(top, t)) / lesser > most:
+                best, most = k, (min(bottom, b) - max(top, t)) / lesser
+        if best is None:
+            ends.append(None)
+            best = len(ends) - 1
+        ends[best] = (boxes[i], column[i])
+        out[i] = best
+    return [out[i] for i in range(len(boxes))]
+
+
+@pytest.mark.parametrize("columns", [1, 2, 3])
+def test_word_lines_in_columns(columns):
+    rng = np.random.default_rng(columns)
+    for _ in range(60):
+        n = int(rng.integers(0, 60))
+        column = rng.integers(0, columns, n)
+        left = column * 300 + rng.integers(0, 250, n)
+        top = rng.integers(0, 12, n) * 14.0 + rng.integers(0, 5, n)
+        boxes = np.stack([left, top, left + rng.integers(5, 40, n), top + rng.integers(0, 16, n)], axis=1).astype(float)
+        assert ink.word_lines(boxes, 10.0, column).tolist() == lines_by_comparing(boxes.tolist(), 10.0, column.tolist())
+        if columns == 1:
+            assert ink.word_lines(boxes, 10.0).tolist() == ink.word_lines(boxes, 10.0, column).tolist()
