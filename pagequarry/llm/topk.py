@@ -14,7 +14,8 @@ go to the smaller id exactly. Pairs are opened level by level, for pivots, block
 
 The first pass searches one block near each query block, which gives kth scores to start from.
 The second one meets each query block with the blocks of all pivots that the bounds let through,
-dealt over lanes: a task holds one query block and reads data blocks one after another. Of the
+dealt over lanes: a task holds a group of neighbouring query blocks and reads data blocks one after
+another, each for all of the group that it may hold answers for, so that a data block moves once a group. Of the
 trees' pruning only what the vectors allow is saved: on directions drawn at random nothing can
 be left out, and the work is that of blockwise matrix products.
 
@@ -42,6 +43,7 @@ LEAST_LEAF, NARROWER = 8, 0.65
 #: Vectors a block holds: at most, and at least where there are few (so that tasks stay busy).
 DATA_BLOCK, QUERY_BLOCK, LEAST_BLOCK = 16_384, 4_096, 1_024
 LANE = 256  # data blocks that a task reads one after another, at most about
+GROUP = 16  # query blocks that a task holds while it reads them
 CHUNK = 1_024  # data vectors that a query leaf meets before its worst scores are looked at again
 BLOCK = "node long, part long, n long, radius double, most double, payload binary"
 FOUND = "node long, part long, row int, query_id long, vec_id long, score long"
@@ -246,33 +248,42 @@ def _of_one_length(clean: DataFrame, queries, n: int, k: int, pivots_most: int)
     asked = written(_blocks(placed(clean.where(queries), q_pivots), q_pivots, QUERY_BLOCK), "topk-queries")
 
     def run(batches):
-        name, q, best = None, None, None
+        name, held = None, {}
 
         def rows():
-            row, col = np.nonzero(best.id != _HIGH)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), name[0])), pa.array(np.full(len(row), name[1])), pa.array(row.astype(np.int32)), pa.array(q.ids[row]), pa.array(best.id[row, col]), pa.array(best.score[row, col])], FOUND.replace(",", "").split()[::2])
+            for (node, part), (q, best) in held.items():
+                row, col = np.nonzero(best.id != _HIGH)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), node)), pa.array(np.full(len(row), part)), pa.array(row.astype(np.int32)), pa.array(q.ids[row]), pa.array(best.id[row, col]), pa.array(best.score[row, col])], FOUND.replace(",", "").split()[::2])
+            held.clear()
 
         for batch in batches:
             for i in range(batch.num_rows):
-                at, payload = tuple(batch.column(x)[i].as_py() for x in range(3)), batch.column(4)[i].as_py()
+                at, payload = tuple(batch.column(x)[i].as_py() for x in range(2)), batch.column(4)[i].as_py()
                 if at != name:
-                    if name is not None:
-                        yield rows()
-                    name, q, known = at, Tree.unpacked(payload), batch.column(5)[i].as_py()
-                    best = Best(len(q.ids), k, None if known is None else np.frombuffer(known, np.float64))
+                    yield from rows()
+                    name = at
+                if batch.column(6)[i].as_py() is None:  # a query block: they come first
+                    q, known = Tree.unpacked(payload), batch.column(5)[i].as_py()
+                    held[batch.column(2)[i].as_py(), batch.column(3)[i].as_py()] = q, Best(len(q.ids), k, None if known is None else np.frombuffer(known, np.float64))
                 else:
-                    search(q, Tree.unpacked(payload), best)
-        if name is not None:
-            yield rows()
-
-    def searched(pairs: DataFrame, levels: DataFrame | None) -> DataFrame:
-        """Pairs ``node, part, lane, d_node, d_part``: one query block a lane, then its data blocks."""
+                    block = Tree.unpacked(payload)
+                    for who in batch.column(6)[i].as_py():
+                        q, best = held[who["node"], who["part"]]
+                        search(q, block, best)
+        yield from rows()
+
+    def searched(pairs: DataFrame, levels: DataFrame | None, together: int) -> DataFrame:
+        """Pairs ``node, part, lane, turn, d_node, d_part``: in a lane a group of query blocks, then the data blocks that any of them meets."""
         nothing = F.lit(None).cast("binary")
-        q = pairs.select("node", "part", "lane").distinct().join(asked.select("node", "part", "payload"), ["node", "part"])
+        pairs = pairs.join(F.broadcast(numbers), "node").withColumn("group", F.floor((F.col("number") + F.col("part")) / together)).drop("number")
+        q = pairs.select("group", "lane", "node", "part").distinct().join(asked.select("node", "part", "payload"), ["node", "part"])
         q = q.join(levels, ["node", "part"], "left") if levels is not None else q.withColumn("known", nothing)
-        d = pairs.join(data.select(F.col("node").alias("d_node"), F.col("part").alias("d_part"), "payload"), ["d_node", "d_part"])
-        both = q.select("node", "part", "lane", F.lit(-1).alias("turn"), "payload", "known").unionByName(d.select("node", "part", "lane", "turn", "payload", nothing.alias("known")))
-        return both.repartition("node", "part", "lane").sortWithinPartitions("node", "part", "lane", "turn").mapInArrow(run, FOUND)
+        met = pairs.groupBy("group", "lane", "d_node", "d_part").agg(F.min("turn").alias("turn"), F.collect_list(F.struct("node", "part")).alias("who"))  # the blocks of a group at most
+        d = met.join(data.select(F.col("node").alias("d_node"), F.col("part").alias("d_part"), "payload"), ["d_node", "d_part"])
+        q = q.select("group", "lane", F.lit(-1).alias("turn"), "node", "part", "payload", "known", F.lit(None).cast("array<struct<node:bigint,part:bigint>>").alias("who"))
+        d = d.select("group", "lane", "turn", F.col("d_node").alias("node"), F.col("d_part").alias("part"), "payload", nothing.alias("known"), "who")
+        dealt = q.unionByName(d).repartition("group", "lane").sortWithinPartitions("group", "lane", "turn")
+        return dealt.drop("turn").mapInArrow(run, FOUND)
 
     # First pass: the part of the nearest pivot with data that comes first, for every query block.
     sides = []
@@ -283,12 +294,15 @@ def _of_one_length(clean: DataFrame, queries, n: int, k: int, pivots_most: int)
     d_nodes, q_nodes = (x["node"].to_numpy(np.int64) for x in sides)
     if not len(q_nodes):
         return spark.createDataFrame([], FOUND)
+    # Query blocks in a row, those of a pivot next to each other: a group is a stretch of them.
+    firsts = np.cumsum(ours["parts"].to_numpy()) - ours["parts"].to_numpy()
+    numbers = spark.createDataFrame(list(zip(q_nodes.tolist(), firsts.tolist(), strict=True)), "node long, number long")  # a row a pivot
     tops = np.stack([bounds(q_pivots[i], r, m, pivots[d_nodes], found["radius"].to_numpy(), found["most"].to_numpy()) for i, r, m in ours[["node", "radius", "most"]].itertuples(index=False)])
     gone = asked.select("node", "part", "n")
     nearest = d_nodes[_nearest(q_pivots[q_nodes], pivots[d_nodes])]
     begin = spark.createDataFrame(list(zip(q_nodes.tolist(), nearest.tolist(), strict=True)), "node long, begin long")
     near = gone.join(F.broadcast(begin), "node").select("node", "part", F.lit(0).alias("lane"), F.lit(0).alias("turn"), F.col("begin").alias("d_node"), F.lit(0).cast("long").alias("d_part"))
-    own = written(searched(near, None), "topk-own")
+    own = written(searched(near, None, 1), "topk-own")
     rank = Window.partitionBy("node", "part", "row").orderBy(F.desc("score"), "vec_id")
     kth = own.withColumn("rank", F.row_number().over(rank)).where(f"rank = {k}").select("node", "part", "row", F.col("score").cast("double").alias("s"))
 
@@ -316,10 +330,10 @@ def _of_one_length(clean: DataFrame, queries, n: int, k: int, pivots_most: int)
     pairs = levels.select("node", "part", "low").mapInArrow(reach, "node long, part long, turn int, d_node long")
     pairs = pairs.join(data.select(F.col("node").alias("d_node"), F.col("part").alias("d_part")), "d_node")
     pairs = pairs.join(F.broadcast(begin), "node").where("d_node <> begin or d_part <> 0").drop("begin")
-    blocks, busy = int(found["parts"].sum()), 2 * spark.sparkContext.defaultParallelism // int(ours["parts"].sum())
+    blocks, busy = int(found["parts"].sum()), 2 * spark.sparkContext.defaultParallelism // -(-int(ours["parts"].sum()) // GROUP)
     lanes = max(1, -(-blocks // LANE), min(blocks, busy))
     pairs = written(pairs.withColumn("lane", F.pmod(F.xxhash64("d_node", "d_part"), F.lit(lanes)).cast("int")), "topk-pairs")
-    return own.unionByName(searched(pairs, levels.select("node", "part", "known")))
+    return own.unionByName(searched(pairs, levels.select("node", "part", "known"), GROUP))
 
 
 def top_k(data: DataFrame, queries=None, k: int = K, scale: int = SCALE, id_column: str = "vec_id", vector_column: str = "embedding", pivots: int = PIVOTS) -> DataFrame:

@@ -284,6 +284,7 @@ def test_top_k_against_brute_force(spark, monkeypatch, block):
     if block:
         for name in ("DATA_BLOCK", "QUERY_BLOCK", "LEAST_BLOCK"):
             monkeypatch.setattr(topk, name, block)
+        monkeypatch.setattr(topk, "GROUP", 2)
     rng = np.random.default_rng(1)
     v = rng.normal(size=(900, 8)).round(1)
     v[::7] = v[0]
