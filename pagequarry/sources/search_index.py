@@ -17,6 +17,12 @@ from pyspark.sql import functions as F
 from pagequarry.functions.search import SOFT, folded_query
 from pagequarry.plans.search import page_hits
 
+#: The tables; ``shelf`` comes last, as Spark reads partitions.
+SCHEMAS = {
+    "vocabulary": "word string, pages long, uses long, shelf int",
+    "postings": "word string, doc_id long, page long, places array<int>, shelf int",
+    "texts": "doc_id long, page long, text string, shelf int",
+}
 #: Partitions of each table, and parts of a word's postings.
 SHELVES, PARTS = 64, 16
 
@@ -54,7 +60,7 @@ class SearchIndex:
     folder: str
 
     def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}")
 
     def pages(self, query: str) -> DataFrame:
         """``doc_id, page`` of the pages that may have hits: their words hold the query's, next to each other and in order."""
@@ -89,12 +95,12 @@ class SearchIndex:
 
 def build(pages: DataFrame, folder: str) -> SearchIndex:
     """Write an index of ``doc_id, page, text``; the texts go through one shuffle, the words through another."""
-    spark = pages.sparkSession
-    shelved = pages.select("doc_id", "page", "text").withColumn("shelf", _shelf("doc_id", "page"))
+    index = SearchIndex(pages.sparkSession, folder)
+    shelved = pages.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("long").alias("page"), "text").withColumn("shelf", _shelf("doc_id", "page"))
     shelved.repartition("shelf").write.partitionBy("shelf").parquet(f"{folder}/texts")
-    each = spark.read.parquet(f"{folder}/texts").select("doc_id", "page", F.posexplode(F.filter(F.split(folded(F.col("text")), r"\s+"), lambda w: w != "")).alias("at", "word"))
+    each = index._table("texts").select("doc_id", "page", F.posexplode(F.filter(F.split(folded(F.col("text")), r"\s+"), lambda w: w != "")).alias("at", "word"))
     postings = each.groupBy("word", "doc_id", "page").agg(F.array_sort(F.collect_list("at")).alias("places")).withColumn("shelf", _shelf("word"))
     postings.repartition("shelf", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).sortWithinPartitions("shelf", "word").write.partitionBy("shelf").parquet(f"{folder}/postings")
-    uses = spark.read.parquet(f"{folder}/postings").groupBy("word").agg(F.count("*").alias("pages"), F.sum(F.size("places")).alias("uses")).withColumn("shelf", _shelf("word"))
+    uses = index._table("postings").groupBy("word").agg(F.count("*").alias("pages"), F.sum(F.size("places")).alias("uses")).withColumn("shelf", _shelf("word"))
     uses.write.parquet(f"{folder}/vocabulary")
-    return SearchIndex(spark, folder)
+    return index
