@@ -24,7 +24,7 @@ SCHEMAS = {
     "texts": "doc_id long, page long, text string, shelf int",
 }
 #: Partitions of each table, and parts of a word's postings.
-SHELVES, PARTS = 64, 16
+SHELVES, PARTS = 16, 16
 
 
 @cache
