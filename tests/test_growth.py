@@ -22,3 +22,17 @@ def test_marks_meet_lines_before_they_are_laid_out(spark):
         laid = depth(lines, "Generate explode(", "sequence(")
         joined = [d for d in depth(lines, "Join Inner")]
         assert laid and all(any(j > d for j in joined) for d in laid), name
+
+
+def test_of_cells_in_one_slot_the_upper_comes_first(spark, tmp_path):
+    cells = [(1, 1, 1), (2, 2, 3), (4, 3, 1), (7, 1, 1), (8, 1, 1)]  # line, columns, rows: the fifth stands in a slot that the second still reaches into
+    rows = [(1, n, a, b) for n, a, b in cells]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    cell = lambda n, props="": f"<w:tc><w:tcPr>{props}</w:tcPr><w:p>" + (f'<w:r><w:t xml:space="preserve">{n}</w:t></w:r>' if n else "") + "</w:p></w:tc>"
+    wide = lambda k: f'<w:gridSpan w:val="{k}"/>'
+    first = cell(1) + cell(2, wide(2) + '<w:vMerge w:val="restart"/>')
+    second = cell(4, wide(3)) + cell(None, wide(2) + "<w:vMerge/>")
+    third = cell(7) + cell(None, wide(2) + "<w:vMerge/>") + cell(8)
+    got = packages.table_rows(spark, str(tmp_path)).collect()
+    assert [(r.columns, r.rows) for r in got] == [(3, 3)]
+    assert got[0].digest == hashlib.md5("".join(f"<w:tr>{x}</w:tr>" for x in (first, second, third)).encode()).hexdigest()
