@@ -98,20 +98,29 @@ _CELLS = "l_orderkey * 8 + l_linenumber AS cell, l_orderkey % 50 AS sheet, l_par
 _FILLS = "s_suppkey AS fill, s_suppkey % 50 AS sheet, s_suppkey * 7 % 400 AS l, s_suppkey * 13 % 400 AS t, s_suppkey * 7 % 400 + 10 + s_suppkey % 9 * 10 AS r, s_suppkey * 13 % 400 + 10 + s_suppkey % 7 * 10 AS b"
 
 
-@query(f"WITH c AS (SELECT {_CELLS} FROM lineitem), f AS (SELECT {_FILLS} FROM supplier), o AS (SELECT cell, fill, (f.r - f.l) * (f.b - f.t) AS area FROM c JOIN f ON c.sheet = f.sheet AND 10 * greatest(least(c.r, f.r) - greatest(c.l, f.l), 0) * greatest(least(c.b, f.b) - greatest(c.t, f.t), 0) >= 7 * (c.r - c.l) * (c.b - c.t)) SELECT cell, count(*) AS fills, min(area) AS area, arg_min(fill, area * 1000000 + fill) AS fill FROM o GROUP BY cell")
-def cell_shading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smallest fill that covers seven tenths of a cell; cells and fills are made from tables.
+def covering_fills(c: DataFrame, f: DataFrame) -> DataFrame:
+    """``cell, fills, x``: how many fills cover seven tenths of a cell, and ``area`` and ``fill`` of the smallest.
 
-    A fill that covers so much of a cell holds its centre: cells stand in the bucket of their
-    centre, fills in all that they touch, and both meet by sheet and bucket.
+    Cells at one place share the answer, equal fills count together: what meets are places and
+    rectangles, however many cells and fills there are. A fill that covers so much of a place holds its centre: places
+    stand in the bucket of their centre, fills in all that they touch, and both meet by sheet and bucket.
     """
-    c = table(spark, sf_dir, "lineitem").selectExpr(*_CELLS.split(", ")).withColumn("column", F.expr("(l + r) div 80")).withColumn("row", F.expr("(t + b) div 80"))
-    f = table(spark, sf_dir, "supplier").selectExpr(*_FILLS.split(", ")).select("fill", "sheet", *[F.col(x).alias("f" + x) for x in "ltrb"])
+    at = ["sheet", "l", "t", "r", "b"]
+    f = f.groupBy("sheet", *[F.col(x).alias("f" + x) for x in "ltrb"]).agg(F.count("*").alias("many"), F.min("fill").alias("fill"))
     f = f.withColumn("column", F.explode(F.expr("sequence(fl div 40, fr div 40)"))).withColumn("row", F.explode(F.expr("sequence(ft div 40, fb div 40)")))
+    places = c.select(*at).distinct().withColumn("column", F.expr("(l + r) div 80")).withColumn("row", F.expr("(t + b) div 80"))
     covered = F.expr("10 * greatest(least(r, fr) - greatest(l, fl), 0) * greatest(least(b, fb) - greatest(t, ft), 0) >= 7 * (r - l) * (b - t)")
-    over = c.join(f, ["sheet", "column", "row"]).where(covered).withColumn("area", F.expr("(fr - fl) * (fb - ft)"))
-    best = F.min(F.struct("area", "fill"))
-    return over.groupBy("cell").agg(F.count("*").alias("fills"), best.alias("x")).select("cell", "fills", F.col("x.area").alias("area"), F.col("x.fill").alias("fill"))
+    over = places.join(f, ["sheet", "column", "row"]).where(covered)
+    best = over.groupBy(*at).agg(F.sum("many").alias("fills"), F.min(F.struct(F.expr("(fr - fl) * (fb - ft)").alias("area"), "fill")).alias("x"))
+    # ``_CELLS`` has 50 sheets of 40 times 40 places: 80,000 rows at most, whatever the tables' size.
+    return c.join(F.broadcast(best), at).groupBy("cell").agg(F.sum("fills").alias("fills"), F.min("x").alias("x"))
+
+
+@query(f"WITH c AS (SELECT {_CELLS} FROM lineitem), f AS (SELECT {_FILLS} FROM supplier), o AS (SELECT cell, fill, (f.r - f.l) * (f.b - f.t) AS area FROM c JOIN f ON c.sheet = f.sheet AND 10 * greatest(least(c.r, f.r) - greatest(c.l, f.l), 0) * greatest(least(c.b, f.b) - greatest(c.t, f.t), 0) >= 7 * (c.r - c.l) * (c.b - c.t)) SELECT cell, count(*) AS fills, min(area) AS area, arg_min(fill, area * 1000000 + fill) AS fill FROM o GROUP BY cell")
+def cell_shading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest fill that covers seven tenths of a cell; cells and fills are made from tables."""
+    c, f = table(spark, sf_dir, "lineitem").selectExpr(*_CELLS.split(", ")), table(spark, sf_dir, "supplier").selectExpr(*_FILLS.split(", "))
+    return covering_fills(c, f).select("cell", "fills", F.col("x.area").alias("area"), F.col("x.fill").alias("fill"))
 
 
 @query(f"WITH c AS (SELECT {_CELLS} FROM lineitem), f AS (SELECT {_FILLS} FROM supplier) SELECT cell FROM c WHERE EXISTS (SELECT 1 FROM f WHERE f.sheet = c.sheet AND abs(f.t - c.t) <= 4 AND 10 * (least(c.r, f.r) - greatest(c.l, f.l)) >= 6 * (c.r - c.l))")

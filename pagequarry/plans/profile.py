@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions.stats import ranked_groups
 from pagequarry.operators.shapes import as_of, islands
 from pagequarry.plans.composition import _ROWS_SQL, WIDTH, composed
-from pagequarry.plans.layout import _CELLS, _FILLS, _PAGES_SQL, placed_pages
+from pagequarry.plans.layout import _CELLS, _FILLS, _PAGES_SQL, covering_fills, placed_pages
 from pagequarry.plans.registry import query
 from pagequarry.sources.views import LINES_SQL, lines, table
 
@@ -150,11 +150,8 @@ def cell_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cell's shading: the smallest fill over seven tenths of it that is no background of the table; white is none."""
     c = table(spark, sf_dir, "lineitem").selectExpr(*_CELLS.split(", "))
     t = c.groupBy("sheet").agg(((F.max("r") - F.min("l")) * (F.max("b") - F.min("t"))).alias("whole"))
-    f = table(spark, sf_dir, "supplier").selectExpr(*_FILLS.split(", ")).select("fill", "sheet", *[F.col(x).alias("f" + x) for x in "ltrb"]).withColumn("area", F.expr("(fr - fl) * (fb - ft)"))
-    f = f.join(t, "sheet").where("100 * area <= 75 * whole").withColumn("column", F.explode(F.expr("sequence(fl div 40, fr div 40)"))).withColumn("row", F.explode(F.expr("sequence(ft div 40, fb div 40)")))
-    c = c.withColumn("column", F.expr("(l + r) div 80")).withColumn("row", F.expr("(t + b) div 80"))
-    over = c.join(f, ["sheet", "column", "row"]).where("10 * greatest(least(r, fr) - greatest(l, fl), 0) * greatest(least(b, fb) - greatest(t, ft), 0) >= 7 * (r - l) * (b - t)")
-    best = over.groupBy("cell").agg(F.min(F.struct("area", "fill")).alias("x"))
+    f = table(spark, sf_dir, "supplier").selectExpr(*_FILLS.split(", ")).join(t, "sheet").where("100 * (r - l) * (b - t) <= 75 * whole")
+    best = covering_fills(c, f)
     return best.select("cell", F.when(F.col("x.fill") % 4 != 0, F.col("x.fill")).alias("shading"))
 
 

@@ -24,6 +24,17 @@ def test_marks_meet_lines_before_they_are_laid_out(spark):
         assert laid and all(any(j > d for j in joined) for d in laid), name
 
 
+def test_cells_at_one_place_and_equal_fills_meet_once(spark):
+    at = "sheet long, l long, t long, r long, b long"
+    c = spark.createDataFrame([(1, 0, 0, 0, 10, 10), (2, 0, 0, 0, 10, 10), (3, 0, 200, 0, 210, 10), (3, 0, 0, 0, 10, 10)], f"cell long, {at}")
+    f = spark.createDataFrame([(9, 0, 0, 0, 10, 10), (4, 0, 0, 0, 10, 10), (5, 0, 0, 0, 40, 40)], f"fill long, {at}")
+    got = sorted((r.cell, r.fills, r.x.area, r.x.fill) for r in layout.covering_fills(c, f).collect())
+    assert got == [(1, 3, 100, 4), (2, 3, 100, 4), (3, 3, 100, 4)]
+    for name in ("cell_shading", "cell_colours"):
+        lines = plan(spark, name)
+        assert sum("Aggregate [sheet" in x for x in lines) >= 2, name  # places and fills, before they meet
+
+
 def test_of_cells_in_one_slot_the_upper_comes_first(spark, tmp_path):
     cells = [(1, 1, 1), (2, 2, 3), (4, 3, 1), (7, 1, 1), (8, 1, 1)]  # line, columns, rows: the fifth stands in a slot that the second still reaches into
     rows = [(1, n, a, b) for n, a, b in cells]
