@@ -59,6 +59,11 @@ def test_letters_of_a_row_are_boxed_together(spark, tmp_path):
     assert "StringTrimLeft" in joins.range_rects(spark, FOLDER)._jdf.queryExecution().analyzed().toJSON()
 
 
+def test_slots_stream_and_hold_no_table(spark):
+    assert not [x for x in plan(spark, "tagged_slots") if "collect_list" in x]
+    assert [x for x in plan(spark, "tagged_slots") if "MapInArrow" in x]
+
+
 def test_of_cells_in_one_slot_the_upper_comes_first(spark, tmp_path):
     cells = [(1, 1, 1), (2, 2, 3), (4, 3, 1), (7, 1, 1), (8, 1, 1)]  # line, columns, rows: the fifth stands in a slot that the second still reaches into
     rows = [(1, n, a, b) for n, a, b in cells]
