@@ -12,12 +12,13 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
-from pagequarry.sources.page_content import read
+from pagequarry.sources.page_content import Reading, read
 from pagequarry.sources.page_objects import PageFile, PageFileError
 
 TABLES = {
@@ -27,6 +28,8 @@ TABLES = {
 }
 #: Bytes of a file that one partition is meant for, and rows of a batch.
 PARTITION_BYTES, ROWS = 16 << 20, 8192
+#: What all letters of a stretch share.
+STYLE = ("size", "font", "bold", "italic", "colour", "hidden", "mark")
 _KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
 
 
@@ -35,7 +38,16 @@ def columns_of(what: str) -> dict[str, pa.DataType]:
 
 
 def rows(path: str, content: bytes, what: str, wanted: set[str], nth: int = 0, of: int = 1, pages: tuple[float, float] = (0, math.inf)) -> Iterator[dict]:
-    """The rows of one file: of its ``nth`` part of ``of``, pages within bounds, with the columns that are wanted."""
+    """The rows of one file, as ``found_in`` has them."""
+    for row in found_in(path, content, what, wanted, nth, of, pages):
+        if isinstance(row, pa.RecordBatch):
+            yield from ({k: v for k, v in x.items() if k != "error"} for x in row.to_pylist())
+        else:
+            yield row
+
+
+def found_in(path: str, content: bytes, what: str, wanted: set[str], nth: int = 0, of: int = 1, pages: tuple[float, float] = (0, math.inf)) -> Iterator[dict | pa.RecordBatch]:
+    """The rows of one file, a page's letters as one batch or several: of its ``nth`` part of ``of``, pages within bounds, with the columns that are wanted."""
     try:
         file = PageFile(content)
         found = list(file.pages())
@@ -58,15 +70,43 @@ def rows(path: str, content: bytes, what: str, wanted: set[str], nth: int = 0, o
         except PageFileError as e:
             yield at | {"error": str(e)}
             continue
-        if what == "pages":
+        if what == "glyphs":
+            yield from glyphs(at, seen, wanted)
+        elif what == "pages":
             yield at | {"width": float(seen.width), "height": float(seen.height), "turn": page.turn, "text": seen.text_of() if texts else None}
         else:
             names = [x for x in columns_of(what) if x not in ("path", "page", "idx", "error")]
-            for i, row in enumerate(seen.letters() if what == "glyphs" else seen.objects):
+            for i, row in enumerate(seen.objects):
                 yield at | {"idx": i} | dict(zip(names, row, strict=True))
 
 
-def batches(found: Iterable[dict], columns: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+def glyphs(at: dict, seen: Reading, wanted: set[str]) -> Iterator[pa.RecordBatch]:
+    """A page's letters by columns, of those that are wanted."""
+    parts = list(seen.parts())
+    sizes = [len(letters) for letters, _, _ in parts]
+    n, columns = sum(sizes), {c: t for c, t in columns_of("glyphs").items() if c in wanted}
+    if not n:
+        return
+    part = np.repeat(np.arange(len(parts)), sizes)
+    nowhere = np.array([places is None for _, places, _ in parts])[part]
+    boxes = np.concatenate([np.zeros((1, 4)) if places is None else places for _, places, _ in parts])
+    out = []
+    for c, t in columns.items():
+        if c in "ltrb":
+            out.append(pa.array(boxes[:, "ltrb".index(c)], t, mask=nowhere))
+        elif c == "idx":
+            out.append(pa.array(np.arange(n), t))
+        elif c == "ch":
+            out.append(pa.array([x for letters, _, _ in parts for x in letters], t))
+        elif c in STYLE:
+            out.append(pa.array([style[STYLE.index(c)] for _, _, style in parts], t).take(pa.array(part)))
+        else:
+            out.append(pa.nulls(n, t) if at.get(c) is None else pa.repeat(pa.scalar(at[c], t), n))
+    whole = pa.RecordBatch.from_arrays(out, list(columns))
+    yield from (whole.slice(i, ROWS) for i in range(0, n, ROWS))
+
+
+def batches(found: Iterable[dict | pa.RecordBatch], columns: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
     held: list[dict] = []
 
     def batch() -> pa.RecordBatch:
@@ -75,6 +115,11 @@ def batches(found: Iterable[dict], columns: dict[str, pa.DataType]) -> Iterator[
         return out
 
     for row in found:
+        if isinstance(row, pa.RecordBatch):
+            if held:
+                yield batch()
+            yield row
+            continue
         held.append(row)
         if len(held) >= ROWS:
             yield batch()
@@ -90,7 +135,7 @@ def read_files(files: DataFrame, what: str = "pages", only: list[str] | None = N
     def run(parts):
         for part in parts:
             for path, content in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                yield from batches(rows(path, content.as_py() or b"", what, set(columns)), columns)
+                yield from batches(found_in(path, content.as_py() or b"", what, set(columns)), columns)
 
     return files.select("path", "content").mapInArrow(run, schema)
 
@@ -169,7 +214,7 @@ class PageFilesReader(DataSourceReader):
         store = fs.FileSystem.from_uri(self.options["path"])[0] if "://" in self.options["path"] else fs.LocalFileSystem()
         with store.open_input_stream(partition.path) as f:
             content = f.read()
-        yield from batches(rows(partition.path, content, self.what, set(self.columns), partition.nth, partition.of, (self.first, self.last)), self.columns)
+        yield from batches(found_in(partition.path, content, self.what, set(self.columns), partition.nth, partition.of, (self.first, self.last)), self.columns)
 
 
 def register(spark: SparkSession) -> None:

@@ -2,8 +2,11 @@
 
 import hashlib
 
+import pyarrow as pa
+
 from pagequarry.plans import anchors, joins, layout, packages
 from pagequarry.plans.catalog import QUERIES
+from pagequarry.sources import page_files
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -84,3 +87,22 @@ def test_dropped_places_count_once_and_only_on_blanks(spark, tmp_path):
     got = sorted((r.doc_id, r.line, r.blanks) for r in anchors.kept_blanks(spark, str(tmp_path)).collect())
     # 1201 drops place 2 of line 1, which has none there; 1 the same; 0 drops a letter
     assert got == [(1, 0, 2), (1, 1, 1)]
+
+
+def test_letters_of_page_files_come_by_columns():
+    pages = [[(0.0, 0.0, "ab c"), (0.0, 16.0, "x")], [], [(10.0, 0.0, "z\U0001f600")]]
+    data = page_files.page_file(pages, 100, 40)
+    wanted = {"path", "page", "idx", "ch", "l", "b", "size"}
+    got = list(page_files.found_in("f", data, "glyphs", wanted))
+    assert got and all(isinstance(x, pa.RecordBatch) for x in got)
+    letters = [(r["page"], r["idx"], r["ch"], r["l"]) for x in got for r in x.to_pylist()]
+    assert letters[:6] == [(0, 0, "a", 0.0), (0, 1, "b", 10.0), (0, 2, " ", 20.0), (0, 3, "c", 30.0), (0, 4, "\n", None), (0, 5, "x", 0.0)]
+    assert [x[:3] for x in letters[6:]] == [(2, 0, "z"), (2, 1, "\U0001f600")]
+
+
+def test_a_matrix_and_digits_at_once_are_as_one_by_one():
+    at_once, apart = ([[(1.5, 2.0, "abc")]] for _ in range(2))
+    whole = page_files.page_file(at_once, 100, 40, packed=False)
+    split = page_files.page_file(apart, 100, 40, packed=False).replace(b" Tm <", b" Tm\n%\n<")
+    rows = [[r for x in page_files.found_in("f", data, "glyphs", set(page_files.columns_of("glyphs"))) for r in x.to_pylist()] for data in (whole, split)]
+    assert rows[0] == rows[1] and len(rows[0]) == 3
