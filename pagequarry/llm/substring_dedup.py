@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import forget_caches, mix64, release_shuffles, utf8_parts, written
+from pagequarry.llm.common import dropped, forget_caches, mix64, release_shuffles, utf8_parts, written
 from pagequarry.llm.words import LOWER, _powers, word_hashes, word_spans
 
 RUN_WORDS, NEAR = 20, 20
@@ -177,9 +177,9 @@ def _spots(h1: np.ndarray, size: int) -> np.ndarray:
     return (h1 >> np.uint64(64 - (size.bit_length() + 2))).astype(np.int64)
 
 
-def _repeated_map(first: DataFrame) -> np.ndarray:
-    """A bit map that marks the digests in ``first``, of 16 bits a digest within bounds; wrong marks are harmless."""
-    bits = min(30, max(20, (16 * first.count()).bit_length()))
+def _repeated_map(digests: DataFrame) -> np.ndarray:
+    """A bit map that marks the digests ``h1`` given, of 16 bits a digest within bounds; wrong marks are harmless."""
+    bits = min(30, max(20, (16 * digests.count()).bit_length()))
     size = 1 << (bits - 3)
     each = size >> SLICES
 
@@ -190,7 +190,7 @@ def _repeated_map(first: DataFrame) -> np.ndarray:
         return pa.table({"slice": pa.array([int(h1[0] >> np.uint64(64 - SLICES))], pa.int32()), "marks": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
     out = np.zeros(size, np.uint8)
-    for row in first.select("h1").groupBy(F.shiftrightunsigned("h1", 64 - SLICES)).applyInArrow(run, "slice int, marks binary").toLocalIterator():
+    for row in digests.select("h1").groupBy(F.shiftrightunsigned("h1", 64 - SLICES)).applyInArrow(run, "slice int, marks binary").toLocalIterator():
         out[row["slice"] * each : (row["slice"] + 1) * each] = np.frombuffer(bytes(row["marks"]), np.uint8)
     return out
 
@@ -198,14 +198,18 @@ def _repeated_map(first: DataFrame) -> np.ndarray:
 def repeats(docs: DataFrame, run_words: int = RUN_WORDS, unit: str = "window", least_words: int = 1) -> DataFrame:
     """``doc_id, th, place, size, kept``: units that repeat an earlier one; ``kept`` is its document."""
     release_shuffles(docs.sparkSession)  # of what made ``docs``
-    every = _digests(docs, unit, run_words, least_words)
-    first = every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    first = written(first, "repeated-units")
+    # Half of each digest moves by itself first, then whole units of those that repeat: a second pass over the texts costs less than keeping all.
+    several = _digests(docs, unit, run_words, least_words).groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
+    several = written(several, "repeated-units")
     release_shuffles(docs.sparkSession)
-    # A second pass over the texts costs less than keeping all digests: only those that repeat move again.
-    again = _digests(docs, unit, run_words, least_words, docs.sparkSession.sparkContext.broadcast(_repeated_map(first)))
-    later = "struct(doc_id, th, place) > first and not (doc_id = first.doc_id and th = first.th and place < first.place + size)"
-    return again.join(first, ["h1", "h2"]).where(later).select("doc_id", "th", "place", "size", F.col("first.doc_id").alias("kept"))
+    marks = docs.sparkSession.sparkContext.broadcast(_repeated_map(several))
+    dropped(several)
+    # Both sides read one shuffle, since their columns and conditions are the same; its rows are in the order of the texts, which packs better than the order of digests.
+    whole = " and ".join(f"{c} is not null" for c in ("h1", "h2", "doc_id", "th"))
+    again = _digests(docs, unit, run_words, least_words, marks).where(whole).repartition("h1", "h2")
+    first = again.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "place", "size")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    later = "struct(doc_id, th, place, size) > first and not (doc_id = first.doc_id and th = first.th and place < first.place + size)"
+    return again.join(first.hint("merge"), ["h1", "h2"]).where(later).select("doc_id", "th", "place", "size", F.col("first.doc_id").alias("kept"))
 
 
 def cut(text: str, repeated: dict[int, tuple[int, int]]) -> tuple[str, list[tuple[int, int, int]]]:
@@ -236,7 +240,7 @@ def cut(text: str, repeated: dict[int, tuple[int, int]]) -> tuple[str, list[tupl
 def dedup(docs: DataFrame, run_words: int = RUN_WORDS, unit: str = "window", least_words: int = 1) -> DataFrame:
     """``docs`` with the repeats cut from ``text`` and their ``removed_spans`` as a last column."""
     own = {x: f"{x}-{uuid.uuid4().hex}" for x in ("doc_id", "th", "found")}  # names that no column has
-    found = repeats(docs, run_words, unit, least_words).distinct().groupBy(F.col("doc_id").alias(own["doc_id"]), F.col("th").alias(own["th"])).agg(F.collect_list(F.struct("place", "size", "kept")).alias(own["found"]))
+    found = repeats(docs, run_words, unit, least_words).repartition("doc_id", "th").distinct().groupBy(F.col("doc_id").alias(own["doc_id"]), F.col("th").alias(own["th"])).agg(F.collect_list(F.struct("place", "size", "kept")).alias(own["found"]))
     docs = docs.drop("removed_spans")
     names = docs.columns
     at = names.index("text")
