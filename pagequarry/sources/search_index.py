@@ -11,6 +11,9 @@ import unicodedata
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,13 +96,29 @@ class SearchIndex:
         return self._table("vocabulary").where(F.contains("word", F.lit(folded_words(query)[0]))).select("word", "pages", "uses")
 
 
+def _places(batches):
+    """A row a word of each page, with its places, out of ``doc_id, page, words``; a page's words are in one row, so that they meet here."""
+    for batch in batches:
+        lists = batch.column(2)
+        counts = np.diff(lists.offsets.to_numpy())
+        words = pc.dictionary_encode(lists.flatten())
+        page, code = np.repeat(np.arange(len(counts)), counts), words.indices.to_numpy()
+        at = (np.arange(len(page)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+        order = np.lexsort((code, page))  # stable: places stay ascending
+        page, code = page[order], code[order]
+        first = np.flatnonzero((np.diff(page, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(page)), pa.int32()), pa.array(at[order]))
+        rows = pa.array(page[first])
+        yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[first])), batch.column(0).take(rows), batch.column(1).take(rows), places], ["word", "doc_id", "page", "places"])
+
+
 def build(pages: DataFrame, folder: str) -> SearchIndex:
-    """Write an index of ``doc_id, page, text``; the texts go through one shuffle, the words through another."""
+    """Write an index of ``doc_id, page, text``. Only words with their places are shuffled, once; texts are put on shelves where they are read."""
     index = SearchIndex(pages.sparkSession, folder)
     shelved = pages.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("long").alias("page"), "text").withColumn("shelf", _shelf("doc_id", "page"))
-    shelved.repartition("shelf").write.partitionBy("shelf").parquet(f"{folder}/texts")
-    each = index._table("texts").select("doc_id", "page", F.posexplode(F.filter(F.split(folded(F.col("text")), r"\s+"), lambda w: w != "")).alias("at", "word"))
-    postings = each.groupBy("word", "doc_id", "page").agg(F.array_sort(F.collect_list("at")).alias("places")).withColumn("shelf", _shelf("word"))
+    shelved.write.partitionBy("shelf").parquet(f"{folder}/texts")
+    each = index._table("texts").select("doc_id", "page", F.filter(F.split(folded(F.col("text")), r"\s+"), lambda w: w != "").alias("words"))
+    postings = each.mapInArrow(_places, "word string, doc_id long, page long, places array<int>").withColumn("shelf", _shelf("word"))
     postings.repartition("shelf", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).sortWithinPartitions("shelf", "word").write.partitionBy("shelf").parquet(f"{folder}/postings")
     uses = index._table("postings").groupBy("word").agg(F.count("*").alias("pages"), F.sum(F.size("places")).alias("uses")).withColumn("shelf", _shelf("word"))
     uses.write.parquet(f"{folder}/vocabulary")

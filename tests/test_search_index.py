@@ -49,3 +49,16 @@ def test_vocabulary(index):
     assert folded_words(" ÉRE­  of ") == ["ere", "of"]
     with pytest.raises(ValueError, match="needs a word"):
         index.hits(" ­ ")
+
+
+def test_only_words_are_shuffled(spark, tmp_path, monkeypatch):
+    """Texts reach their shelves and places their words without a shuffle; postings go through one."""
+    from pyspark.sql import DataFrameWriter
+
+    plans, parquet = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda w, path, *a, **k: (plans.append(w._df._jdf.queryExecution().executedPlan().toString()), parquet(w, path, *a, **k))[1])
+    docs = spark.createDataFrame([(1, "a b a\nc a"), (2, "b"), (None, "c c"), (3, ""), (4, None), (5, "b")], "doc_id long, text string")
+    made = build(page_texts(docs), str(tmp_path / "index"))
+    assert [p.count("Exchange") for p in plans[:2]] == [0, 1]
+    got = sorted(((r.word, r.doc_id, r.page, r.places) for r in made._table("postings").collect()), key=repr)
+    assert got == sorted([("a", 1, 0, [0, 2, 4]), ("b", 1, 0, [1]), ("c", 1, 0, [3]), ("b", 2, 0, [0]), ("c", None, 0, [0, 1]), ("b", 5, 0, [0])], key=repr)
