@@ -34,6 +34,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +43,8 @@ from pagequarry.llm.components import components
 from pagequarry.llm.jaccard import BLOCK, Measure, _verified
 from pagequarry.llm.words import shingle_sets
 
-#: Values of a sketch, bytes of text at a time, members of a list that one task pairs with the others, bits of the map.
-K, PART, LIST, MAP_BITS = 256, 1 << 20, 1024, 27
+#: Values of a sketch, bytes of text at a time, members of a list that one task pairs with the others, bits of the map, bits of a sketch's parities, values that they are of.
+K, PART, LIST, MAP_BITS, PARITIES, NEAR = 256, 1 << 20, 1024, 27, 1024, 195
 _KEYS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x9FB21C651E98DF25))
 
 
@@ -132,18 +133,70 @@ def _lists(prefixes: DataFrame, *more: str) -> DataFrame:
     return each.select("value", "id", "n", "own", (F.col("several") - F.col("at")).alias("left"), *more)
 
 
-def _may_link(x: str, y: str, measure: Measure, k: int) -> str:
-    """Whether two sets that meet in a list can link, if they meet there first.
+def _size(measure: Measure):
+    """The bucket of a set's size; sets in buckets that are not neighbours cannot link."""
+    return F.floor(F.log(F.col("n").cast("double")) / (math.log(measure.den / measure.num) * 1.0001)).cast("int")
 
-    Their sizes must allow it, and so must what is left of both sketches from this value on: all that they share is there.
-    A pair that meets earlier is found there.
+
+def _parities(sets: DataFrame, measure: Measure) -> DataFrame:
+    """``id, odd, odd_below``: of the values under the bound of the set's bucket, and of the bucket below: how many (``few``), and in which of ``PARITIES`` places their number is odd (``bits``).
+
+    Bounds are such that sketches hold about ``NEAR`` of ``K`` values under them. Null where a sketch ends before the bound. What two sketches differ in
+    is as much at least as their parities do.
     """
+    width = math.log(measure.den / measure.num) * 1.0001
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                lists, n, size = part.column(3), part.column(1).to_numpy(), part.column(2).to_numpy()
+                values, held = np.asarray(lists.flatten()).view(np.uint64), np.diff(lists.offsets.to_numpy())
+                row, many, out = np.repeat(np.arange(len(lists)), held), len(lists), []
+                for bucket in (size, size - 1):
+                    bound = np.minimum(NEAR / np.exp(width * (bucket + 1)), 1.0) * 2.0**64
+                    under = (values.astype(np.float64) < bound[row]) | (bound[row] >= 2.0**64)
+                    few = np.bincount(row[under], minlength=many)
+                    at = row[under] * PARITIES + (values[under] & np.uint64(PARITIES - 1)).astype(np.int64)
+                    words = np.packbits((np.bincount(at, minlength=many * PARITIES) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+                    bits = pa.ListArray.from_arrays(pa.array(np.arange(many + 1) * (PARITIES // 64), pa.int32()), pa.array(words))
+                    whole = pa.array((few < held) | (n == held))
+                    out.append(pa.StructArray.from_arrays([pa.array(few), bits], ["few", "bits"], mask=pc.invert(whole)))
+                yield pa.RecordBatch.from_arrays([part.column(0), *out], ["id", "odd", "odd_below"])
+
+    odd = "struct<few:long,bits:array<long>>"
+    return sets.select("id", "n", _size(measure).alias("size"), "sketch").mapInArrow(run, f"id long, odd {odd}, odd_below {odd}")
+
+
+def _wanted(x: str, y: str, measure: Measure, k: int) -> str:
+    """How many values the sketches of two linked sets share at least."""
     j = measure.num / measure.den
     both = f"({x}.n + {y}.n)"
     whole = f"ceil({both} * {measure.num} / {measure.num + measure.den}.0D - 1e-9)"
     sampled = f"floor({k * j} - 6 * sqrt({k * j * (1 - j)} * greatest({both} / {1 + j} - {k}, 0) / greatest({both} / {1 + j} - 1, 1)) + 1e-9)"
+    return f"if(greatest({x}.n, {y}.n) <= {k}, {whole}, {sampled})"
+
+
+def _may_link(x: str, y: str, measure: Measure, k: int) -> str:
+    """Whether two sets that meet in a list can link, if they meet there first.
+
+    Their sizes must allow it, and so must what is left of both sketches from this value on: all that they share is there.
+    A pair that meets earlier is found there.
+    """
     sizes = f"least({x}.n, {y}.n) * {measure.den} >= greatest({x}.n, {y}.n) * {measure.num}"
-    return f"{sizes} and least({x}.left, {y}.left) >= if(greatest({x}.n, {y}.n) <= {k}, {whole}, {sampled})"
+    return f"{sizes} and least({x}.left, {y}.left) >= {_wanted(x, y, measure, k)}"
+
+
+def _agree(x: str, y: str, measure: Measure, k: int) -> str:
+    """Whether the parities of two sketches under one bound allow a link.
+
+    Of the ``k`` least values of the union all but the shared ones that a link needs may differ. Either all under the bound are among those,
+    or all those are under the bound; then what is under it and not shared differs. Whole sets may differ in what they need not share.
+    """
+    differ = f"aggregate(zip_with({x}.odd.bits, {y}.odd.bits, (a, b) -> bit_count(a ^ b)), 0, (a, b) -> a + b)"
+    wanted = _wanted(x, y, measure, k)
+    allowed = f"if(greatest({x}.n, {y}.n) <= {k}, {x}.n + {y}.n - 2 * {wanted}, greatest({k} - {wanted}, {x}.odd.few + {y}.odd.few - 2 * {wanted}))"
+    return f"coalesce({differ} <= {allowed}, true)"
 
 
 def _first_pairs(lists: DataFrame, measure: Measure, k: int) -> DataFrame:
@@ -154,18 +207,21 @@ def _first_pairs(lists: DataFrame, measure: Measure, k: int) -> DataFrame:
 
 
 def _other_pairs(lists: DataFrame, measure: Measure, k: int) -> DataFrame:
-    """All pairs of one list in different components that can link, each in the first list that both are in.
+    """All pairs of one list in different components that can link, each in the first list that both are in: no value ``before`` is in both.
+
+    Their parities must allow it too, which leaves out most pairs that estimates would, before there is a row of them.
 
     Lists are split by size first, as sets in buckets that are not neighbours cannot link; what is
     longer than ``LIST`` then is dealt over several tasks by one side.
     """
-    width = math.log(measure.den / measure.num) * 1.0001
-    rows = lists.withColumn("size", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
+    rows = lists.withColumn("size", _size(measure))
     parts = rows.groupBy("value", "size").agg(F.ceil(F.count("*") / LIST).cast("int").alias("parts")).where("parts > 1")
-    y = rows.withColumn("own", F.col("size")).withColumn("size", F.explode(F.array(F.col("size"), F.col("size") - 1)))
+    sides = F.array(F.struct("size", "odd"), F.struct((F.col("size") - 1).alias("size"), F.col("odd_below").alias("odd")))
+    y = rows.withColumn("own", F.col("size")).withColumn("side", F.explode(sides)).withColumns({"size": F.col("side.size"), "odd": F.col("side.odd")}).drop("side", "odd_below")
+    rows = rows.drop("odd_below")
     x = rows.join(parts, ["value", "size"], "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     y = y.join(parts, ["value", "size"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    on = f"x.value = y.value and x.size = y.size and x.part = y.part and (x.id < y.id or y.own <> y.size) and x.component <> y.component and {_may_link('x', 'y', measure, k)} and get(array_intersect(x.prefix, y.prefix), 0) = x.value"
+    on = f"x.value = y.value and x.size = y.size and x.part = y.part and (x.id < y.id or y.own <> y.size) and x.component <> y.component and {_may_link('x', 'y', measure, k)} and {_agree('x', 'y', measure, k)} and not arrays_overlap(x.before, y.before)"
     return x.alias("x").join(y.alias("y"), F.expr(on)).select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v")).distinct()
 
 
@@ -235,7 +291,8 @@ def near_duplicates(docs: DataFrame, measure: Measure = Measure(), k: int = K) -
     # What is left: pairs of one list in different components.
     named = prefixes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     apart = written(_lists(named, "component").groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value"), "sketch-apart")
-    rest = written(_lists(named, "component", "prefix").hint("merge").join(apart, "value"), "sketch-rest")
+    listed = _lists(named.join(_parities(sets, measure), "id"), "component", "odd", "odd_below", "prefix").withColumn("before", F.expr("slice(prefix, 1, cast(array_position(prefix, value) as int) - 1)")).drop("prefix")
+    rest = written(listed.hint("merge").join(apart, "value"), "sketch-rest")
     known = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     more = written(_other_pairs(rest, measure, k).join(known, ["u", "v"], "left_anti"), "sketch-more-pairs")
     dropped(prefixes, apart, rest, first)

@@ -98,3 +98,23 @@ def test_odd_rows(spark):
     want = [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (5, 2, 5, True), (None, 1, None, None), (7, 49_997, 7, True), (8, 49_998, 7, False), (6, 2, 5, False), (6, 2, 5, False)]
     assert got == sorted(want, key=repr)
     assert op.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_far_pairs_of_a_group_have_no_rows(spark, monkeypatch):
+    """Of a group of texts that share half of their shingles, few pairs come to an estimate; the links right at the measure stay."""
+    rng = np.random.default_rng(5)
+    base, docs = [f"w{i}" for i in range(600)], {}
+    for i in range(40):
+        text = list(base)
+        for at in rng.choice(600, 32, replace=False).tolist():
+            text[at] = f"x{i}-{at}"
+        docs[i] = " ".join(text)
+        for at in rng.choice(600, 16, replace=False).tolist():
+            text[at] = f"y{i}-{at}"
+        docs[100 + i] = " ".join(text)
+    seen, estimated = [], op._estimated
+    monkeypatch.setattr(op, "_estimated", lambda pairs, *rest: (seen.append(pairs.count()), estimated(pairs, *rest))[1])
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    want = by_pairs(docs)
+    assert result(op.near_duplicates(df, Measure(words=4, num=80, den=100))) == want
+    assert any(c != i for i, (_, c, _) in want.items()) and seen[1] < 400, seen
