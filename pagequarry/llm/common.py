@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -151,12 +152,20 @@ def flat_gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 CACHES: list = []
 
 
+def give_back() -> None:
+    """Return freed memory to the system: what numpy and Python let go stays with the process otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
+
+
 def forget_caches() -> None:
     """Give back what other operators keep in this Python process; workers outlive their tasks."""
     for clear in CACHES:
         clear()
     gc.collect()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def release_shuffles(spark: SparkSession) -> None:

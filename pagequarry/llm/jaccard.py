@@ -44,7 +44,7 @@ from pagequarry.llm.words import shingle_sets
 
 MAP_BITS = 27  # of each bit map, at least
 FREQUENT = 32  # documents from which on a token is frequent
-PART, HELD = 1 << 20, 1 << 20  # bytes of text and tokens that a task works on at a time
+PART, HELD = 1 << 18, 1 << 20  # bytes of text and tokens that a task works on at a time
 LIST = 1024  # members of a posting list and size bucket that one task pairs with the others
 BLOCK = 64  # members that are verified against one copy of a centre's text
 _ONE, _TWO, _KEY = (np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407, 0x9FB21C651E98DF25))
@@ -196,6 +196,7 @@ def _entries(docs: DataFrame, measure: Measure, maps) -> DataFrame:
     """A row a document: set size, set key, number of rare tokens, index entries."""
 
     def run(batches):
+        forget_caches()
         twice_map, often_map = maps.value
         for batch in batches:
             for a, b, data, offsets in utf8_parts(batch.column(1), PART):
@@ -249,6 +250,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, measure: Measure) -> DataFrame:
     rows = need.hint("merge").join(docs.select(F.col("doc_id").alias("id"), "text"), "id").select("u", "block", "member", "id", "text")
 
     def run(batches):
+        forget_caches()
         at, centres = None, []
         for batch in batches:
             us, blocks_, members, ids = (batch.column(i).to_pylist() for i in range(4))

@@ -34,6 +34,7 @@ from pagequarry.llm.common import CACHES, dropped, forget_caches, held_out, text
 
 MAX_DOCS, ROUNDS, SMOOTHING = 2_000, 2, 0.1
 CACHED_WORDS = 400_000
+PART = 1 << 18  # code points of text that are scored at a time
 #: Words up to SHORT letters are worked on with others of their length, longer ones with those near in length.
 SHORT, TOGETHER, CELLS, RESCALED = 24, 4096, 1 << 16, 16
 MARK = "▁"
@@ -312,7 +313,7 @@ class Scorer:
         if not self.model.languages:
             return ["und"] * len(texts), [0.0] * len(texts)
         langs, shares = [], []
-        for a, b in text_groups([t or "" for t in texts]):
+        for a, b in text_groups([t or "" for t in texts], PART):
             found = [words_of(t or "") for t in texts[a:b]]
             counts = np.array([len(w) for w in found])
             ends = np.concatenate([[0], np.cumsum(counts)])

@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import dropped, held_out, utf8_parts, written
+from pagequarry.llm.common import dropped, forget_caches, held_out, utf8_parts, written
 from pagequarry.llm.words import LOWER, word_hashes, word_spans
 
 FEATURES, RIDGE, BINS, MAX_ROWS, THRESHOLD = 256, 1.0, 2048, 200_000, 0.7
+PART = 1 << 18  # bytes of text that a task measures at a time
 SLICES = 8  # tasks that sum the equations: the bounded training rows need no more
 
 _CLASSES = np.zeros((9, 256), np.uint8)
@@ -122,7 +123,7 @@ def _statistics_rows(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a, b, data, offsets in utf8_parts(batch.column(0), 1 << 21):
+            for a, b, data, offsets in utf8_parts(batch.column(0), PART):
                 x = statistics(data, offsets)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)], ["x", "y", "w"])
 
@@ -202,8 +203,9 @@ def scored(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, o
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches):
+        forget_caches()
         for batch in batches:
-            for a, b, data, offsets in utf8_parts(batch.column(at), 1 << 21):
+            for a, b, data, offsets in utf8_parts(batch.column(at), PART):
                 score = shared.value.score(statistics(data, offsets))
                 part = batch.slice(a, b - a)
                 if only_good:

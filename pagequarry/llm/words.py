@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from pagequarry.llm.common import mix64
+from pagequarry.llm.common import CACHES, mix64
 
 _SEED = np.random.default_rng(20240229)
 #: Random values of the 256 bytes and an odd base: a word's hash is a sum of value * base^place.
@@ -12,6 +12,7 @@ _VALUES = _SEED.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.u
 _BASE = int(_SEED.integers(1 << 60, 1 << 62)) * 8 + 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS = {}
+CACHES.append(_POWERS.clear)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
