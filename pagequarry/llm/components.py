@@ -1,9 +1,9 @@
 """Connected components of links by alternating stars, in DataFrames only.
 
 Each round hangs every node's larger neighbours on its least neighbour and then flattens what is
-left; the number of rounds grows with the logarithm of the longest chain. Every round's edges are
-written to the shared folder, so a lost executor costs one round at most; those of the round
-before go.
+left; the number of rounds grows with the logarithm of the longest chain, and links that are stars
+already take none. Every round's edges are written to the shared folder, so a lost executor costs
+one round at most; those of the round before go.
 """
 
 from __future__ import annotations
@@ -32,20 +32,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.where("u <> v").distinct()
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
-    return row["n"], row["h"] or 0
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node that hangs on another (``u`` on ``v``) is in that one edge alone."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("hangs")), F.struct(F.col("v").alias("id"), F.lit(0).alias("hangs")))).alias("e")).select("e.*")
+    return ends.groupBy("id").agg(F.max("hangs").alias("hangs"), F.count("*").alias("edges")).where("hangs = 1 and edges > 1").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` for each node of ``links`` (``u``, ``v`` longs) but the least ones."""
-    edges = written(links.where("u <> v").select("u", "v").distinct(), "links")
-    before = _state(edges)
-    while before[0]:
+    edges = written(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    while not _stars(edges):
         old, edges = edges, written(_small_star(_large_star(edges)), "stars")
         dropped(old)
-        now = _state(edges)
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))

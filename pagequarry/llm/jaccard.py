@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import math
 import uuid
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,7 +43,8 @@ from pagequarry.llm.common import dropped, forget_caches, mix64, release_shuffle
 from pagequarry.llm.components import components
 from pagequarry.llm.words import shingle_sets
 
-MAP_BITS = 27  # of each bit map, at least
+MAP_BITS = 27  # of each bit map; small tables have fewer
+LEAST_BITS = 23
 FREQUENT = 32  # documents from which on a token is frequent
 PART, HELD = 1 << 18, 1 << 20  # bytes of text and tokens that a task works on at a time
 LIST = 1024  # members of a posting list and size bucket that one task pairs with the others
@@ -112,7 +114,7 @@ def _count_blocks(docs: DataFrame, measure: Measure, bits: int) -> DataFrame:
 
 
 def _marks(blocks: DataFrame, bits: int, frequent: int, map_bits: int) -> DataFrame:
-    """A bucket's slices of the two bit maps: seen twice, and frequent."""
+    """A bucket's slices of the two bit maps, deflated: seen twice, and frequent."""
     size = 1 << (map_bits - bits)
 
     def run(table: pa.Table) -> pa.Table:
@@ -136,7 +138,7 @@ def _marks(blocks: DataFrame, bits: int, frequent: int, map_bits: int) -> DataFr
         for kept in (counts >= 2, counts >= least):
             flags = np.zeros(max(size, 8), np.uint8)
             flags[place[kept]] = 1
-            slices.append(np.packbits(flags, bitorder="little").tobytes() if kept.any() else None)
+            slices.append(zlib.compress(np.packbits(flags, bitorder="little").tobytes(), 1) if kept.any() else None)
         return pa.table({"bucket": table["bucket"].slice(0, 1).cast(pa.int32()), "twice": pa.array(slices[:1], pa.binary()), "often": pa.array(slices[1:], pa.binary())})
 
     return blocks.groupBy("bucket").applyInArrow(run, "bucket int, twice binary, often binary")
@@ -150,7 +152,7 @@ def token_maps(docs: DataFrame, measure: Measure, frequent: int = FREQUENT, map_
     for row in _marks(_count_blocks(docs, measure, bits), bits, frequent, map_bits).where("twice is not null or often is not null").toLocalIterator():
         for k, blob in enumerate((row["twice"], row["often"])):
             if blob is not None:
-                maps[k, row["bucket"] * each : row["bucket"] * each + each] = np.frombuffer(bytes(blob), np.uint8)
+                maps[k, row["bucket"] * each : row["bucket"] * each + each] = np.frombuffer(zlib.decompress(blob), np.uint8)
     return maps[0], maps[1]
 
 
@@ -245,7 +247,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, measure: Measure) -> DataFrame:
     """
     blocks = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = pairs.join(blocks, "u").select("u", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), "v")
-    need = dealt.select("u", "block", F.col("v").alias("id"), F.lit(1).alias("member")).unionByName(dealt.select("u", "block", F.col("u").alias("id"), F.lit(0).alias("member")).distinct())
+    centres = blocks.select("u", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("u").alias("id"), F.lit(0).alias("member"))
+    need = dealt.select("u", "block", F.col("v").alias("id"), F.lit(1).alias("member")).unionByName(centres)
     # Texts move in the same way whatever the number of pairs: neither side is ever broadcast.
     rows = need.hint("merge").join(docs.select(F.col("doc_id").alias("id"), "text"), "id").select("u", "block", "member", "id", "text")
 
@@ -296,7 +299,7 @@ def _list_pairs(rows: DataFrame, measure: Measure, apart: str) -> DataFrame:
     once = "(x.id < y.id or y.own <> y.size)"  # pairs across buckets meet in one order only
     size = f"least(x.n, y.n) * {measure.den} >= greatest(x.n, y.n) * {measure.num}"
     frequent = f"((x.entry & 1) = 0 or least(x.n - x.r, y.n - y.r) * {measure.num + measure.den} >= (x.n + y.n) * {measure.num})"
-    met = x.alias("x").join(y.alias("y"), F.expr(f"x.entry = y.entry and x.size = y.size and x.part = y.part and {once} and {apart} and {size} and {frequent}"))
+    met = x.alias("x").join(y.alias("y").hint("merge"), F.expr(f"x.entry = y.entry and x.size = y.size and x.part = y.part and {once} and {apart} and {size} and {frequent}"))
     low = "x.id < y.id"
     sides = [F.expr(f"if({low}, {p}.{c}, {q}.{c})").alias(n + c) for p, q, n in (("x", "y", "u"), ("y", "x", "v")) for c in ("n", "r")]
     return met.select("x.entry", F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v"), *sides)
@@ -319,7 +322,7 @@ class Index:
 
         With ``links`` (``u, v``: all links of classes) also ``n_links``, the documents that a document links with.
         """
-        by_set = self.sets.join(found, "id", "left").select("k1", "k2", "n", F.coalesce("component", "id").alias("component"), "id", "copies")
+        by_set = self.sets.join(found.hint("merge"), "id", "left").select("k1", "k2", "n", F.coalesce("component", "id").alias("component"), "id", "copies")
         out = self.every.select("doc_id", "n", "k1", "k2")
         shown = [F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component"))).alias("component_id")]
         if links is not None:
@@ -328,7 +331,7 @@ class Index:
             by_set = by_set.join(others, "id", "left")
             linked = F.coalesce("others", F.lit(0)) + F.col("copies") - 1
             shown.append(F.coalesce(F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), linked), F.lit(0)).cast("long").alias("n_links"))
-        return out.join(by_set.drop("id"), ["k1", "k2", "n"], "left").select("doc_id", *shown)
+        return out.join(by_set.drop("id").hint("merge"), ["k1", "k2", "n"], "left").select("doc_id", *shown)
 
 
 def index(docs: DataFrame, measure: Measure, frequent: int = FREQUENT, map_bits: int | None = None) -> Index:
@@ -343,9 +346,9 @@ def index(docs: DataFrame, measure: Measure, frequent: int = FREQUENT, map_bits:
 
 
 def _bits_for(docs: DataFrame) -> int:
-    """Bits of each map, from Spark's estimate of the table's size: 16 MB at first, 64 MB at most."""
+    """Bits of each map, from Spark's estimate of the table's size: 1 MB, 16 MB from 32 MB of input on, 64 MB at most."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(MAP_BITS + 2, max(MAP_BITS, (size // 8).bit_length()))
+    return min(MAP_BITS + 2, max(LEAST_BITS, min(MAP_BITS, (4 * size).bit_length()), (size // 8).bit_length()))
 
 
 def class_links(at: Index, measure: Measure) -> DataFrame:
@@ -378,7 +381,7 @@ def _joined(docs: DataFrame, measure: Measure, frequent: int = FREQUENT, map_bit
 
     centres = lists.groupBy("entry").agg(F.min(F.struct("r", "id", "n")).alias("c"), F.count("*").alias("size")).where("size > 1").select("entry", "c")
     size = f"least(x.n, c.n) * {measure.den} >= greatest(x.n, c.n) * {measure.num}"
-    met = lists.alias("x").join(centres, "entry").where("x.id <> c.id and " + size)
+    met = lists.alias("x").join(centres.hint("merge"), "entry").where("x.id <> c.id and " + size)
     both = [F.expr(f"{a}.{c}").alias(b + c) for a, b in (("c", "u"), ("x", "v")) for c in ("n", "r")]
     met = met.select("entry", F.col("c.id").alias("u"), F.col("x.id").alias("v"), *both)
     first = written(_candidates(met, measure), "jaccard-pairs")
@@ -387,19 +390,19 @@ def _joined(docs: DataFrame, measure: Measure, frequent: int = FREQUENT, map_bit
     release_shuffles(spark)
 
     # What is left: pairs of one posting list in different components, verified one and all.
-    named = lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = at.sets.join(found.hint("merge"), "id", "left").select(F.explode("entries").alias("entry"), "id", "n", "r", F.coalesce("component", "id").alias("component"))
     apart = named.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least")).where("low <> high").select("entry", "least")
     # Where only frequent tokens are shared, too many rare ones exclude a set from any link.
     reach = f"(entry & 1) = 0 or (n - r) * {measure.num + measure.den} >= (n + greatest(least, ceil(n * {measure.num} / {measure.den}.0D - 1e-9))) * {measure.num}"
-    rest = written(named.join(apart, "entry").where(reach).select("entry", "id", "n", "r", "component"), "jaccard-rest")
+    rest = written(named.join(apart.hint("merge"), "entry").where(reach).select("entry", "id", "n", "r", "component"), "jaccard-rest")
     more = _candidates(_list_pairs(rest, measure, "x.component <> y.component"), measure)
     known = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = written(more.join(known, ["u", "v"], "left_anti"), "jaccard-more-pairs")
+    more = written(more.join(known.hint("merge"), ["u", "v"], "left_anti"), "jaccard-more-pairs")
     dropped(rest, first)
     release_shuffles(spark)
     if not more.isEmpty():
         others = written(_verified(docs, more, measure), "jaccard-more-links")
-        found = components(links.unionByName(others))
+        found = components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(others))
         dropped(others)
     dropped(more, links)
     return at, at.by_document(found)
